@@ -2,65 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Closes the wrapping array in ``strict_json``; private-use characters keep it out of real text.
+# Closes the wrapping array in ``extract``; private-use characters keep it out of real text.
 _END = "\uf8f0json-end\uf8f1"
 
 
-def strict_json(text: Column) -> Column:
-    """Parsed text as a VARIANT array ``[value, end marker]``, or null when it is not valid JSON.
+class Field(NamedTuple):
+    """One JSON value as plain columns.
 
-    ``try_parse_json`` stops after the first value and ignores what follows, so ``{"a":1} junk``
-    would pass. Wrapping the text in an array whose second item is a marker makes any trailing
-    text either a syntax error or a third item.
+    ``kind`` is STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID (JSON null), OBJECT or ARRAY, and
+    null when the value is missing. ``text`` and ``number`` are null when they do not apply.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
-    whole = (
-        (F.try_variant_get(wrapped, "$[1]", "string") == _END)
-        & F.try_variant_get(wrapped, "$[2]", "variant").isNull()
-        & ~text.contains(_END)
-    )
-    return F.when(whole, wrapped)
 
+    kind: Column
+    text: Column
+    number: Column
 
-def root(parsed: Column) -> Column:
-    """The parsed value itself."""
-    return F.try_variant_get(parsed, "$[0]", "variant")
+    @staticmethod
+    def of(name: str) -> Field:
+        """The field as laid out by ``extract``."""
+        return Field(F.col(f"{name}_kind"), F.col(f"{name}_text"), F.col(f"{name}_number"))
 
+    def present(self) -> Column:
+        """The field exists and is not JSON null."""
+        return F.coalesce(self.kind != "VOID", F.lit(False))
 
-def field(parsed: Column, name: str) -> Column:
-    """One top-level field as VARIANT; null when the value is no object or lacks the field."""
-    return F.try_variant_get(parsed, f"$[0].{name}", "variant")
+    def is_string(self) -> Column:
+        return F.coalesce(self.kind == "STRING", F.lit(False))
 
+    def is_number(self) -> Column:
+        return F.coalesce(self.kind.isin("BIGINT", "DECIMAL", "DOUBLE"), F.lit(False))
 
-def kind(value: Column) -> Column:
-    """STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID (JSON null), OBJECT or ARRAY."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    def truthy(self) -> Column:
+        """Present and not one of the empty values ``""``, ``0`` and ``false``."""
+        empty = (
+            (self.is_string() & (self.text == ""))
+            | (self.is_number() & (self.number == 0))
+            | ((self.kind == "BOOLEAN") & (self.text == "false"))
+        )
+        return F.coalesce(self.present() & ~empty, F.lit(False))
+
+
+def first_present(fields: list[Field]) -> Field:
+    """First field that exists and is not JSON null."""
 
+    def pick(part: str) -> Column:
+        chosen = None
+        for field in fields:
+            value = getattr(field, part)
+            chosen = (
+                F.when(field.present(), value) if chosen is None else chosen.when(field.present(), value)
+            )
+        return chosen
 
-def present(value: Column) -> Column:
-    """The field exists and is not JSON null."""
-    return value.isNotNull() & ~F.is_variant_null(value)
+    return Field(pick("kind"), pick("text"), pick("number"))
 
 
-def first_present(values: list[Column]) -> Column:
-    """First value that exists and is not JSON null."""
-    return F.coalesce(*[F.when(present(v), v) for v in values])
+def _kind(value: Column) -> Column:
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
-def is_string(value: Column) -> Column:
-    return F.coalesce(kind(value) == "STRING", F.lit(False))
+def _parts(value: Column, name: str) -> list[Column]:
+    return [
+        _kind(value).alias(f"{name}_kind"),
+        F.try_variant_get(value, "$", "string").alias(f"{name}_text"),
+        F.try_variant_get(value, "$", "double").alias(f"{name}_number"),
+    ]
 
 
-def is_number(value: Column) -> Column:
-    return F.coalesce(kind(value).isin("BIGINT", "DECIMAL", "DOUBLE"), F.lit(False))
+def parse(df: DataFrame, column: str) -> DataFrame:
+    """Add ``_json``: the text parsed as a one-value VARIANT array, null when it is not valid JSON.
 
+    ``try_parse_json`` stops after the first value and ignores what follows, so ``{"a":1} junk``
+    would pass. Wrapping the text in an array whose second item is a marker makes any trailing
+    text either a syntax error or a third item.
+    """
+    text = F.col(column)
+    wrapped = df.withColumn(
+        "_wrapped", F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    )
+    whole = (
+        (F.try_variant_get("_wrapped", "$[1]", "string") == _END)
+        & F.try_variant_get("_wrapped", "$[2]", "variant").isNull()
+        & ~text.contains(_END)
+    )
+    return wrapped.withColumn("_json", F.when(whole, F.col("_wrapped"))).drop("_wrapped")
 
-def as_text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
 
+def extract(df: DataFrame, column: str, names: tuple[str, ...]) -> DataFrame:
+    """Parse a JSON text column once and lay out its top-level fields as plain columns.
 
-def as_double(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "double")
+    Adds ``root_kind`` (null when the text is not valid JSON) and, per name, the columns of
+    ``Field``. The fields come out of a one-row generator: Spark moves no later filter or
+    expression below it, so nothing downstream can cause a second parse.
+    """
+    variants = {f"_{name}": F.try_variant_get("_json", f"$[0].{name}", "variant") for name in names}
+    columns = [_kind(F.try_variant_get("_json", "$[0]", "variant")).alias("root_kind")]
+    for name in names:
+        columns += _parts(F.col(f"_{name}"), name)
+    parsed = parse(df, column).withColumns(variants)
+    return parsed.select(*df.columns, F.inline(F.array(F.struct(*columns))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logquarry.functions import jsontext
+from logquarry.functions.jsontext import Field
 
 # Numbers beyond this are milliseconds, up to it seconds (lines); strictly below it
 # seconds, from it on milliseconds (messages).
@@ -14,16 +14,11 @@ MILLIS_FROM = 1_000_000_000_000
 MAX_MILLIS = 8_640_000_000_000_000
 
 _ISO = r"^\s*(\d{4}-\d{1,2}-\d{1,2})[T ](\d{1,2}:\d{1,2}:\d{1,2})(\.\d+)?(Z|[+-]\d{2}:?\d{2})?"
-_DATE_LIKE = r"^\d{4}(-\d{2}){0,2}$|^\d{4}-\d{2}-\d{2}[T ]\d{1,2}:\d{2}"
+_DATE_LIKE = r"^\s*\d{4}(-\d{2}){0,2}\s*$|^\s*\d{4}-\d{2}-\d{2}[T ]\d{1,2}:\d{2}"
+_WITH_YEAR = r"\d{4}/|[A-Za-z]{3}.*\d{4}"
 
 # Date texts besides ISO that messages may use.
-_OTHER_DATES = (
-    "yyyy/M/d",
-    "yyyy/M/d HH:mm:ss",
-    "d MMM yyyy HH:mm:ss",
-    "MMM d, yyyy",
-    "MMM d, yyyy HH:mm:ss",
-)
+_OTHER_DATES = ("yyyy/M/d[ HH:mm:ss]", "d MMM yyyy[ HH:mm:ss]", "MMM d, yyyy[ HH:mm:ss]")
 
 
 def millis(value: Column) -> Column:
@@ -62,30 +57,22 @@ def line_number(value: Column, as_of: Column) -> Column:
 
 def date_text(text: Column) -> Column:
     """Date text of a message: ISO 8601 and a few common forms; null when it is none of them."""
-    trimmed = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3}, | (GMT|UTC)$", "")
-    iso = F.when(trimmed.rlike(_DATE_LIKE), trimmed.try_cast("timestamp"))
-    return F.coalesce(
-        iso, *[F.try_to_timestamp(trimmed, F.lit(pattern)) for pattern in _OTHER_DATES]
-    )
-
+    iso = F.when(text.rlike(_DATE_LIKE), text.try_cast("timestamp"))
+    bare = F.regexp_replace(text, r"^\s*([A-Za-z]{3}, )?|( (GMT|UTC))?\s*$", "")
+    others = [F.try_to_timestamp(bare, F.lit(pattern)) for pattern in _OTHER_DATES]
+    return F.coalesce(iso, F.when(text.rlike(_WITH_YEAR), F.coalesce(*others)))
 
-def message_number(value: Column) -> Column:
-    """Numeric timestamp of a message (double): seconds below 1e12, else milliseconds."""
-    return millis(F.when(value < MILLIS_FROM, value * 1000).otherwise(value))
 
+def message_value(field: Field, as_of: Column) -> Column:
+    """Timestamp field of a message, whatever its JSON type; null only when out of range.
 
-def message_value(value: Column, as_of: Column) -> Column:
-    """Timestamp field of a message, whatever its JSON type; null only when out of range."""
-    number = jsontext.as_double(value)
-    falsy = F.coalesce(
-        ~jsontext.present(value)
-        | (jsontext.is_number(value) & (number == 0))
-        | (jsontext.is_string(value) & (jsontext.as_text(value) == "")),
-        F.lit(True),
-    )
+    A number below 1e12 is in seconds, from there on in milliseconds; a missing or empty field
+    and text that is no date mean ``as_of``.
+    """
+    number = field.number
     return (
-        F.when(falsy, as_of)
-        .when(jsontext.is_number(value), message_number(number))
-        .when(jsontext.is_string(value), F.coalesce(date_text(jsontext.as_text(value)), as_of))
+        F.when(~field.truthy(), as_of)
+        .when(field.is_number(), millis(F.when(number < MILLIS_FROM, number * 1000).otherwise(number)))
+        .when(field.is_string(), F.coalesce(date_text(field.text), as_of))
         .otherwise(as_of)
     )

@@ -39,8 +39,8 @@ def _substrings(text: Column, lengths: Column) -> Column:
 def _contained(messages: DataFrame, patterns: DataFrame, *carry: str) -> DataFrame:
     """(severity, pattern, carry...) for every pattern length found in ``patterns``."""
     lengths = patterns.agg(F.collect_set(F.length("pattern"))).scalar()
-    return messages.select(
-        "severity", *carry, F.explode(_substrings(F.col("text"), lengths)).alias("pattern")
+    return messages.withColumn("lengths", lengths).select(
+        "severity", *carry, F.explode(_substrings(F.col("text"), F.col("lengths"))).alias("pattern")
     )
 
 

@@ -49,10 +49,10 @@ def accept_bodies(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ())
     A body must be an array of at most 1,000 items; items that are not strings are dropped, and
     nothing left to store is an error. ``data`` is set for accepted bodies only.
     """
-    parsed = df.select(*keep, F.col(body).alias("_body"), jsontext.strict_json(F.col(body)).alias("_json"))
+    parsed = jsontext.parse(df.select(*keep, F.col(body).alias("_body")), "_body")
     items = parsed.select(
         *keep,
-        jsontext.kind(jsontext.root(F.col("_json"))).alias("_kind"),
+        F.regexp_extract(F.schema_of_variant(F.try_variant_get("_json", "$[0]", "variant")), "^[A-Z]+", 0).alias("_kind"),
         F.try_variant_get("_json", "$[0]", "array<variant>").alias("_items"),
     )
     kept = items.withColumn(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.functions import ids, jsontext, levels, timestamps
+from logquarry.functions import ids, levels, timestamps
+from logquarry.functions.jsontext import Field, extract
 from logquarry.functions.timerange import Instant, instant
 
 # Limits of direct ingestion.
@@ -13,27 +14,13 @@ MAX_MESSAGE_CHARS = 10_000
 MAX_SOURCE_CHARS = 500
 
 
-def _truthy(value: Column) -> Column:
-    """Present and not one of the empty values ``""``, ``0`` and ``false``."""
-    empty = (
-        (jsontext.is_string(value) & (jsontext.as_text(value) == ""))
-        | (jsontext.is_number(value) & (jsontext.as_double(value) == 0))
-        | (
-            (jsontext.kind(value) == "BOOLEAN")
-            & ~F.coalesce(F.try_variant_get(value, "$", "boolean"), F.lit(False))
-        )
-    )
-    return F.coalesce(jsontext.present(value) & ~empty, F.lit(False))
-
-
-def _column_text(value: Column) -> Column:
+def _column_text(field: Field) -> Column:
     """Text of a string, or of a number as a double (how a text column stores a number)."""
-    number = jsontext.as_double(value)
-    whole = (F.abs(number) < 1e15) & (number == F.floor(number))
+    whole = (F.abs(field.number) < 1e15) & (field.number == F.floor(field.number))
     return (
-        F.when(jsontext.is_string(value), jsontext.as_text(value))
-        .when(whole, F.concat(number.cast("long").cast("string"), F.lit(".0")))
-        .otherwise(number.cast("string"))
+        F.when(field.is_string(), field.text)
+        .when(whole, F.concat(field.number.cast("long").cast("string"), F.lit(".0")))
+        .otherwise(field.number.cast("string"))
     )
 
 
@@ -48,29 +35,18 @@ def classify_messages(
     Output: the key columns, content, reject_reason, log_id, timestamp, level, source, message,
     raw. The log id is derived from key and content, so a replay produces the same rows.
     """
-    now = instant(as_of)
-    text = F.col(content)
-    parsed = df.select(*key, text.alias("content"), jsontext.strict_json(text).alias("_json"))
-    fields = parsed.select(
-        *key,
-        "content",
-        F.col("_json").isNull().alias("_broken"),
-        F.coalesce(jsontext.kind(jsontext.root(F.col("_json"))) == "VOID", F.lit(False)).alias("_null"),
-        *[
-            jsontext.field(F.col("_json"), name).alias(f"_{name}")
-            for name in ("timestamp", "level", "source", "message")
-        ],
-    )
-    level, source, message = F.col("_level"), F.col("_source"), F.col("_message")
+    given = df.select(*key, F.col(content).alias("content"))
+    fields = extract(given, "content", ("timestamp", "level", "source", "message"))
+    level, source, message = Field.of("level"), Field.of("source"), Field.of("message")
 
-    def unstorable(value: Column) -> Column:
-        return _truthy(value) & ~jsontext.is_string(value) & ~jsontext.is_number(value)
+    def unstorable(field: Field) -> Column:
+        return field.truthy() & ~field.is_string() & ~field.is_number()
 
-    stamped = fields.withColumn("_at", timestamps.message_value(F.col("_timestamp"), now))
+    stamped = fields.withColumn("_at", timestamps.message_value(Field.of("timestamp"), instant(as_of)))
     reason = (
-        F.when(F.col("_broken"), "invalid_json")
-        .when(F.col("_null"), "null_message")
-        .when(_truthy(level) & ~jsontext.is_string(level), "level_not_text")
+        F.when(F.col("root_kind").isNull(), "invalid_json")
+        .when(F.col("root_kind") == "VOID", "null_message")
+        .when(level.truthy() & ~level.is_string(), "level_not_text")
         .when(F.col("_at").isNull(), "timestamp_out_of_range")
         .when(unstorable(source), "source_not_text")
         .when(unstorable(message), "message_not_text")
@@ -81,11 +57,9 @@ def classify_messages(
         reason.alias("reject_reason"),
         ids.content_id(*[F.col(k) for k in key], F.col("content")).alias("log_id"),
         F.col("_at").alias("timestamp"),
-        levels.message_level(jsontext.as_text(level)).alias("level"),
-        F.when(_truthy(source), _column_text(source)).otherwise("unknown").alias("source"),
-        F.when(_truthy(message), _column_text(message))
-        .otherwise(F.col("content"))
-        .alias("message"),
+        levels.message_level(level.text).alias("level"),
+        F.when(source.truthy(), _column_text(source)).otherwise("unknown").alias("source"),
+        F.when(message.truthy(), _column_text(message)).otherwise(F.col("content")).alias("message"),
         F.col("content").alias("raw"),
     )
 
@@ -119,45 +93,36 @@ def skip_failed(messages: DataFrame, failed: DataFrame, key: tuple[str, ...] = (
     return messages.join(failed.select(*key).distinct(), list(key), "left_anti")
 
 
-def classify_bodies(df: DataFrame, as_of: Instant = None, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+def classify_bodies(
+    df: DataFrame, as_of: Instant = None, body: str = "body", keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Check directly ingested JSON bodies; ``reject_reason`` is null for accepted ones."""
-    now = instant(as_of)
-    parsed = df.select(*keep, F.col(body).alias("body"), jsontext.strict_json(F.col(body)).alias("_json"))
-    fields = parsed.select(
-        *keep,
-        "body",
-        F.col("_json").isNull().alias("_broken"),
-        *[
-            jsontext.field(F.col("_json"), name).alias(f"_{name}")
-            for name in ("timestamp", "level", "source", "message", "raw")
-        ],
-    )
-    level, message, stamp = F.col("_level"), F.col("_message"), F.col("_timestamp")
-    text = jsontext.as_text(message)
+    given = df.select(*keep, F.col(body).alias("body"))
+    fields = extract(given, "body", ("timestamp", "level", "source", "message", "raw"))
+    level, source, message = Field.of("level"), Field.of("source"), Field.of("message")
+    stamp, raw = Field.of("timestamp"), Field.of("raw")
     # Lengths count UTF-16 units; the encoding is only needed between half the limit and the limit.
-    too_long = (F.length(text) > MAX_MESSAGE_CHARS) | (
-        (F.length(text) > MAX_MESSAGE_CHARS // 2)
-        & (F.length(F.encode(text, "UTF-16BE")) > 2 * MAX_MESSAGE_CHARS)
+    too_long = (F.length(message.text) > MAX_MESSAGE_CHARS) | (
+        (F.length(message.text) > MAX_MESSAGE_CHARS // 2)
+        & (F.length(F.encode(message.text, "UTF-16BE")) > 2 * MAX_MESSAGE_CHARS)
     )
-    at = F.when(
-        jsontext.is_number(stamp) & _truthy(stamp), timestamps.millis(jsontext.as_double(stamp))
-    ).when(jsontext.is_string(stamp), timestamps.date_text(jsontext.as_text(stamp)))
-    source = F.when(
-        jsontext.is_string(F.col("_source")), F.left(jsontext.as_text(F.col("_source")), F.lit(MAX_SOURCE_CHARS))
+    at = F.when(stamp.is_number() & stamp.truthy(), timestamps.millis(stamp.number)).when(
+        stamp.is_string(), timestamps.date_text(stamp.text)
     )
+    origin = F.when(source.is_string() & source.truthy(), F.left(source.text, F.lit(MAX_SOURCE_CHARS)))
     return fields.select(
         *keep,
         "body",
-        F.when(F.col("_broken"), "invalid_json")
-        .when(~(_truthy(message) & jsontext.is_string(message)), "message_required")
+        F.when(F.col("root_kind").isNull(), "invalid_json")
+        .when(~(message.truthy() & message.is_string()), "message_required")
         .when(too_long, "message_too_long")
-        .when(_truthy(level) & ~jsontext.is_string(level), "level_not_text")
+        .when(level.truthy() & ~level.is_string(), "level_not_text")
         .alias("reject_reason"),
-        F.coalesce(at, now).alias("timestamp"),
-        levels.message_level(jsontext.as_text(level)).alias("level"),
-        F.when(source != "", source).otherwise("api").alias("source"),
-        text.alias("message"),
-        F.when(jsontext.is_string(F.col("_raw")), jsontext.as_text(F.col("_raw"))).alias("raw"),
+        F.coalesce(at, instant(as_of)).alias("timestamp"),
+        levels.message_level(level.text).alias("level"),
+        F.coalesce(origin, F.lit("api")).alias("source"),
+        message.text.alias("message"),
+        F.when(raw.is_string(), raw.text).alias("raw"),
     )
 
 
@@ -184,25 +149,23 @@ def ingest_rejects(df: DataFrame, as_of: Instant = None, body: str = "body", kee
     )
 
 
-def _all_of_type(text: Column, types: dict[str, str]) -> Column:
-    parsed = jsontext.strict_json(text)
-    checks = F.lit(True)
+def _of_types(df: DataFrame, column: str, types: dict[str, str]) -> DataFrame:
+    fields = extract(df, column, tuple(types))
     for name, wanted in types.items():
-        found = jsontext.kind(jsontext.field(parsed, name))
-        checks = checks & F.coalesce(found == wanted, F.lit(False))
-    return checks
+        fields = fields.filter(F.col(f"{name}_kind") == wanted)
+    return fields.select(*df.columns)
 
 
 def log_shaped(df: DataFrame, column: str = "body") -> DataFrame:
     """JSON objects whose five log fields are all text."""
     names = ("id", "message", "level", "source", "timestamp")
-    return df.filter(_all_of_type(F.col(column), {name: "STRING" for name in names}))
+    return _of_types(df, column, {name: "STRING" for name in names})
 
 
 def alert_shaped(df: DataFrame, column: str = "body") -> DataFrame:
     """JSON objects with the four alert text fields and a boolean ``acknowledged``."""
     types = {name: "STRING" for name in ("id", "message", "severity", "created_at")}
-    return df.filter(_all_of_type(F.col(column), {**types, "acknowledged": "BOOLEAN"}))
+    return _of_types(df, column, {**types, "acknowledged": "BOOLEAN"})
 
 
 # Largest field lengths of logs handed in for analysis.

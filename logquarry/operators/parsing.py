@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.functions import jsontext, levels, timestamps
+from logquarry.functions import levels, timestamps
+from logquarry.functions.jsontext import Field, extract, first_present
 from logquarry.functions.timerange import Instant, instant
 
-_FIELDS = (
-    "level", "severity", "log_level",
-    "message", "msg", "text",
-    "source", "service", "app",
-    "timestamp", "time", "ts",
-)
+# Names under which producers write level, message, source and time.
+LEVEL_FIELDS = ("level", "severity", "log_level")
+MESSAGE_FIELDS = ("message", "msg", "text")
+SOURCE_FIELDS = ("source", "service", "app")
+TIME_FIELDS = ("timestamp", "time", "ts")
 
 
 def parse_lines(
@@ -30,94 +30,61 @@ def parse_lines(
     source. ``keep`` names input columns to carry through.
     """
     now = instant(as_of)
-    text = F.col(line)
-    parsed = df.select(
-        *keep,
-        text.alias("_line"),
-        F.col(path).alias("_path"),
-        text.rlike(r"^[ \t\n\x0b\f\r]*$").alias("_blank"),
-        jsontext.strict_json(text).alias("_json"),
-    )
-    # One projection per step keeps the JSON parsed once and each field extracted once.
-    fields = parsed.select(
-        *keep,
-        "_line",
-        "_path",
-        "_blank",
-        *[jsontext.field(F.col("_json"), name).alias(f"_{name}") for name in _FIELDS],
+    lines = df.select(*keep, F.col(line).alias("_line"), F.col(path).alias("_path"))
+    fields = extract(lines, "_line", LEVEL_FIELDS + MESSAGE_FIELDS + SOURCE_FIELDS + TIME_FIELDS)
+    level, *other_levels = [Field.of(name) for name in LEVEL_FIELDS]
+    stamp, *other_times = [Field.of(name) for name in TIME_FIELDS]
+    other_level = first_present(other_levels)
+    other_time = first_present(other_times)
+    message = first_present([Field.of(name) for name in MESSAGE_FIELDS])
+    source = first_present([Field.of(name) for name in SOURCE_FIELDS])
+    # A chosen field that should be text but is not turns the whole line into plain text.
+    structured = (
+        (level.present() | other_level.is_string())
+        & message.is_string()
+        & (source.kind.isNull() | source.is_string())
+        & (stamp.present() | other_time.kind.isNull() | other_time.is_string())
     )
-    chosen = fields.select(
-        *keep,
-        "_line",
-        "_path",
-        "_blank",
-        "_level",
-        "_timestamp",
-        jsontext.first_present([F.col("_severity"), F.col("_log_level")]).alias("_other_level"),
-        jsontext.first_present([F.col("_message"), F.col("_msg"), F.col("_text")]).alias("_body"),
-        jsontext.first_present([F.col("_source"), F.col("_service"), F.col("_app")]).alias("_origin"),
-        jsontext.first_present([F.col("_time"), F.col("_ts")]).alias("_other_time"),
+    text = F.col("_line")
+    marked = fields.select(
+        "*",
+        structured.alias("_structured"),
+        text.rlike(r"^[ \t\n\x0b\f\r]*$").alias("_blank"),
     )
-    return chosen.withColumn("_structured", _is_structured()).select(
+    is_structured, blank = F.col("_structured"), F.col("_blank")
+    return marked.select(
         *keep,
-        F.when(F.col("_structured"), _timestamp(now)).otherwise(now).alias("timestamp"),
-        F.when(F.col("_blank"), "unknown")
-        .when(F.col("_structured"), _level())
-        .otherwise(levels.plain_text_level(F.col("_line")))
+        F.when(is_structured, _timestamp(stamp, other_time.text, now)).otherwise(now).alias("timestamp"),
+        F.when(blank, "unknown")
+        .when(is_structured, _level(level, other_level.text))
+        .otherwise(levels.plain_text_level(text))
         .alias("level"),
-        F.when(F.col("_blank"), F.col("_path"))
-        .when(
-            F.col("_structured"),
-            F.coalesce(jsontext.as_text(F.col("_origin")), F.lit("unknown")),
-        )
+        F.when(blank, F.col("_path"))
+        .when(is_structured, F.coalesce(source.text, F.lit("unknown")))
         .otherwise("plain_text")
         .alias("source"),
-        F.when(F.col("_structured"), jsontext.as_text(F.col("_body")))
-        .otherwise(F.col("_line"))
-        .alias("message"),
-        F.when(~F.col("_blank"), F.col("_line")).alias("raw"),
+        F.when(is_structured, message.text).otherwise(text).alias("message"),
+        F.when(~blank, text).alias("raw"),
     )
 
 
-def _is_structured() -> Column:
-    """A level and a message are there, and every chosen field that must be text is text."""
-    level = F.col("_level")
-    has_level = jsontext.present(level) | jsontext.is_string(F.col("_other_level"))
-    has_time = jsontext.present(F.col("_timestamp"))
-    other_time = F.col("_other_time")
-    return (
-        F.coalesce(has_level, F.lit(False))
-        & jsontext.is_string(F.col("_body"))
-        & (F.col("_origin").isNull() | jsontext.is_string(F.col("_origin")))
-        & (F.coalesce(has_time, F.lit(False)) | other_time.isNull() | jsontext.is_string(other_time))
-    )
-
-
-def _level() -> Column:
+def _level(level: Field, other: Column) -> Column:
     """``level`` may be text or an integer code; any other type means ``info``."""
-    level = F.col("_level")
-    coded = F.when(jsontext.kind(level) == "BIGINT", F.try_variant_get(level, "$", "long"))
     by_code = F.lit("info")
     for name, code in levels.LEVEL_CODES.items():
-        by_code = F.when(coded == code, name).otherwise(by_code)
+        by_code = F.when((level.kind == "BIGINT") & (level.number == code), name).otherwise(by_code)
     return (
-        F.when(jsontext.is_string(level), levels.line_level(jsontext.as_text(level)))
-        .when(jsontext.present(level), by_code)
-        .otherwise(levels.line_level(jsontext.as_text(F.col("_other_level"))))
+        F.when(level.is_string(), levels.line_level(level.text))
+        .when(level.present(), by_code)
+        .otherwise(levels.line_level(other))
     )
 
 
-def _timestamp(now: Column) -> Column:
-    stamp = F.col("_timestamp")
-    other = F.col("_other_time")
-    return (
-        F.when(
-            jsontext.is_number(stamp), timestamps.line_number(jsontext.as_double(stamp), now)
-        )
-        .when(jsontext.is_string(stamp), timestamps.line_text(jsontext.as_text(stamp), now))
-        .when(jsontext.present(stamp), now)
-        .when(other.isNotNull(), timestamps.line_text(jsontext.as_text(other), now))
-        .otherwise(now)
+def _timestamp(stamp: Field, other: Column, now: Column) -> Column:
+    """``timestamp`` may be a number or text; the other two names hold text."""
+    text = F.when(stamp.is_string(), stamp.text).when(~stamp.present(), other)
+    return F.when(stamp.is_number(), timestamps.line_number(stamp.number, now)).otherwise(
+        timestamps.line_text(text, now)
     )
 
 
