@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 _END = "\uf8f0json-end\uf8f1"
 
 
+NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE")
+
+
 class Field(NamedTuple):
     """One JSON value as plain columns.
 
@@ -35,7 +38,7 @@ class Field(NamedTuple):
         return F.coalesce(self.kind == "STRING", F.lit(False))
 
     def is_number(self) -> Column:
-        return F.coalesce(self.kind.isin("BIGINT", "DECIMAL", "DOUBLE"), F.lit(False))
+        return F.coalesce(self.kind.isin(*NUMBERS), F.lit(False))
 
     def truthy(self) -> Column:
         """Present and not one of the empty values ``""``, ``0`` and ``false``."""
@@ -62,16 +65,9 @@ def first_present(fields: list[Field]) -> Field:
     return Field(pick("kind"), pick("text"), pick("number"))
 
 
-def _kind(value: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-
-
-def _parts(value: Column, name: str) -> list[Column]:
-    return [
-        _kind(value).alias(f"{name}_kind"),
-        F.try_variant_get(value, "$", "string").alias(f"{name}_text"),
-        F.try_variant_get(value, "$", "double").alias(f"{name}_number"),
-    ]
+def kind_of(value: Column) -> Column:
+    schema = F.schema_of_variant(value)
+    return F.substring_index(F.substring_index(schema, "(", 1), "<", 1)
 
 
 def parse(df: DataFrame, column: str) -> DataFrame:
@@ -80,6 +76,9 @@ def parse(df: DataFrame, column: str) -> DataFrame:
     ``try_parse_json`` stops after the first value and ignores what follows, so ``{"a":1} junk``
     would pass. Wrapping the text in an array whose second item is a marker makes any trailing
     text either a syntax error or a third item.
+
+    The result comes out of a one-row generator: Spark moves no later filter below it, so a
+    filter on what was parsed does not cause a second parse.
     """
     text = F.col(column)
     wrapped = df.withColumn(
@@ -90,19 +89,30 @@ def parse(df: DataFrame, column: str) -> DataFrame:
         & F.try_variant_get("_wrapped", "$[2]", "variant").isNull()
         & ~text.contains(_END)
     )
-    return wrapped.withColumn("_json", F.when(whole, F.col("_wrapped"))).drop("_wrapped")
+    checked = wrapped.withColumn("_checked", F.when(whole, F.col("_wrapped")))
+    return checked.select(*df.columns, F.explode(F.array("_checked")).alias("_json"))
 
 
-def extract(df: DataFrame, column: str, names: tuple[str, ...]) -> DataFrame:
+def extract(
+    df: DataFrame, column: str, names: tuple[str, ...], numbers: tuple[str, ...] = ()
+) -> DataFrame:
     """Parse a JSON text column once and lay out its top-level fields as plain columns.
 
     Adds ``root_kind`` (null when the text is not valid JSON) and, per name, the columns of
-    ``Field``. The fields come out of a one-row generator: Spark moves no later filter or
-    expression below it, so nothing downstream can cause a second parse.
+    ``Field``; the number only for the names in ``numbers``.
     """
     variants = {f"_{name}": F.try_variant_get("_json", f"$[0].{name}", "variant") for name in names}
-    columns = [_kind(F.try_variant_get("_json", "$[0]", "variant")).alias("root_kind")]
+    kinds = {f"{name}_kind": kind_of(F.col(f"_{name}")) for name in names}
+    kinds["root_kind"] = kind_of(F.try_variant_get("_json", "$[0]", "variant"))
+    columns = [F.col(kind) for kind in kinds]
     for name in names:
-        columns += _parts(F.col(f"_{name}"), name)
-    parsed = parse(df, column).withColumns(variants)
-    return parsed.select(*df.columns, F.inline(F.array(F.struct(*columns))))
+        value, kind = F.col(f"_{name}"), F.col(f"{name}_kind")
+        number = F.lit(None).cast("double")
+        if name in numbers:
+            number = F.when(kind.isin(*NUMBERS), F.try_variant_get(value, "$", "double"))
+        columns += [
+            F.when(kind.isNotNull(), F.try_variant_get(value, "$", "string")).alias(f"{name}_text"),
+            number.alias(f"{name}_number"),
+        ]
+    parsed = parse(df, column).withColumns(variants).withColumns(kinds)
+    return parsed.select(*df.columns, *columns)

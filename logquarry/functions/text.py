@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 TOKEN_CHARS = r"\p{L}\p{N}\p{Co}"
 TOKEN = f"[{TOKEN_CHARS}]+"
 
-# Characters that separate words: Unicode white space plus the four information separators.
-NON_SPACE = (
-    r"[^\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-)
+# Characters that separate words: Unicode white space plus the four information separators. The
+# single characters come first because the regular expression engine keeps them in a bit set.
+SPACES = r"[ \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\p{Z}]+"
 
 # Keyword features look for these as substrings.
 ERROR_KEYWORDS = ("error", "exception", "failed", "timeout", "crash")
@@ -83,14 +82,13 @@ def line_has_phrase(line: Column, words: list[str]) -> Column:
     return line.contains(f" {' '.join(words)} ")
 
 
-def words(text: Column) -> Column:
-    """Lower-case words between runs of white space; a blank text has none."""
-    return F.regexp_extract_all(F.lower(text), F.lit(NON_SPACE), 0)
+def words(lowered: Column) -> Column:
+    """Words between runs of white space, of a text that is lower case already; blank has none."""
+    return F.array_remove(F.split(lowered, SPACES), "")
 
 
-def has_any(text: Column, keywords: tuple[str, ...]) -> Column:
-    """True when any keyword occurs inside the text, ignoring case."""
-    lowered = F.lower(text)
+def has_any(lowered: Column, keywords: tuple[str, ...]) -> Column:
+    """True when any keyword occurs inside a text that is lower case already."""
     hit = F.lit(False)
     for keyword in keywords:
         hit = hit | lowered.contains(keyword)

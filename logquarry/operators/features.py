@@ -18,32 +18,31 @@ BUSINESS_HOURS = (9, 17)
 def features(df: DataFrame, include_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """(log_id, timestamp, features...), all built-in expressions on one row at a time."""
     hour = F.coalesce(F.hour("timestamp"), F.lit(DEFAULT_HOUR))
-    base = df.select(
+    columns = [
         F.col("id").alias("log_id"),
-        "timestamp",
-        *keep,
+        F.col("timestamp"),
+        *[F.col(name) for name in keep],
         levels.level_code(F.col("level")).alias("level_encoded"),
         F.length("message").alias("message_length"),
         hour.alias("hour_of_day"),
         hour.between(*BUSINESS_HOURS).alias("is_business_hours"),
-        *(_text_columns() if include_text else ()),
-    )
+    ]
     if not include_text:
-        return base
-    return base.withColumns(
-        {
-            "word_count": F.size("_words"),
-            "unique_words": F.size(F.array_distinct("_words")),
-        }
-    ).select("log_id", "timestamp", *keep, *STATISTICAL, *TEXTUAL)
-
-
-def _text_columns() -> tuple[Column, ...]:
-    message = F.col("message")
+        return df.select(*columns)
+    # Lower case and words are columns of their own, so that each is computed once per message.
+    lowered = F.col("_lowered")
+    columns += [
+        text.words(lowered).alias("_words"),
+        text.has_any(lowered, text.ERROR_KEYWORDS).alias("has_error_keywords"),
+        text.has_any(lowered, text.WARNING_KEYWORDS).alias("has_warning_keywords"),
+    ]
     return (
-        text.words(message).alias("_words"),
-        text.has_any(message, text.ERROR_KEYWORDS).alias("has_error_keywords"),
-        text.has_any(message, text.WARNING_KEYWORDS).alias("has_warning_keywords"),
+        df.withColumn("_lowered", F.lower("message"))
+        .select(*columns)
+        .withColumns(
+            {"word_count": F.size("_words"), "unique_words": F.size(F.array_distinct("_words"))}
+        )
+        .select("log_id", "timestamp", *keep, *STATISTICAL, *TEXTUAL)
     )
 
 

@@ -52,7 +52,7 @@ def accept_bodies(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ())
     parsed = jsontext.parse(df.select(*keep, F.col(body).alias("_body")), "_body")
     items = parsed.select(
         *keep,
-        F.regexp_extract(F.schema_of_variant(F.try_variant_get("_json", "$[0]", "variant")), "^[A-Z]+", 0).alias("_kind"),
+        jsontext.kind_of(F.try_variant_get("_json", "$[0]", "variant")).alias("_kind"),
         F.try_variant_get("_json", "$[0]", "array<variant>").alias("_items"),
     )
     kept = items.withColumn(

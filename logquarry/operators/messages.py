@@ -24,6 +24,16 @@ def _column_text(field: Field) -> Column:
     )
 
 
+def _settled(df: DataFrame, reason: Column, *columns: Column | str) -> DataFrame:
+    """Select the columns and ``reject_reason``.
+
+    The reason passes a one-row generator. A filter on it then runs on the finished column;
+    otherwise Spark would move the filter below the projection and evaluate all of this twice.
+    """
+    done = df.select(*columns, reason.alias("_reason"))
+    return done.select("*", F.explode(F.array("_reason")).alias("reject_reason")).drop("_reason")
+
+
 def classify_messages(
     df: DataFrame,
     as_of: Instant = None,
@@ -36,7 +46,8 @@ def classify_messages(
     raw. The log id is derived from key and content, so a replay produces the same rows.
     """
     given = df.select(*key, F.col(content).alias("content"))
-    fields = extract(given, "content", ("timestamp", "level", "source", "message"))
+    names = ("timestamp", "level", "source", "message")
+    fields = extract(given, "content", names, numbers=names)
     level, source, message = Field.of("level"), Field.of("source"), Field.of("message")
 
     def unstorable(field: Field) -> Column:
@@ -51,10 +62,11 @@ def classify_messages(
         .when(unstorable(source), "source_not_text")
         .when(unstorable(message), "message_not_text")
     )
-    return stamped.select(
+    return _settled(
+        stamped,
+        reason,
         *key,
         "content",
-        reason.alias("reject_reason"),
         ids.content_id(*[F.col(k) for k in key], F.col("content")).alias("log_id"),
         F.col("_at").alias("timestamp"),
         levels.message_level(level.text).alias("level"),
@@ -98,7 +110,8 @@ def classify_bodies(
 ) -> DataFrame:
     """Check directly ingested JSON bodies; ``reject_reason`` is null for accepted ones."""
     given = df.select(*keep, F.col(body).alias("body"))
-    fields = extract(given, "body", ("timestamp", "level", "source", "message", "raw"))
+    names = ("timestamp", "level", "source", "message", "raw")
+    fields = extract(given, "body", names, numbers=names)
     level, source, message = Field.of("level"), Field.of("source"), Field.of("message")
     stamp, raw = Field.of("timestamp"), Field.of("raw")
     # Lengths count UTF-16 units; the encoding is only needed between half the limit and the limit.
@@ -110,14 +123,17 @@ def classify_bodies(
         stamp.is_string(), timestamps.date_text(stamp.text)
     )
     origin = F.when(source.is_string() & source.truthy(), F.left(source.text, F.lit(MAX_SOURCE_CHARS)))
-    return fields.select(
-        *keep,
-        "body",
+    reason = (
         F.when(F.col("root_kind").isNull(), "invalid_json")
         .when(~(message.truthy() & message.is_string()), "message_required")
         .when(too_long, "message_too_long")
         .when(level.truthy() & ~level.is_string(), "level_not_text")
-        .alias("reject_reason"),
+    )
+    return _settled(
+        fields,
+        reason,
+        *keep,
+        "body",
         F.coalesce(at, instant(as_of)).alias("timestamp"),
         levels.message_level(level.text).alias("level"),
         F.coalesce(origin, F.lit("api")).alias("source"),

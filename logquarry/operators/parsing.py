@@ -31,7 +31,7 @@ def parse_lines(
     """
     now = instant(as_of)
     lines = df.select(*keep, F.col(line).alias("_line"), F.col(path).alias("_path"))
-    fields = extract(lines, "_line", LEVEL_FIELDS + MESSAGE_FIELDS + SOURCE_FIELDS + TIME_FIELDS)
+    fields = extract(lines, "_line", LEVEL_FIELDS + MESSAGE_FIELDS + SOURCE_FIELDS + TIME_FIELDS, ("level", "timestamp"))
     level, *other_levels = [Field.of(name) for name in LEVEL_FIELDS]
     stamp, *other_times = [Field.of(name) for name in TIME_FIELDS]
     other_level = first_present(other_levels)

@@ -7,10 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# All timestamps are UTC instants; JSON objects with a repeated key keep the last value.
 SETTINGS = {
+    # All timestamps are UTC instants.
     "spark.sql.session.timeZone": "UTC",
+    # JSON objects with a repeated key keep the last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # The JVM interprets methods above 8,000 bytes of bytecode instead of compiling them. Stages
+    # with that much generated code run faster as separate operators, whose code is split up.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -46,6 +50,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for work on a table with fewer splits than cores (a small file).
+
+    Tables with enough splits are returned as they are: no shuffle is added at scale. The rows
+    go by hash of a unique key, so a repeated task gets the same rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Run ``df`` once and cut its lineage through reliable storage."""
     checkpoint_dir(df.sparkSession)

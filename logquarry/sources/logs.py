@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logquarry.functions import text
 from logquarry.functions.timerange import Instant, with_log_date
@@ -38,10 +39,8 @@ class LogTable:
     def __init__(self, spark: SparkSession, path: str, token_lines: bool = False) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
-        self.schema = LOG
-        if token_lines:
-            for column in TOKEN_LINES.values():
-                self.schema = self.schema.add(column, "string")
+        stored = TOKEN_LINES.values() if token_lines else ()
+        self.schema = T.StructType([*LOG.fields, *[T.StructField(name, T.StringType()) for name in stored]])
 
     def scan(self) -> DataFrame:
         return read_or_empty(self.spark, self.path, self.schema)
