@@ -14,10 +14,11 @@ def append_conflicts(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """
     counts = batch.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     repeated = counts.filter(F.col("n") > 1).select("id", F.lit("repeated_in_batch").alias("reason"))
-    known = counts.join(stored.select("id"), "id", "left_semi").select(
+    # An inner join, because Spark would move a semi-join below the aggregation.
+    known = counts.join(stored.select("id"), "id").select(
         "id", F.lit("already_stored").alias("reason")
     )
-    return repeated.unionByName(known)
+    return repeated.unionByName(known.distinct())
 
 
 def new_rows(batch: DataFrame, stored: DataFrame) -> DataFrame:

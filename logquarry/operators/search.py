@@ -15,6 +15,9 @@ from logquarry.schema import LOG_FIELDS
 DEFAULT_LIMIT = 50
 MAX_LIMIT = 1000
 
+# Offsets up to this are left to the top-k itself.
+DEEP_OFFSET = 10_000
+
 # Columns a LogTable may store beside the text so that a search needs no tokenising.
 TOKEN_LINES = {"message": "message_tokens", "source": "source_tokens"}
 
@@ -99,11 +102,47 @@ def search(
     limit: object = None,
     offset: object = None,
 ) -> Page:
-    """Newest matching logs first; equal timestamps are ordered by id."""
+    """Newest matching logs first; equal timestamps are ordered by id.
+
+    A page deep in the results is found by counting first (see ``skip_ahead``), which runs a few
+    small jobs right away; other pages are lazy.
+    """
     size, skip = page_arguments(limit, offset)
     matches = matching(df, q, level, source, start, end)
-    rows = matches.select(*LOG_FIELDS).orderBy(F.desc("timestamp"), "id").offset(skip).limit(size)
-    return Page(rows, matches)
+    rows, skip = skip_ahead(matches, skip) if skip > DEEP_OFFSET else (matches, skip)
+    page = rows.select(*LOG_FIELDS).orderBy(F.desc("timestamp"), "id").offset(skip).limit(size)
+    return Page(page, matches)
+
+
+def skip_ahead(matches: DataFrame, skip: int) -> tuple[DataFrame, int]:
+    """Leave out the newest rows that an offset would skip anyway: the rest, and what to skip in it.
+
+    A top-k keeps offset + limit rows per task and merges them in one place. Counting the matches
+    per month, then per hour of the month reached, then per second of that hour tells how many
+    rows lie above each boundary, so only the rows of one second remain to be skipped.
+    """
+    inside = matches
+    for unit, width in (("month", "1 month"), ("hour", "1 hour"), ("second", "1 second")):
+        counts = (
+            inside.filter(F.col("timestamp").isNotNull())
+            .groupBy(F.date_trunc(unit, "timestamp").alias("begin"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.desc("begin"))
+            .select(F.col("begin").cast("string"), "n")
+            .collect()
+        )
+        for begin, n in counts:
+            if n > skip:
+                break
+            skip -= n
+        else:
+            # Every dated row is skipped.
+            return matches.filter(F.col("timestamp").isNull()), skip
+        low = F.lit(begin).cast("timestamp")
+        below = F.col("timestamp") < low + F.expr(f"INTERVAL {width}")
+        matches = matches.filter(below)
+        inside = matches.filter(F.col("timestamp") >= low)
+    return matches, skip
 
 
 def recent(df: DataFrame, n: int) -> DataFrame:

@@ -115,6 +115,7 @@ _sql(
     f"""SELECT * FROM logs WHERE source = 'svc-3' AND timestamp BETWEEN '{SINCE}' AND '2024-01-20 12:00:00'
         ORDER BY timestamp DESC, id LIMIT 1000""",
 )
+_sql("log_search_deep", "all_logs", "SELECT * FROM all_logs ORDER BY timestamp DESC, id LIMIT 100 OFFSET 10500")
 _sql("log_recent", "logs", "SELECT * FROM logs ORDER BY timestamp DESC, id LIMIT 20")
 _sql("log_get", "logs", "SELECT * FROM logs WHERE id = 'ev-000000000042'")
 _sql("log_fetch_since", "logs", "SELECT * FROM logs WHERE id > 'ev-000000000500' ORDER BY id LIMIT 1000")

@@ -85,6 +85,11 @@ def log_search_range(spark, sf_dir):
     return search.search(logs, source="svc-3", start=SINCE, end="2024-01-20 12:00:00", limit=1000).rows
 
 
+@query
+def log_search_deep(spark, sf_dir):
+    return search.search(views.all_logs(spark, sf_dir), limit=100, offset=10_500).rows
+
+
 @query
 def log_recent(spark, sf_dir):
     return search.recent(views.logs(spark, sf_dir), 20)

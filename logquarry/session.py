@@ -50,14 +50,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# A table with at most this many splits is small: a split holds 128 MB unless configured otherwise.
+FEW_SPLITS = 16
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for work on a table with fewer splits than cores (a small file).
+    """Use all cores for costly work on a small table (few splits, and fewer than cores).
 
-    Tables with enough splits are returned as they are: no shuffle is added at scale. The rows
-    go by hash of a unique key, so a repeated task gets the same rows.
+    Larger tables are returned as they are: no shuffle is added at scale. The rows go by hash of
+    a unique key, so a repeated task gets the same rows.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores, key) if splits <= min(FEW_SPLITS, cores - 1) else df
 
 
 def materialise(df: DataFrame) -> DataFrame:

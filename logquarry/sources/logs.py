@@ -84,13 +84,18 @@ class LogTable:
         """Store one log (the same rules)."""
         return self.append_batch(entry)
 
-    def append_new(self, logs: DataFrame) -> int:
+    def append_new(self, logs: DataFrame, look_up: bool = True) -> int:
         """Store the rows whose id is not stored yet; a replayed batch adds nothing.
 
         Ids and timestamps of replayed messages are the same as before, so only the days the
-        batch touches are looked at.
+        batch touches are looked at. ``look_up=False`` is for rows known to be new.
         """
         rows = self._prepared(logs).persist()
+        if not look_up:
+            count = rows.count()
+            self._write(rows, self.path, "append")
+            rows.unpersist()
+            return count
         days = rows.select("log_date").distinct().limit(MAX_NAMED_DAYS + 1).collect()
         stored = self.scan()
         if len(days) <= MAX_NAMED_DAYS:

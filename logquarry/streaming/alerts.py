@@ -46,14 +46,16 @@ def start_detection(
             new = materialise(alerts_from(findings, alerts.read(), dedup_hours, now))
             created = alerts.append(new).count()
             findings.runs_frame(spark).coalesce(1).write.mode("overwrite").parquet(
-                batch_folder(f"{runs}/detectors", batch_id)
+                batch_folder(f"{runs}/detectors", checkpoint, batch_id)
             )
             record = spark.range(1).select(
                 F.lit(seen).cast("long").alias("logs_processed"),
                 F.lit(created).cast("long").alias("alerts_created"),
                 F.current_timestamp().alias("polled_at"),
             )
-            record.coalesce(1).write.mode("overwrite").parquet(batch_folder(f"{runs}/polls", batch_id))
+            record.coalesce(1).write.mode("overwrite").parquet(
+                batch_folder(f"{runs}/polls", checkpoint, batch_id)
+            )
         batch.unpersist()
 
     return (
@@ -74,4 +76,4 @@ def poll_runs(spark: SparkSession, runs: str) -> DataFrame:
 
 def detector_runs(spark: SparkSession, runs: str) -> DataFrame:
     """Run records of all detectors."""
-    return spark.read.parquet(f"{runs}/detectors").drop("batch_id")
+    return spark.read.parquet(f"{runs}/detectors").drop("stream", "batch_id")

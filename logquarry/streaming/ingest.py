@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,13 +34,19 @@ def read_stream(
     return reader.option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
-def batch_folder(path: str, batch_id: int) -> str:
-    """Where a micro-batch writes: a replay of the batch replaces its own folder only."""
-    return f"{path}/batch_id={batch_id}"
+def batch_folder(path: str, checkpoint: str, batch_id: int) -> str:
+    """Where a micro-batch writes: a replay of the batch replaces its own folder only.
+
+    Batch numbers start again with a new checkpoint, so the checkpoint is part of the name.
+    """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    return f"{path}/stream={stream}/batch_id={batch_id}"
 
 
 def dead_letter_table(spark: SparkSession, path: str) -> DataFrame:
-    return read_or_empty(spark, path, T.StructType([*DEAD_LETTER.fields, T.StructField("batch_id", T.LongType())]))
+    """All dead letters, with the stream and micro-batch that set them aside."""
+    origin = [T.StructField("stream", T.StringType()), T.StructField("batch_id", T.LongType())]
+    return read_or_empty(spark, path, T.StructType([*DEAD_LETTER.fields, *origin]))
 
 
 def start_ingest(
@@ -48,23 +56,34 @@ def start_ingest(
     checkpoint: str,
     interval: str | None = CONSUME_INTERVAL,
     key: tuple[str, ...] = ("id",),
+    recheck: bool = True,
 ) -> StreamingQuery:
     """Normalise streamed messages (key, content) into the log table.
 
     ``current_timestamp`` is fixed per micro-batch and kept in the checkpoint, and log ids come
     from the content, so a micro-batch that is run again writes the same rows: the log table
     skips known ids, and the dead letters of a batch replace themselves.
+
+    Known ids are looked up in the days a micro-batch touches. When no message is ever delivered
+    twice, only the first micro-batch after a start can be a repetition; ``recheck=False`` looks
+    up ids for that one only, which keeps the others independent of the size of the day.
     """
+    started = False
+
     classified = classify_messages(messages, key=key).withColumn("failed_at", F.current_timestamp())
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        nonlocal started
         batch = batch.persist()
         failed = batch.filter(F.col("reject_reason").isNotNull()).select(
             *key, "content", F.col("reject_reason").alias("reason"), "failed_at"
         )
-        failed.write.mode("overwrite").parquet(batch_folder(dead_letters, batch_id))
+        failed.write.mode("overwrite").parquet(batch_folder(dead_letters, checkpoint, batch_id))
         accepted = batch.filter(F.col("reject_reason").isNull())
-        logs.append_new(accepted.drop("id").withColumnRenamed("log_id", "id"))
+        logs.append_new(
+            accepted.drop("id").withColumnRenamed("log_id", "id"), look_up=recheck or not started
+        )
+        started = True
         batch.unpersist()
 
     return (

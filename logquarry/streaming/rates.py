@@ -62,10 +62,13 @@ def start_updates(
     name: str,
     interval: str | None = RULE_INTERVAL,
 ) -> StreamingQuery:
-    """Write the windows that changed in each micro-batch; a replay replaces its own folder."""
+    """Write the windows that changed in each micro-batch; a replay replaces its own folder.
+
+    The folder belongs to one checkpoint: a new one counts from scratch and needs a new folder.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        batch.write.mode("overwrite").parquet(batch_folder(path, checkpoint, batch_id))
 
     return (
         windows.writeStream.queryName(name)
@@ -79,7 +82,7 @@ def start_updates(
 
 def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Current value of every window: the row of its last micro-batch."""
-    updates = spark.read.parquet(path)
+    updates = spark.read.parquet(path).drop("stream")
     values = [c for c in updates.columns if c not in (key, "batch_id")]
     newest = updates.groupBy(key).agg(F.max_by(F.struct(*values), "batch_id").alias("row"))
     return newest.select(key, *[F.col(f"row.{c}").alias(c) for c in values])

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import NOW, ago
+from logquarry.functions.text import words
 from logquarry.operators import features, search, stats, terms
 
 ROWS = [
@@ -68,6 +70,18 @@ def test_page_arguments(arguments, page):
     assert search.page_arguments(*arguments) == page
 
 
+@pytest.mark.parametrize("skip", [0, 1, 39, 40, 41, 119, 120, 150, 200])
+def test_deep_pages(make_logs, skip):
+    """Rows crowd in one second, one hour and several months."""
+    times = ["2026-02-01 00:00:05"] * 40 + [f"2026-02-01 00:{m:02d}:00" for m in range(40)] + [f"2025-{m:02d}-28 23:59:59.5" for m in range(1, 13)] * 4
+    logs = make_logs([(f"{i:03d}", t, "info", "s", "m") for i, t in enumerate(times)])
+    ordered = [r.id for r in logs.orderBy(F.desc("timestamp"), "id").collect()]
+    rest, left = search.skip_ahead(logs, skip)
+    assert left <= 40 or skip >= len(ordered)
+    page = rest.orderBy(F.desc("timestamp"), "id").offset(left).limit(7)
+    assert [r.id for r in page.collect()] == ordered[skip : skip + 7]
+
+
 def test_phrase_folds_case_and_accents(make_logs):
     logs = make_logs([("1", ago(), "info", "s", "Le CAFÉ́ est fermé_ici"), ("2", ago(), "info", "s", "cafetière")])
     for phrase in ("cafe est", "Café EST", "ferme ici"):
@@ -161,8 +175,4 @@ def test_features(make_logs):
 def test_word_split_matches_python(spark):
     texts = ["".join(random.Random(i).choices("ab \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　​À", k=30)) for i in range(50)]
     df = spark.createDataFrame([(t, t.lower().split()) for t in texts], "t string, want array<string>")
-    from pyspark.sql import functions as F
-
-    from logquarry.functions.text import words
-
     assert df.filter(words(F.lower("t")) != F.col("want")).count() == 0

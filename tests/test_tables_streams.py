@@ -141,6 +141,16 @@ def test_ingest_stream_restarts_without_loss_or_copies(spark, tmp_path):
     assert table.scan().filter("message = 'new'").count() == 1
 
 
+def test_ingest_stream_can_skip_the_look_up(spark, tmp_path):
+    folder, dead, state = (str(tmp_path / n) for n in ("in", "dead", "state"))
+    table = LogTable(spark, str(tmp_path / "logs"))
+    for i in range(3):
+        write_messages(spark, folder, [(i, json.dumps({"message": f"m{i}", "timestamp": 1709290800 + i}))])
+    source = ingest.read_stream(spark, folder, "id long, content string", max_files=1)
+    ingest.start_ingest(source, table, dead, state, interval=None, recheck=False).awaitTermination()
+    assert sorted(r.message for r in table.scan().collect()) == ["m0", "m1", "m2"]
+
+
 def test_detection_stream_deduplicates(spark, tmp_path, mixed_logs):
     folder = str(tmp_path / "logs")
     schema = mixed_logs.schema
