@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import unicodedata
 
 from pyspark.sql import Column
@@ -42,6 +43,11 @@ _FOLD = {
 }
 
 
+def ascii_lower(text: Column) -> Column:
+    """Lower case for A to Z only, as in a case-insensitive LIKE."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def fold(text: Column) -> Column:
     """Lower case without Latin diacritics."""
     return F.translate(F.lower(text), _ACCENTED, _PLAIN)

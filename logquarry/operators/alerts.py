@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions import ids
+from logquarry.functions.text import ascii_lower
 from logquarry.functions.timerange import Instant, before, in_range, instant
 from logquarry.operators.search import Page, page_arguments
 from logquarry.schema import ALERT, SEVERITIES, SYSTEM_LOG_ID
@@ -49,7 +50,7 @@ def open_since(df: DataFrame, hours: float = 1.0, as_of: Instant = None) -> Data
 def similar_alert(df: DataFrame, pattern: str, severity: str, hours: float = 1.0, as_of: Instant = None) -> DataFrame:
     """The first open alert of that severity whose message contains the text (or no row)."""
     same = open_since(df, hours, as_of).filter(F.col("severity") == severity)
-    hit = F.lower("message").contains(pattern.lower())
+    hit = ascii_lower(F.col("message")).contains(ascii_lower(F.lit(pattern)))
     return same.filter(hit).orderBy("created_at", "id").limit(1)
 
 

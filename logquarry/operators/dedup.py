@@ -11,20 +11,15 @@ the join is an equi-join without hot keys, however many alerts share a message.
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logquarry.functions.text import ascii_lower
 from logquarry.session import materialise
 
 PREFIX_CHARS = 50
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-
-
 def _substrings(text: Column, lengths: Column) -> Column:
     """All distinct substrings of the given lengths."""
 

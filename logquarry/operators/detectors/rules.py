@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,13 +177,26 @@ class ErrorBurst(Detector):
 
 
 class VolumeSpike(Detector):
-    def __init__(self, std_threshold: float = SPIKE_DEVIATIONS, baseline_hours: float | None = None) -> None:
+    """Looks at the given logs, or, with ``history``, at the last hours of the stored ones.
+
+    A micro-batch rarely spans the hours a baseline needs; ``history`` (for example the ``scan``
+    of a log table) is called on every run and supplies them.
+    """
+
+    def __init__(
+        self,
+        std_threshold: float = SPIKE_DEVIATIONS,
+        baseline_hours: float | None = None,
+        history: Callable[[], DataFrame] | None = None,
+    ) -> None:
         super().__init__("volume_spike")
         self.std_threshold = std_threshold
-        self.baseline_hours = baseline_hours
+        self.baseline_hours = BASELINE_HOURS if history and baseline_hours is None else baseline_hours
+        self.history = history
 
     def detect(self, logs: DataFrame, as_of: Instant = None) -> DataFrame:
-        return volume_spike(logs, self.std_threshold, self.baseline_hours, as_of)
+        given = self.history() if self.history else logs
+        return volume_spike(given, self.std_threshold, self.baseline_hours, as_of)
 
 
 class SourceAnomaly(Detector):

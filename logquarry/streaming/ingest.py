@@ -14,7 +14,7 @@ from logquarry.sources.files import read_or_empty
 from logquarry.sources.logs import LogTable
 from logquarry.schema import DEAD_LETTER
 
-# How often the parts of the pipeline poll, and how many lines they take at once.
+# How often lines are shipped, messages taken, logs examined and the rule checked.
 SHIP_INTERVAL = "1 second"
 CONSUME_INTERVAL = "5 seconds"
 DETECT_INTERVAL = "30 seconds"

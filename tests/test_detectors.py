@@ -44,6 +44,8 @@ def test_volume_spike(make_logs, mixed_logs):
     assert found["current_count"] == 40
     assert found["z_score"] == pytest.approx(z)
     assert rules.volume_spike(logs, 3.0, baseline_hours=3, as_of=NOW).count() == 0
+    live = rules.VolumeSpike(3.0, history=lambda: logs)
+    assert live.baseline_hours == 24 and live.detect(logs.limit(1), NOW).count() == 1
     even = make_logs([(f"{h}-{i}", ago(hours=h), "info", "s", "m") for h in range(5) for i in range(3)])
     assert rules.volume_spike(even, -5.0, as_of=NOW).count() == 0
 
