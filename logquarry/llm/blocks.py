@@ -51,6 +51,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+PACKED = "chunk long, block binary"
+
+
+def to_ipc(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def packed(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """Blocks with all their columns, one row each."""
+    for chunk, block in zip(chunk_ids(), tables):
+        yield pa.RecordBatch.from_pydict(
+            {"chunk": pa.array([chunk], pa.int64()), "block": pa.array([to_ipc(block)], pa.binary())}
+        )
+
+
 def shard_count(keys: int | None) -> int:
     return max(LEAST_SHARDS, -(-(keys or 0) // SHARD_KEYS))
 

@@ -8,7 +8,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.llm import blocks
-from logquarry.llm import bpe
+from logquarry.llm import bpe, decontaminate, linededup
+
+# White space at the ends of a line, and A-Z to lower case, in DuckDB.
+STRIPPED = r"regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
+
+# Lower-cased words of a text, in DuckDB.
+WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL = {
+    "op1_decontaminate": f"""
+with bench as (select cast(item_id as varchar) as item, {WORDS.format("text")} as w from benchmark),
+pieces as (
+  select item, w, least(len(w), 10) as n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from bench where len(w) > 0),
+wins as (select distinct item, n, array_to_string(w[i : i + n - 1], ' ') as win from pieces),
+sizes as (select distinct n from wins),
+docs as (select row_number() over () as row, doc_id, {WORDS.format("text")} as w from documents),
+places as (select row, n, w, unnest(range(1, len(w) - n + 2)) as i from docs, sizes where len(w) >= n),
+hits as (
+  select p.row, p.n, p.i, b.item from (select row, n, i, array_to_string(w[i : i + n - 1], ' ') as win from places) p
+  join wins b on b.n = p.n and b.win = p.win),
+words_hit as (
+  select row, count(*) as n_hit from (select distinct row, unnest(range(i, i + n)) as word from hits) group by row),
+items as (
+  select row, count(*) as n_items, string_agg(item, ',' order by item) as listed
+  from (select distinct row, item from hits) group by row)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join words_hit using (row) left join items using (row)""",
+    "op8_line_dedup": f"""
+with lines as (
+  select row, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place
+  from (select row_number() over () as row, doc_id, text from documents)),
+keyed as (select *, {STRIPPED.format("line")} as key from lines),
+common as (
+  select key, max(doc_id) as last from keyed where length(key) >= 20 group by key having count(distinct row) >= 3)
+select k.doc_id, count(*) as n_lines, count(c.last) filter (k.doc_id <> c.last) as n_dropped,
+  sha256(coalesce(string_agg(k.line, chr(10) order by k.place) filter (c.key is null or k.doc_id = c.last), '')) as kept_sha256
+from keyed k left join common c using (key) group by k.row, k.doc_id""",
+}
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -17,6 +56,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return blocks.prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,9 +81,15 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_common_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
