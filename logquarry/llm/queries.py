@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.llm import blocks
-from logquarry.llm import bpe, decontaminate, langid, linededup, topk
+from logquarry.llm import bpe, decontaminate, langid, linededup, topk, warc
+from logquarry.session import scratch_path
 
 # White space at the ends of a line, and A-Z to lower case, in DuckDB.
 STRIPPED = r"regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
@@ -36,6 +37,14 @@ items as (
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from docs left join words_hit using (row) left join items using (row)""",
+    "op2_warc": """
+with p as (select page_id, encode(coalesce(html, '')) as raw from pages),
+d as (select page_id, octet_length(raw) as payload_bytes, sha1(raw) as payload_digest, sha256(raw) as same from p),
+big as (select same, max(page_id) as last from d where payload_bytes >= 1000 group by same)
+select page_id, payload_bytes, payload_digest,
+  case when page_id <> last then 'revisit' else 'response' end as record_type,
+  case when page_id <> last then last end as refers_to
+from d left join big on big.same = d.same and payload_bytes >= 1000""",
     "op7_exact_top_k": """
 with ok as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as t from embeddings
@@ -61,7 +70,6 @@ select k.doc_id, count(*) as n_lines, count(c.last) filter (k.doc_id <> c.last)
 from keyed k left join common c using (key) group by k.row, k.doc_id""",
 }
 
-DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +88,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn(
         "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
