@@ -8,6 +8,7 @@ block and not once per occurrence, which also bounds what a hot key brings to it
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,6 +45,20 @@ def chunk_ids() -> Iterator[int]:
         first += 1
 
 
+def block_table(df: DataFrame, name: str) -> DataFrame:
+    """Blocks as a table bucketed by block in the shared scratch folder.
+
+    ``combine`` then reads the blocks where they lie, and only the answers are shuffled.
+    """
+    spark = df.sparkSession
+    path, buckets = scratch_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "chunk").option("path", path).format("parquet").saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # only the entry of the catalog; the files stay
+    return found
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared scratch folder."""
     path = scratch_path(df.sparkSession, name)

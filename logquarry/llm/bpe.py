@@ -175,7 +175,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     that no token covers alone would be an error of the rank file.
     """
     B.prepare(docs.sparkSession)
-    table = B.written(_block_table(docs, pattern), "bpe")
+    table = B.block_table(_block_table(docs, pattern), "bpe")
     shards = min(B.shard_count(B.total(table, "n_words")), 1 << 16)
 
     def by_shard(homes: np.ndarray) -> np.ndarray:

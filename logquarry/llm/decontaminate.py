@@ -190,7 +190,7 @@ def _through(docs: DataFrame, items: DataFrame, n: int, act, schema, max_broadca
 def _sharded(docs: DataFrame, windows: DataFrame, act, schema) -> DataFrame:
     """The same where the windows are too many to broadcast."""
     lengths = [row.n for row in windows.select("n").distinct().collect()]  # n at most
-    table = B.written(docs.mapInArrow(lambda batches: B.packed(T.blocks(batches, "text")), B.PACKED), "texts")
+    table = B.block_table(docs.mapInArrow(lambda batches: B.packed(T.blocks(batches, "text")), B.PACKED), "texts")
     shards = B.shard_count(windows.count())
 
     def requests(row):

@@ -116,7 +116,7 @@ def drop_common_lines(docs: DataFrame, documents: int = 3, code_points: int = 20
     all its lines but those in the document with the largest id. The others stay, joined by \\n.
     """
     B.prepare(docs.sparkSession)
-    table = B.written(_block_table(docs, code_points), "lines")
+    table = B.block_table(_block_table(docs, code_points), "lines")
     shards = B.shard_count(B.total(table, "n_keys"))
 
     def requests(row):
