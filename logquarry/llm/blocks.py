@@ -120,13 +120,17 @@ def ask(table: DataFrame, requests: Callable, *columns: str) -> DataFrame:
 
 
 def answer(requests: DataFrame, serve: Callable) -> DataFrame:
-    """serve(list of bodies, list of blocks) gives one body per request, or None for no answer."""
+    """serve(list of bodies, list of blocks) gives one body per request, or None for no answer.
+
+    Bodies beyond those are reports of the shard; they get the block number -1.
+    """
 
     def run(key, table):
         # A fixed order, whatever order the shuffle brought the rows in.
         table = table.sort_by("chunk")
         bodies, chunks = table.column("body").to_pylist(), table.column("chunk").to_pylist()
         out = serve(bodies, chunks)
+        chunks += [-1] * (len(out) - len(chunks))
         keep = [i for i, body in enumerate(out) if body is not None]
         return pa.table(
             {

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.llm import blocks
-from logquarry.llm import bpe, decontaminate, langid, linededup, neardup, topk, warc
+from logquarry.llm import bpe, decontaminate, langid, linededup, lm, neardup, topk, warc
 from logquarry.session import scratch_path
 
 # White space at the ends of a line, and A-Z to lower case, in DuckDB.
@@ -96,6 +96,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    scores = lm.score(table(spark, sf_dir, "documents").withColumn("train", ~held_out))
+    return scores.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn(
         "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
