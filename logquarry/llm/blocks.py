@@ -24,8 +24,8 @@ REQUESTS = "shard int, chunk long, body binary"
 SHARD_KEYS = 1_000_000
 LEAST_SHARDS = 64
 ARROW = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
@@ -53,7 +53,8 @@ def block_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path, buckets = scratch_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, "chunk").option("path", path).format("parquet").saveAsTable(table)
+    # The columns of a block are compressed already.
+    df.write.bucketBy(buckets, "chunk").option("compression", "none").option("path", path).format("parquet").saveAsTable(table)
     found = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # only the entry of the catalog; the files stay
     return found

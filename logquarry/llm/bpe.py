@@ -29,6 +29,8 @@ BLOCK_TABLE = (
     "chunk long, ids array<long>, counts binary, seq binary, homes binary, words binary, n_words long"
 )
 IDS = "doc_id long, ids binary"
+# Bytes of text in a block: its words are Python strings for a while.
+BLOCK = 6 << 20
 # Words longer than this are merged with a heap.
 LONG_WORD = 64
 
@@ -125,7 +127,7 @@ def _unpack_words(blob: bytes) -> list[bytes]:
 def _block_table(docs: DataFrame, pattern: str) -> DataFrame:
     def run(batches):
         split = regex.compile(pattern).findall
-        for chunk, block in zip(B.chunk_ids(), T.blocks(batches, "text")):
+        for chunk, block in zip(B.chunk_ids(), T.blocks(batches, "text", BLOCK)):
             local: dict[str, int] = {}
             parts, counts = [], []
             for text in block.column("text").to_pylist():
