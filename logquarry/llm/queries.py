@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.llm import blocks
-from logquarry.llm import bpe, decontaminate, langid, linededup, lm, neardup, topk, warc
+from logquarry.llm import bpe, decontaminate, langid, linededup, lm, neardup, suffixdedup, topk, warc
 from logquarry.session import scratch_path
 
 # White space at the ends of a line, and A-Z to lower case, in DuckDB.
@@ -140,6 +140,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_repeated", F.size("spans").cast("long").alias("n_spans"), "spans")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -43,6 +43,8 @@ SHARD_BYTES = 32 << 20
 ROLL_BYTES = 16 << 20
 # Sampled pages that place the borders of the shards.
 SAMPLE = 20_000
+# Bytes given to the decompressor at once.
+FEED = 1 << 14
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "shard int, part int, temporary string, file string, records long, bytes long, sha256 string"
 RECORDS = (
@@ -97,11 +99,16 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, target: in
 
 def read_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of every record of an archive."""
-    view = memoryview(raw)
-    while len(view):
-        unpacker = zlib.decompressobj(31)
-        record = unpacker.decompress(view)
-        view = view[len(view) - len(unpacker.unused_data) :]
+    at = 0
+    while at < len(raw):
+        unpacker, pieces = zlib.decompressobj(31), []
+        while not unpacker.eof:  # fed in pieces: what follows the member is copied each time
+            pieces.append(unpacker.decompress(raw[at : at + FEED]))
+            at += min(FEED, len(raw) - at)
+            if at >= len(raw) and not unpacker.eof:
+                raise ValueError("the archive ends within a record")
+        at -= len(unpacker.unused_data)
+        record = b"".join(pieces)
         head, _, rest = record.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield fields, rest[: int(fields["Content-Length"])]
