@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.llm import blocks
-from logquarry.llm import bpe, decontaminate, langid, linededup, lm, neardup, suffixdedup, topk, warc
+from logquarry.llm import bpe, decontaminate, langid, licenses, linededup, lm, neardup, suffixdedup, topk, warc
+from logquarry.llm.license_texts import TEMPLATES
 from logquarry.session import scratch_path
 
 # White space at the ends of a line, and A-Z to lower case, in DuckDB.
@@ -17,7 +18,43 @@ STRIPPED = r"regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdef
 # Lower-cased words of a text, in DuckDB.
 WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATES = ", ".join(
+    f"({_quoted(name)}, {number}, {_quoted(text)})"
+    for name, texts in sorted(TEMPLATES.items())
+    for number, text in enumerate(texts)
+)
+# Word bigrams of a text as a list, in DuckDB.
+_GRAMS = (
+    r"(select list_distinct(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) from "
+    r"(select list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as w))"
+)
+
 SQL = {
+    "op3_license_scan": f"""
+with t as (select name, {_GRAMS.format("body")} as g from (values {_TEMPLATES}) v(name, number, body)),
+docs as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+parts as (
+  select distinct row, part from (
+    select row, text as part from docs
+    union all select row, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) from docs
+    union all select row, unnest(string_split(text, chr(10))) from docs)),
+sets as (select row, part, {_GRAMS.format("part")} as g from parts),
+compared as (
+  select s.row, s.part, t.name, 2.0 * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g)) as dice
+  from sets s join t on len(s.g) between len(t.g) * 0.9 / 1.1 and len(t.g) * 1.1 / 0.9),
+good as (select * from compared where dice >= 0.9),
+best as (
+  select row, count(distinct part) as n_matches, string_agg(distinct name, ',' order by name) as licenses,
+    max(struct_pack(dice := dice, name := name)) as top from good group by row)
+select doc_id, coalesce(n_matches, 0) as n_matches, coalesce(licenses, '') as licenses, top.name as license,
+  round(cast(top.dice as double), 9) as dice
+from docs left join best using (row)""",
     "op1_decontaminate": f"""
 with bench as (select cast(item_id as varchar) as item, {WORDS.format("text")} as w from benchmark),
 pieces as (
@@ -96,6 +133,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("licenses", F.concat_ws(",", "licenses")).withColumn("dice", F.round("dice", 9))
+
+
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     scores = lm.score(table(spark, sf_dir, "documents").withColumn("train", ~held_out))
