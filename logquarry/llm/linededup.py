@@ -26,7 +26,7 @@ from logquarry.llm import blocks as B
 from logquarry.llm import text as T
 from logquarry.llm.mph import MinimalHash
 
-TABLE = "chunk long, ids array<long>, sizes binary, text binary, seq binary, keys binary, n_keys long"
+TABLE = "chunk long, ids array<long>, rest binary, sizes binary, text binary, seq binary, keys binary, n_keys long"
 RESULT = "doc_id long, text string, n_lines long, n_dropped long"
 NO_ID = -(1 << 63)
 
@@ -61,7 +61,7 @@ def line_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int
     return lines, T.hasher(11).segments(low, first, last), T.hasher(12).segments(low, first, last)
 
 
-def _block_table(docs: DataFrame, least: int) -> DataFrame:
+def _block_table(docs: DataFrame, least: int, keep: tuple[str, ...]) -> DataFrame:
     def run(batches):
         for chunk, block in zip(B.chunk_ids(), T.blocks(batches, "text")):
             data, offsets = T.text_bytes(block.column("text"))
@@ -89,6 +89,7 @@ def _block_table(docs: DataFrame, least: int) -> DataFrame:
                     {
                         "chunk": chunk,
                         "ids": ids,
+                        "rest": B.to_ipc(block.select(list(keep))) if keep else b"",
                         "sizes": T.pack(T.smallest(np.diff(offsets))),
                         "text": zstandard.compress(data.tobytes(), 3),
                         "seq": T.pack(T.smallest(seq)),
@@ -100,23 +101,25 @@ def _block_table(docs: DataFrame, least: int) -> DataFrame:
                     [
                         ("chunk", pa.int64()),
                         ("ids", pa.list_(pa.int64())),
-                        *((c, pa.binary()) for c in ("sizes", "text", "seq", "keys")),
+                        *((c, pa.binary()) for c in ("rest", "sizes", "text", "seq", "keys")),
                         ("n_keys", pa.int64()),
                     ]
                 ),
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, TABLE)
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, TABLE)
 
 
-def drop_common_lines(docs: DataFrame, documents: int = 3, code_points: int = 20) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped): every text without its common lines.
+def drop_common_lines(
+    docs: DataFrame, documents: int = 3, code_points: int = 20, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped): every text without its common lines; then columns ``keep``.
 
     A key of at least ``code_points`` code points that at least ``documents`` documents hold loses
     all its lines but those in the document with the largest id. The others stay, joined by \\n.
     """
     B.prepare(docs.sparkSession)
-    table = B.block_table(_block_table(docs, code_points), "lines")
+    table = B.block_table(_block_table(docs, code_points, keep), "lines")
     shards = B.shard_count(B.total(table, "n_keys"))
 
     def requests(row):
@@ -177,7 +180,7 @@ def drop_common_lines(docs: DataFrame, documents: int = 3, code_points: int = 20
                 continue
             kept = np.flatnonzero(~drop[first[i] : first[i + 1]]) + first[i]
             texts.append(b"\n".join([text[a:b] for a, b in zip(starts[kept].tolist(), ends[kept].tolist())]))
-        return pa.table(
+        out = pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64()),
                 "text": pa.array(texts, pa.binary()).cast(pa.string()),
@@ -185,6 +188,10 @@ def drop_common_lines(docs: DataFrame, documents: int = 3, code_points: int = 20
                 "n_dropped": pa.array(dropped, pa.int64()),
             }
         )
+        for name, column in zip(keep, B.unpacked(row["rest"]).columns if keep else ()):
+            out = out.append_column(name, column)
+        return out
 
     answers = B.answer(B.ask(table, requests, "keys"), serve)
-    return B.combine(table.select("chunk", "ids", "sizes", "text", "seq"), answers, finish, RESULT)
+    schema = T.schema(RESULT, docs.select(*keep))
+    return B.combine(table.select("chunk", "ids", "rest", "sizes", "text", "seq"), answers, finish, schema)

@@ -131,7 +131,7 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     def run(batches):
         at = TaskContext.get().partitionId() << 40
         for block in T.blocks(batches, "text"):
@@ -147,11 +147,14 @@ def _sets(docs: DataFrame) -> DataFrame:
                     "class": pa.array(set_names(flat, offsets), pa.binary()),
                     "signature": pa.array([row.tobytes() for row in small], pa.binary()),
                     "text": block.column("text"),
+                    **{f"keep_{c}": block.column(f"keep_{c}") for c in keep},
                 }
             )
             yield from out.to_batches()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
+    kept = [F.col(c).alias(f"keep_{c}") for c in keep]
+    schema = T.schema(SETS, docs.select(*kept))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *kept).mapInArrow(run, schema)
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -290,16 +293,19 @@ def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(mixed.filter("size > 2 and low <> high").select("bucket"), "bucket")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document.
+def near_duplicates(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, first) of every document; then the columns ``keep``.
 
     Documents are linked when 100 * shared shingles >= ``percent`` * all shingles of both, and the
     smallest ``doc_id`` that links reach names the component; ``kept`` is true for it.
+    ``first`` is true for exactly one row of each component, one of those with the smallest id.
     """
     B.prepare(docs.sparkSession)
-    table = B.written(_sets(docs), "sets")
+    table = B.written(_sets(docs, keep), "sets")
     filled = table.filter("class is not null")
-    named = filled.groupBy("class").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"))
+    # Rows without an id come after all others.
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    named = filled.groupBy("class").agg(F.min("row").alias("row"), F.min(place).alias("least"))
     named = B.written(named, "classes")
     classes = table.select("row", "n", "signature").join(named.select("row"), "row", "left_semi")
     buckets = _buckets(classes)
@@ -321,10 +327,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         "class", "least", F.coalesce("root", "row").alias("root")
     )
     least = groups.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = groups.join(least, "root").select("class", "component")
-    return table.select("doc_id", "n", "class").join(of_class, "class", "left").select(
+    of_class = groups.join(least, "root").select("class", "component.*")
+    of_class = of_class.select("class", F.col("doc_id").alias("component"), F.col("row").alias("first_row"))
+    rows = table.select("row", "doc_id", "n", "class", *(f"keep_{c}" for c in keep)).join(of_class, "class", "left")
+    alone = F.col("class").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
+    return rows.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc_id").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"),
+        component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        (alone | (F.col("row") == F.col("first_row"))).alias("first"),
+        *(F.col(f"keep_{c}").alias(c) for c in keep),
     )

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 MASK = (1 << 64) - 1
 # Texts of one block, in bytes. A longer text is a block of its own.
@@ -196,3 +198,8 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     before = np.cumsum(lengths) - lengths
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - before, lengths)
+
+
+def schema(text: str, more: DataFrame) -> StructType:
+    """The columns of a schema text, then those of a frame."""
+    return StructType([*StructType.fromDDL(text).fields, *more.schema.fields])
