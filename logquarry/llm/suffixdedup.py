@@ -193,7 +193,7 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
         for side, parts in enumerate(((follows, precedes), (follows[:, :ANCHOR], precedes, follows[:, ANCHOR:]))):
             flat = np.empty((len(keep), width), np.uint8)
             flat[:, 0] = side
-            flat[:, 1:] = np.concatenate(parts, axis=1).view(np.uint8).reshape(len(keep), -1)
+            flat[:, 1:] = np.concatenate(parts, axis=1).view(np.uint8).reshape(len(keep), width - 1)
             keys += [k.tobytes() for k in flat]
         return pa.table(
             {

@@ -155,7 +155,7 @@ def write(pages: DataFrame, path: str, date: str = DATE) -> DataFrame:
         F.lit(None).cast("binary").alias("payload"), "key",
     )
     rows = repeats.unionByName(records.select("shard", F.lit(1).alias("kind"), "page_id", "url", "payload", "key"))
-    placed = rows.repartitionById(shards, "shard").sortWithinPartitions("kind", "page_id", "key", "payload")
+    placed = rows.repartitionById(shards, "shard").sortWithinPartitions("kind", "page_id", "key", "payload", "url")
 
     def write_shard(batches):
         context = TaskContext.get()
