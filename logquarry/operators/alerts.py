@@ -38,13 +38,14 @@ def by_id(df: DataFrame, alert_id: str) -> DataFrame:
 
 def recent_alerts(df: DataFrame, hours: float = 24.0, limit: int = 100, as_of: Instant = None) -> DataFrame:
     """Newest alerts of the last ``hours``."""
-    since = in_range(df, before(as_of, hours=hours), column="created_at")
+    since = in_range(df, before(as_of, hours=hours), instant(as_of), column="created_at")
     return since.orderBy(F.desc("created_at"), "id").limit(limit)
 
 
 def open_since(df: DataFrame, hours: float = 1.0, as_of: Instant = None) -> DataFrame:
     """Unacknowledged alerts of the last ``hours``."""
-    return in_range(df.filter(~F.col("acknowledged")), before(as_of, hours=hours), column="created_at")
+    unseen = df.filter(~F.col("acknowledged"))
+    return in_range(unseen, before(as_of, hours=hours), instant(as_of), column="created_at")
 
 
 def similar_alert(df: DataFrame, pattern: str, severity: str, hours: float = 1.0, as_of: Instant = None) -> DataFrame:

@@ -53,7 +53,7 @@ def run_detectors(logs: DataFrame, detectors: list[Detector], as_of: Instant = N
             found.append(part)
         except Exception as failure:  # whatever a user-written detector raises
             logger.exception("detector %s failed", detector.name)
-            error = f"{type(failure).__name__}: {failure}"[:500]
+            error = f"{type(failure).__name__}: {failure}"
         runs.append((detector.name, True, started, count, error))
     return Findings(reduce(DataFrame.unionByName, found), runs)
 

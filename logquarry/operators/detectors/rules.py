@@ -30,7 +30,7 @@ def error_burst(
     as_of: Instant = None,
 ) -> DataFrame:
     """One row when the errors per minute of the last minutes exceed the threshold."""
-    recent = in_range(logs, before(as_of, minutes=window_minutes))
+    recent = in_range(logs, before(as_of, minutes=window_minutes), instant(as_of))
     burst = (
         recent.agg(
             F.count_if(F.lower("level") == "error").alias("error_count"),
@@ -62,11 +62,11 @@ def volume_spike(
     """One row when the current hour's volume is far above the mean of all hours.
 
     The current hour belongs to the baseline. ``baseline_hours`` limits the logs looked at; by
-    default all given logs count.
+    default all given logs up to ``as_of`` count.
     """
     now = instant(as_of)
-    if baseline_hours is not None:
-        logs = in_range(logs, before(as_of, hours=baseline_hours), now)
+    since = None if baseline_hours is None else before(as_of, hours=baseline_hours)
+    logs = in_range(logs, since, now)
     this_hour = F.col("hour") == F.date_trunc("hour", now)
     spike = (
         hourly_counts(logs)

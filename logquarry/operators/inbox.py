@@ -82,9 +82,9 @@ def pending(inbox: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def next_batches(inbox: DataFrame, processed: DataFrame, n: int = DEFAULT_NEXT) -> DataFrame:
-    """The oldest pending batches; a size of 0 or above 1,000 means 100."""
-    if n <= 0 or n > MAX_BATCH:
-        n = DEFAULT_NEXT
+    """The oldest ``n`` pending batches, 1 to 1,000."""
+    if not 0 < n <= MAX_BATCH:
+        raise ValueError(f"n must be from 1 to {MAX_BATCH}")
     return pending(inbox, processed).orderBy("created_at", "id").limit(n)
 
 
@@ -108,9 +108,9 @@ def inbox_stats(inbox: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def expired(processed: DataFrame, hours: float = DEFAULT_CLEANUP_HOURS, as_of: Instant = None) -> DataFrame:
-    """Ledger rows old enough to clean up; an age above 720 hours means 24."""
+    """Ledger rows old enough to clean up; the age is at most 720 hours."""
     if hours > MAX_CLEANUP_HOURS:
-        hours = DEFAULT_CLEANUP_HOURS
+        raise ValueError(f"hours must be at most {MAX_CLEANUP_HOURS}")
     return processed.filter(F.col("processed_at") < before(as_of, hours=hours))
 
 

@@ -139,11 +139,12 @@ def classify_bodies(
         F.coalesce(origin, F.lit("api")).alias("source"),
         message.text.alias("message"),
         F.when(raw.is_string(), raw.text).alias("raw"),
+        F.coalesce(source.is_string() & (F.length(source.text) > MAX_SOURCE_CHARS), F.lit(False)).alias("source_cut"),
     )
 
 
 def validate_ingest(df: DataFrame, as_of: Instant = None, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Accepted bodies as log records. ``keep`` columns take part in the id, so equal bodies stay apart."""
+    """Accepted bodies as log records; ``source_cut`` marks a source that was longer. ``keep`` columns take part in the id, so equal bodies stay apart."""
     accepted = classify_bodies(df, as_of, body, keep).filter(F.col("reject_reason").isNull())
     return accepted.select(
         *keep,
@@ -153,6 +154,7 @@ def validate_ingest(df: DataFrame, as_of: Instant = None, body: str = "body", ke
         "source",
         "message",
         "raw",
+        "source_cut",
     )
 
 
@@ -197,8 +199,9 @@ INPUT_LIMITS = {
 INPUT_DEFAULTS = {"id": "", "timestamp": "", "level": "info", "source": "unknown", "message": ""}
 
 
-def analysis_input(df: DataFrame) -> DataFrame:
-    """Logs handed in for analysis: missing fields filled, rows with an overlong field left out.
+def classify_input(df: DataFrame) -> DataFrame:
+    """Logs handed in for analysis, missing fields filled; ``reject_reason`` names the first
+    overlong field and is null for usable logs.
 
     Missing columns are added. ``timestamp`` may be text (unparsable text becomes null, which the
     detectors skip) or already a timestamp.
@@ -210,15 +213,24 @@ def analysis_input(df: DataFrame) -> DataFrame:
         if name in INPUT_DEFAULTS and types.get(name) != "timestamp":
             column = F.coalesce(column, F.lit(INPUT_DEFAULTS[name]))
         filled = filled.withColumn(f"_{name}", column)
-    fits = F.lit(True)
-    for name, limit in INPUT_LIMITS.items():
-        fits = fits & F.coalesce(F.length(f"_{name}") <= limit, F.lit(True))
+    reasons = [F.when(F.length(f"_{name}") > limit, f"{name}_too_long") for name, limit in INPUT_LIMITS.items()]
     at = F.col("timestamp") if types.get("timestamp") == "timestamp" else timestamps.date_text(F.col("_timestamp"))
-    return filled.filter(fits).select(
+    return filled.select(
         F.col("_id").alias("id"),
         at.alias("timestamp"),
         F.col("_level").alias("level"),
         F.col("_source").alias("source"),
         F.col("_message").alias("message"),
         F.col("_raw").alias("raw"),
+        F.coalesce(*reasons).alias("reject_reason"),
     )
+
+
+def analysis_input(df: DataFrame) -> DataFrame:
+    """The usable logs of ``classify_input``."""
+    return classify_input(df).filter(F.col("reject_reason").isNull()).drop("reject_reason")
+
+
+def input_rejects(df: DataFrame) -> DataFrame:
+    """The other logs handed in, whole, and why they are refused."""
+    return classify_input(df).filter(F.col("reject_reason").isNotNull())

@@ -17,12 +17,3 @@ def cutoff(days: float = 30, as_of: Instant = None):
 def kept_logs(df: DataFrame, days: float = 30, as_of: Instant = None) -> DataFrame:
     """Logs not older than ``days`` (a log exactly at the cutoff stays)."""
     return in_range(df, cutoff(days, as_of))
-
-
-def expired_logs(df: DataFrame, days: float = 30, as_of: Instant = None) -> DataFrame:
-    """Logs older than ``days``."""
-    limit = cutoff(days, as_of)
-    gone = df.filter(F.col("timestamp") < limit)
-    if "log_date" in df.columns:
-        gone = gone.filter(F.col("log_date") <= F.to_date(limit))
-    return gone

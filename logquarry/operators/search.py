@@ -15,9 +15,6 @@ from logquarry.schema import LOG_FIELDS
 DEFAULT_LIMIT = 50
 MAX_LIMIT = 1000
 
-# Offsets up to this are left to the top-k itself.
-DEEP_OFFSET = 10_000
-
 # Columns a LogTable may store beside the text so that a search needs no tokenising.
 TOKEN_LINES = {"message": "message_tokens", "source": "source_tokens"}
 
@@ -104,14 +101,36 @@ def search(
 ) -> Page:
     """Newest matching logs first; equal timestamps are ordered by id.
 
-    A page deep in the results is found by counting first (see ``skip_ahead``), which runs a few
-    small jobs right away; other pages are lazy.
+    ``limit`` and ``offset`` are page arguments (see ``page_arguments``). The page is lazy; its
+    top-k holds offset + limit rows per task, so use ``deep_search`` for pages far down.
+    """
+    size, skip = page_arguments(limit, offset)
+    matches = matching(df, q, level, source, start, end)
+    return Page(_page(matches, size, skip), matches)
+
+
+def _page(matches: DataFrame, size: int, skip: int) -> DataFrame:
+    return matches.select(*LOG_FIELDS).orderBy(F.desc("timestamp"), "id").offset(skip).limit(size)
+
+
+def deep_search(
+    df: DataFrame,
+    q: str | None = None,
+    level: str | None = None,
+    source: str | None = None,
+    start: Instant = None,
+    end: Instant = None,
+    limit: object = None,
+    offset: object = None,
+) -> Page:
+    """The same page as ``search``, found by counting first (see ``skip_ahead``).
+
+    Runs three small jobs right away, whatever the offset.
     """
     size, skip = page_arguments(limit, offset)
     matches = matching(df, q, level, source, start, end)
-    rows, skip = skip_ahead(matches, skip) if skip > DEEP_OFFSET else (matches, skip)
-    page = rows.select(*LOG_FIELDS).orderBy(F.desc("timestamp"), "id").offset(skip).limit(size)
-    return Page(page, matches)
+    rows, skip = skip_ahead(matches, skip)
+    return Page(_page(rows, size, skip), matches)
 
 
 def skip_ahead(matches: DataFrame, skip: int) -> tuple[DataFrame, int]:
@@ -162,11 +181,12 @@ def fetch_since(df: DataFrame, last_id: str | None = None, limit: int = 1000) ->
     return df.select(*LOG_FIELDS).orderBy("id").limit(limit)
 
 
-def fetch_range(df: DataFrame, start: Instant, end: Instant, limit: int = 10_000) -> DataFrame:
-    """Oldest logs first within a closed time range."""
-    return in_range(df, start, end).select(*LOG_FIELDS).orderBy("timestamp", "id").limit(limit)
+def fetch_range(df: DataFrame, start: Instant, end: Instant, limit: int | None = None) -> DataFrame:
+    """Oldest logs first within a closed time range; all of them unless ``limit`` is given."""
+    found = in_range(df, start, end).select(*LOG_FIELDS).orderBy("timestamp", "id")
+    return found if limit is None else found.limit(limit)
 
 
-def fetch_recent(df: DataFrame, hours: float = 1.0, limit: int = 10_000, as_of: Instant = None) -> DataFrame:
+def fetch_recent(df: DataFrame, hours: float = 1.0, limit: int | None = None, as_of: Instant = None) -> DataFrame:
     """The same for the last ``hours``."""
     return fetch_range(df, before(as_of, hours=hours), instant(as_of), limit)

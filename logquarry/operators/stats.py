@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logquarry.functions.timerange import Instant, before, in_range
+from logquarry.functions.timerange import Instant, before, in_range, instant
 from logquarry.schema import LEVELS
 
 # Look-back bounds of the statistics, and how many sources they list.
@@ -17,9 +17,9 @@ TOP_SOURCES = 100
 BUSIEST_SOURCES = 5
 
 
-def count_by(df: DataFrame, column: str, since: Instant = None) -> DataFrame:
-    """Rows per value of ``column`` from ``since`` on."""
-    return in_range(df, since).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+def count_by(df: DataFrame, column: str, since: Instant = None, until: Instant = None) -> DataFrame:
+    """Rows per value of ``column`` from ``since`` to ``until``, both inclusive."""
+    return in_range(df, since, until).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
 
 
 def count_by_level(df: DataFrame, since: Instant = None) -> DataFrame:
@@ -30,17 +30,17 @@ def count_by_source(df: DataFrame, since: Instant = None) -> DataFrame:
     return count_by(df, "source", since)
 
 
-def total_count(df: DataFrame, since: Instant = None) -> DataFrame:
-    return in_range(df, since).agg(F.count(F.lit(1)).alias("count"))
+def total_count(df: DataFrame, since: Instant = None, until: Instant = None) -> DataFrame:
+    return in_range(df, since, until).agg(F.count(F.lit(1)).alias("count"))
 
 
-def error_count(df: DataFrame, since: Instant, level: str = "error") -> DataFrame:
-    return total_count(df.filter(F.col("level") == level), since)
+def error_count(df: DataFrame, since: Instant, level: str = "error", until: Instant = None) -> DataFrame:
+    return total_count(df.filter(F.col("level") == level), since, until)
 
 
 def errors_per_minute(df: DataFrame, window_minutes: float, as_of: Instant = None) -> DataFrame:
-    """Error count of the last minutes and its rate."""
-    counted = error_count(df, before(as_of, minutes=window_minutes))
+    """Error count of the minutes before ``as_of`` and its rate."""
+    counted = error_count(df, before(as_of, minutes=window_minutes), until=instant(as_of))
     return counted.select(
         F.col("count").alias("error_count"),
         (F.col("count") / F.lit(float(window_minutes))).alias("errors_per_minute"),
@@ -52,16 +52,17 @@ def top_sources(df: DataFrame, n: int = TOP_SOURCES, since: Instant = None) -> D
     return count_by_source(df, since).orderBy(F.desc("count"), "source").limit(n)
 
 
-def log_stats(df: DataFrame, hours: float = 24, as_of: Instant = None) -> DataFrame:
-    """Total, count per level and the 100 busiest sources of the last ``hours``, as rows
+def log_stats(df: DataFrame, hours: float = 24, as_of: Instant = None, sources: int = TOP_SOURCES) -> DataFrame:
+    """Total, count per level and the busiest ``sources`` of the last ``hours``, as rows
     (section, name, count).
 
     The logs are read and shuffled once, on (level, source); the three sections are rolled up
     from those counts, and Spark reuses the one exchange for all of them.
     """
-    hours = min(max(hours, MIN_HOURS), MAX_HOURS)
+    if not MIN_HOURS <= hours <= MAX_HOURS:
+        raise ValueError(f"hours must be from {MIN_HOURS} to {MAX_HOURS}")
     cells = (
-        in_range(df, before(as_of, hours=hours))
+        in_range(df, before(as_of, hours=hours), instant(as_of))
         .groupBy("level", "source")
         .agg(F.count(F.lit(1)).alias("count"))
     )
@@ -77,7 +78,7 @@ def log_stats(df: DataFrame, hours: float = 24, as_of: Instant = None) -> DataFr
         cells.groupBy("source")
         .agg(F.sum("count").alias("count"))
         .orderBy(F.desc("count"), "source")
-        .limit(TOP_SOURCES)
+        .limit(sources)
         .select(F.lit("source").alias("section"), F.col("source").alias("name"), "count")
     )
     return reduce(DataFrame.unionByName, [total, per_level, per_source])
@@ -108,7 +109,7 @@ def hourly_counts(df: DataFrame) -> DataFrame:
 
 def volume_stats(df: DataFrame, hours: float = 24.0, as_of: Instant = None) -> DataFrame:
     """Mean, sample deviation, maximum and minimum of the hourly counts; zeros without logs."""
-    counts = hourly_counts(in_range(df, before(as_of, hours=hours)))
+    counts = hourly_counts(in_range(df, before(as_of, hours=hours), instant(as_of)))
     return counts.agg(
         F.coalesce(F.avg("count"), F.lit(0.0)).alias("mean"),
         F.coalesce(F.stddev_samp("count"), F.lit(0.0)).alias("std"),

@@ -10,6 +10,7 @@ from logquarry.plans.queries import (
     PHRASE,
     SINCE,
     SPIKE_AS_OF,
+    SPIKE_THRESHOLD,
 )
 
 
@@ -57,13 +58,11 @@ VIEWS = {
         FROM events""",
     "gateway": """
         SELECT * REPLACE (CASE WHEN message LIKE '%7' THEN source ELSE 'gateway' END AS source) FROM logs""",
-    "some_errors": "SELECT * FROM logs WHERE level = 'error'",
 }
 _NEEDS = {
     "all_logs": ("logs", "doc_logs"),
     "inbox": ("messages",),
     "gateway": ("logs",),
-    "some_errors": ("logs",),
 }
 
 _TOKENS = r"' ' || array_to_string(regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}\p{{Co}}]+'), ' ') || ' '"
@@ -123,13 +122,13 @@ _sql(
     "log_fetch_range",
     "logs",
     f"""SELECT * FROM logs WHERE timestamp >= '2024-01-10 00:00:00' AND timestamp <= '{SINCE}'
-        ORDER BY timestamp, id LIMIT 10000""",
+        ORDER BY timestamp, id""",
 )
 _sql(
     "log_fetch_recent",
     "logs",
     f"""SELECT * FROM logs WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 48 HOUR AND timestamp <= '{AS_OF}'
-        ORDER BY timestamp, id LIMIT 10000""",
+        ORDER BY timestamp, id""",
 )
 _sql(
     "phrase_search",
@@ -181,12 +180,13 @@ _sql(
     "errors_per_minute",
     "logs",
     f"""SELECT count(*) AS error_count, round(count(*) / 60.0::double, 6) AS errors_per_minute FROM logs
-        WHERE level = 'error' AND timestamp >= TIMESTAMP '{BURST_AS_OF}' - INTERVAL 60 MINUTE""",
+        WHERE level = 'error'
+          AND timestamp BETWEEN TIMESTAMP '{BURST_AS_OF}' - INTERVAL 60 MINUTE AND TIMESTAMP '{BURST_AS_OF}'""",
 )
 _sql(
     "log_stats",
     "all_logs",
-    f"""+ recent AS (SELECT * FROM all_logs WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 720 HOUR)
+    f"""+ recent AS (SELECT * FROM all_logs WHERE timestamp BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 720 HOUR AND TIMESTAMP '{AS_OF}')
         SELECT 'total' AS section, 'all' AS name, count(*) AS count FROM recent
         UNION ALL SELECT 'level', level, count(*) FROM recent GROUP BY level
         UNION ALL (SELECT 'source', source, count(*) AS n FROM recent GROUP BY source ORDER BY n DESC, source LIMIT 100)""",
@@ -196,13 +196,13 @@ _sql(
     "logs",
     f"""SELECT count(*) AS total, count(*) FILTER (level = 'error') AS errors, count(DISTINCT level) AS levels,
                count(DISTINCT source) AS sources, count(*) AS source_sum
-        FROM logs WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 240 HOUR""",
+        FROM logs WHERE timestamp BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 240 HOUR AND TIMESTAMP '{AS_OF}'""",
 )
 _sql(
     "volume_stats",
     "logs",
     f"""+ hours AS (SELECT date_trunc('hour', timestamp) AS hour, count(*) AS n FROM logs
-                    WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 240 HOUR GROUP BY 1)
+                    WHERE timestamp BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 240 HOUR AND TIMESTAMP '{AS_OF}' GROUP BY 1)
         SELECT round(coalesce(avg(n), 0), 6) AS mean, round(coalesce(stddev_samp(n), 0), 6) AS std,
                coalesce(max(n), 0) AS max, coalesce(min(n), 0) AS min FROM hours""",
 )
@@ -210,10 +210,9 @@ _sql("hourly_counts", "all_logs", "SELECT date_trunc('hour', timestamp) AS hour,
 _LEVELS = "(VALUES (0, 'debug'), (1, 'info'), (2, 'warn'), (3, 'error')) AS v(position, level)"
 _sql(
     "level_cards",
-    "doc_logs some_errors",
-    f"""+ mixed AS (SELECT * FROM doc_logs UNION ALL SELECT * FROM some_errors)
-        SELECT position, v.level AS level, count(id) AS count FROM {_LEVELS}
-        LEFT JOIN mixed ON mixed.level = v.level GROUP BY 1, 2""",
+    "all_logs",
+    f"""SELECT position, v.level AS level, count(id) AS count FROM {_LEVELS}
+        LEFT JOIN all_logs ON all_logs.level = v.level GROUP BY 1, 2""",
 )
 _sql(
     "error_rate_pct",
@@ -367,11 +366,12 @@ _CHECKED = f"""+ j AS (SELECT event_id, body, body::json AS doc FROM bodies),
                         END, TIMESTAMP '{AS_OF}') AS timestamp,
                CASE WHEN level_type = 'VARCHAR' THEN {_message_level('level_text')} ELSE 'info' END AS level,
                CASE WHEN source_type = 'VARCHAR' AND source_text <> '' THEN left(source_text, 500) ELSE 'api' END AS source,
-               message, CASE WHEN raw_type = 'VARCHAR' THEN raw_text END AS raw FROM f)"""
+               message, CASE WHEN raw_type = 'VARCHAR' THEN raw_text END AS raw,
+               coalesce(source_type = 'VARCHAR' AND length(source_text) > 500, false) AS source_cut FROM f)"""
 _sql(
     "validate_ingest",
     "bodies",
-    f"{_CHECKED} SELECT event_id, timestamp, level, source, message, raw FROM checked WHERE reject_reason IS NULL",
+    f"{_CHECKED} SELECT event_id, timestamp, level, source, message, raw, source_cut FROM checked WHERE reject_reason IS NULL",
 )
 _sql(
     "validate_rejects",
@@ -405,6 +405,12 @@ _sql(
               md5(message) AS message, NULL::varchar AS raw
        FROM all_logs WHERE length(message) <= 10000""",
 )
+_sql(
+    "analyze_input_rejects",
+    "all_logs",
+    """SELECT CASE WHEN level <> 'debug' THEN id ELSE '' END AS id, md5(message) AS message,
+              'message_too_long' AS reject_reason FROM all_logs WHERE length(message) > 10000""",
+)
 _sql(
     "append_batch",
     "all_logs",
@@ -414,9 +420,9 @@ _sql(
 _sql("append_new", "logs", "SELECT level, count(*) AS n, count(DISTINCT id) AS ids FROM logs GROUP BY level")
 _sql(
     "append_conflicts",
-    "doc_logs some_errors",
+    "doc_logs logs",
     """SELECT id, 'repeated_in_batch' AS reason FROM doc_logs
-       UNION ALL SELECT id, 'already_stored' FROM some_errors""",
+       UNION ALL SELECT id, 'already_stored' FROM logs""",
 )
 _sql(
     "stored_search",
@@ -482,7 +488,7 @@ _sql(
                unique_words, has_error_keywords::int, has_warning_keywords::int) AS vector FROM x""",
 )
 _BURST = f"""SELECT count(*) FILTER (level = 'error') AS errors, count(*) AS total FROM logs
-        WHERE timestamp >= TIMESTAMP '{BURST_AS_OF}' - INTERVAL 5 MINUTE"""
+        WHERE timestamp BETWEEN TIMESTAMP '{BURST_AS_OF}' - INTERVAL 5 MINUTE AND TIMESTAMP '{BURST_AS_OF}'"""
 _sql(
     "error_burst",
     "logs",
@@ -501,8 +507,8 @@ _sql(
                      coalesce(max(n) FILTER (hour = date_trunc('hour', TIMESTAMP '{SPIKE_AS_OF}')), 0) AS now FROM h)
         SELECT 'system' AS log_id, 'volume_spike' AS anomaly_type, 'medium' AS severity, now AS current_count,
                round(mean, 6) AS mean_count, round(std, 6) AS std_count, round((now - mean) / std, 6) AS z_score,
-               2.0::double AS threshold
-        FROM a WHERE logs >= 10 AND hours >= 2 AND std > 0 AND (now - mean) / std > 2""",
+               {SPIKE_THRESHOLD}::double AS threshold
+        FROM a WHERE logs >= 10 AND hours >= 2 AND std > 0 AND (now - mean) / std > {SPIKE_THRESHOLD}""",
 )
 _sql(
     "source_anomaly",
@@ -531,21 +537,29 @@ _sql(
 )
 
 
-def _found(logs: str, suffix: str = "") -> str:
+def _found(logs: str, suffix: str = "", as_of: str = BURST_AS_OF) -> str:
     """The three rules with the registered settings over a view, as (detector_seq, anomaly_type, severity)."""
     return f"""b{suffix} AS (SELECT count(*) FILTER (level = 'error') AS errors FROM {logs}
-                   WHERE timestamp >= TIMESTAMP '{BURST_AS_OF}' - INTERVAL 5 MINUTE),
-        h{suffix} AS (SELECT date_trunc('hour', timestamp) AS hour, count(*) AS n FROM {logs} GROUP BY 1),
+                   WHERE timestamp BETWEEN TIMESTAMP '{as_of}' - INTERVAL 5 MINUTE AND TIMESTAMP '{as_of}'),
+        h{suffix} AS (SELECT date_trunc('hour', timestamp) AS hour, count(*) AS n FROM {logs}
+                      WHERE timestamp <= TIMESTAMP '{as_of}' GROUP BY 1),
         v{suffix} AS (SELECT avg(n) AS mean, stddev_samp(n) AS std, sum(n) AS total, count(*) AS hours,
-              coalesce(max(n) FILTER (hour = date_trunc('hour', TIMESTAMP '{BURST_AS_OF}')), 0) AS now FROM h{suffix}),
+              coalesce(max(n) FILTER (hour = date_trunc('hour', TIMESTAMP '{as_of}')), 0) AS now FROM h{suffix}),
         c{suffix} AS (SELECT source, count(*) AS n, sum(count(*)) OVER () AS total FROM {logs} GROUP BY source),
         found{suffix} AS (
         SELECT 0 AS detector_seq, 'system' AS log_id, 'error_burst' AS anomaly_type, 'high' AS severity FROM b{suffix} WHERE errors / 5.0 > {BURST_THRESHOLD}
-        UNION ALL SELECT 1, 'system', 'volume_spike', 'medium' FROM v{suffix} WHERE total >= 10 AND hours >= 2 AND std > 0 AND (now - mean) / std > -5
+        UNION ALL SELECT 1, 'system', 'volume_spike', 'medium' FROM v{suffix}
+          WHERE total >= 10 AND hours >= 2 AND std > 0 AND (now - mean) / std > {SPIKE_THRESHOLD}
         UNION ALL SELECT 2, 'system', 'source_anomaly', 'low' FROM c{suffix} WHERE n >= 10 AND n / total > 0.8)"""
 
 
 _sql("run_detectors", "gateway", f"+ {_found('gateway')} SELECT * FROM found")
+_sql("run_detectors_spike", "logs", f"+ {_found('logs', as_of=SPIKE_AS_OF)} SELECT * FROM found")
+_sql(
+    "error_burst_quiet",
+    "logs",
+    f"+ r AS ({_BURST}) SELECT 'error_burst' AS anomaly_type, errors AS error_count FROM r WHERE errors / 5.0 > 10",
+)
 _sql(
     "analyze",
     "gateway",
@@ -554,8 +568,8 @@ _sql(
 _NAMES = "(VALUES ('error_burst'), ('volume_spike'), ('source_anomaly')) AS d(name)"
 _sql(
     "detector_stats",
-    "gateway some_errors",
-    f"""+ {_found('gateway')}, {_found('some_errors', '2')},
+    "gateway logs",
+    f"""+ {_found('gateway')}, {_found('logs', '2')},
         both_runs AS (SELECT anomaly_type FROM found UNION ALL SELECT anomaly_type FROM found2)
         SELECT name, true AS enabled, 2::bigint AS runs_count, count(anomaly_type) AS alerts_created
         FROM {_NAMES} LEFT JOIN both_runs ON anomaly_type = name GROUP BY name""",
@@ -592,7 +606,7 @@ _sql("alert_create_rejects", "anomalies", "SELECT log_id, severity FROM anomalie
 _sql(
     "alerts_recent",
     "alerts",
-    f"""SELECT * FROM alerts WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR
+    f"""SELECT * FROM alerts WHERE created_at BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR AND TIMESTAMP '{AS_OF}'
         ORDER BY created_at DESC, id LIMIT 100""",
 )
 _sql(
@@ -607,13 +621,13 @@ _sql(
     "alert_similar",
     "alerts",
     f"""SELECT * FROM alerts WHERE severity = 'low' AND NOT acknowledged AND message ILIKE '%rate detected: svc-2%'
-        AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 240 HOUR ORDER BY created_at, id LIMIT 1""",
+        AND created_at BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 240 HOUR AND TIMESTAMP '{AS_OF}' ORDER BY created_at, id LIMIT 1""",
 )
 _sql(
     "alert_dedup",
     "alerts anomalies",
     f"""+ still_open AS (SELECT DISTINCT severity, lower(message) AS message FROM alerts
-                         WHERE NOT acknowledged AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 6 HOUR),
+                         WHERE NOT acknowledged AND created_at BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 6 HOUR AND TIMESTAMP '{AS_OF}'),
         ranked AS (SELECT *, lower(left(message, 50)) AS pattern,
                    row_number() OVER (PARTITION BY severity, lower(left(message, 50)) ORDER BY detector_seq, log_id) AS nth FROM anomalies)
         SELECT log_id, anomaly_type, severity, message, details, detector_seq FROM ranked r WHERE nth = 1

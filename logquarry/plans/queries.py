@@ -36,6 +36,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = views.AS_OF
 SINCE = "2024-01-15 00:00:00"
 SPIKE_AS_OF = "2024-01-12 16:59:59"
+SPIKE_THRESHOLD = 2.0
 BURST_AS_OF = "2024-01-19 03:25:34.451436"
 BURST_THRESHOLD = 0.5
 PHRASE = "la elle"
@@ -87,7 +88,7 @@ def log_search_range(spark, sf_dir):
 
 @query
 def log_search_deep(spark, sf_dir):
-    return search.search(views.all_logs(spark, sf_dir), limit=100, offset=10_500).rows
+    return search.deep_search(views.all_logs(spark, sf_dir), limit=100, offset=10_500).rows
 
 
 @query
@@ -239,11 +240,7 @@ def hourly_counts(spark, sf_dir):
 
 @query
 def level_cards(spark, sf_dir):
-    return stats.level_cards(views.doc_logs(spark, sf_dir).unionByName(_only_errors(spark, sf_dir)))
-
-
-def _only_errors(spark, sf_dir):
-    return views.logs(spark, sf_dir).filter(F.col("level") == "error")
+    return stats.level_cards(views.all_logs(spark, sf_dir))
 
 
 @query
@@ -315,15 +312,24 @@ def alert_shape_filter(spark, sf_dir):
     return message_ops.alert_shaped(views.shaped(spark, sf_dir))
 
 
-@query
-def analyze_input(spark, sf_dir):
-    given = views.all_logs(spark, sf_dir).select(
+def _handed_in(spark, sf_dir):
+    return views.all_logs(spark, sf_dir).select(
         F.when(F.col("level") != "debug", F.col("id")).alias("id"),
         F.when(F.col("level") != "warn", F.col("timestamp").cast("string")).alias("timestamp"),
         "message",
         F.when(F.col("level") != "error", F.col("source")).alias("source"),
     )
-    return message_ops.analysis_input(given).withColumn("message", F.md5("message"))
+
+
+@query
+def analyze_input(spark, sf_dir):
+    return message_ops.analysis_input(_handed_in(spark, sf_dir)).withColumn("message", F.md5("message"))
+
+
+@query
+def analyze_input_rejects(spark, sf_dir):
+    refused = message_ops.input_rejects(_handed_in(spark, sf_dir))
+    return refused.select("id", F.md5("message").alias("message"), "reject_reason")
 
 
 @query
@@ -344,7 +350,7 @@ def append_batch(spark, sf_dir):
 def append_new(spark, sf_dir):
     """Append everything to a table that holds the errors already: only the rest is added."""
     table = LogTable(spark, scratch_path(spark, "logs"))
-    table.append_batch(_only_errors(spark, sf_dir))
+    table.append_batch(views.logs(spark, sf_dir))
     table.append_new(views.logs(spark, sf_dir))
     return table.scan().groupBy("level").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")
@@ -354,7 +360,7 @@ def append_new(spark, sf_dir):
 @query
 def append_conflicts(spark, sf_dir):
     docs = views.doc_logs(spark, sf_dir)
-    batch = _only_errors(spark, sf_dir).unionByName(docs).unionByName(docs)
+    batch = views.logs(spark, sf_dir).unionByName(docs).unionByName(docs)
     return conflicts.append_conflicts(batch, views.logs(spark, sf_dir))
 
 
@@ -456,7 +462,7 @@ def error_burst(spark, sf_dir):
 
 @query
 def volume_spike(spark, sf_dir):
-    found = rules.volume_spike(views.dated_logs(spark, sf_dir), 2.0, 24, SPIKE_AS_OF)
+    found = rules.volume_spike(views.dated_logs(spark, sf_dir), SPIKE_THRESHOLD, 24, SPIKE_AS_OF)
     return _details(
         found,
         "current_count long, mean_count double, std_count double, z_score double, threshold double",
@@ -494,7 +500,7 @@ def error_rate_alerts(spark, sf_dir):
 def _rule_detectors():
     return [
         rules.ErrorBurst(BURST_THRESHOLD),
-        rules.VolumeSpike(-5.0),
+        rules.VolumeSpike(SPIKE_THRESHOLD),
         rules.SourceAnomaly(),
     ]
 
@@ -505,6 +511,20 @@ def run_detectors(spark, sf_dir):
     return found.anomalies.select("detector_seq", "log_id", "anomaly_type", "severity")
 
 
+@query
+def run_detectors_spike(spark, sf_dir):
+    """The same rules at the end of an hour with a volume spike and no burst."""
+    found = registry.run_detectors(views.logs(spark, sf_dir), _rule_detectors(), SPIKE_AS_OF)
+    return found.anomalies.select("detector_seq", "log_id", "anomaly_type", "severity")
+
+
+@query
+def error_burst_quiet(spark, sf_dir):
+    """The default threshold, which the busiest five minutes do not reach."""
+    found = rules.error_burst(views.dated_logs(spark, sf_dir), as_of=BURST_AS_OF)
+    return found.select("anomaly_type", F.get_json_object("details", "$.error_count").cast("long").alias("error_count"))
+
+
 @query
 def analyze(spark, sf_dir):
     logs = _mostly_gateway(spark, sf_dir)
@@ -514,9 +534,9 @@ def analyze(spark, sf_dir):
 
 @query
 def detector_stats(spark, sf_dir):
-    """Two runs, one of them over errors only."""
+    """Two runs, over different logs."""
     first = registry.run_detectors(_mostly_gateway(spark, sf_dir), _rule_detectors(), BURST_AS_OF)
-    second = registry.run_detectors(_only_errors(spark, sf_dir), _rule_detectors(), BURST_AS_OF)
+    second = registry.run_detectors(views.logs(spark, sf_dir), _rule_detectors(), BURST_AS_OF)
     runs = first.runs_frame(spark).unionByName(second.runs_frame(spark))
     return registry.detector_stats(runs).drop("last_run")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.functions.timerange import with_log_date
-from logquarry.session import configure, spread
+from logquarry.session import configure
 
 # ``ts`` is declared as an instant, so that a filter on it reaches the Parquet scan.
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -117,7 +117,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as logs, one per minute."""
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    rows = spread(documents(spark, sf_dir), "doc_id")
+    rows = documents(spark, sf_dir)
     return rows.select(
         _padded("doc-", "doc_id").alias("id"),
         F.timestamp_add("MINUTE", F.col("doc_id"), start).alias("timestamp"),
@@ -141,7 +141,7 @@ def event_messages(df: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_messages(spread(events(spark, sf_dir), "event_id"))
+    return event_messages(events(spark, sf_dir))
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,11 +151,11 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(events(spark, sf_dir), "event_id").select("event_id", F.expr(in_dialect(BODY, "spark")).alias("body"))
+    return events(spark, sf_dir).select("event_id", F.expr(in_dialect(BODY, "spark")).alias("body"))
 
 
 def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(events(spark, sf_dir), "event_id").select("event_id", F.expr(in_dialect(SHAPED, "spark")).alias("body"))
+    return events(spark, sf_dir).select("event_id", F.expr(in_dialect(SHAPED, "spark")).alias("body"))
 
 
 def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:

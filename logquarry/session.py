@@ -29,13 +29,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and scratch tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only when that is unset (tests, a laptop)
-    is a local temporary folder used.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local master may leave it unset; a
+    local temporary folder is used then.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         base = named
     else:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_logquarry_scratch", None)
         if base is None:
             base = tempfile.mkdtemp(prefix="logquarry-")
@@ -50,21 +52,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-# A table with at most this many splits is small: a split holds 128 MB unless configured otherwise.
-FEW_SPLITS = 16
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for costly work on a small table (few splits, and fewer than cores).
-
-    Larger tables are returned as they are: no shuffle is added at scale. The rows go by hash of
-    a unique key, so a repeated task gets the same rows.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores, key) if splits <= min(FEW_SPLITS, cores - 1) else df
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Run ``df`` once and cut its lineage through reliable storage."""
     checkpoint_dir(df.sparkSession)

@@ -19,9 +19,6 @@ FILE_OPTIONS = {
     "parquet.bloom.filter.adaptive.enabled": "true",
 }
 
-# Days a batch may touch before the look-up of stored ids stops naming them one by one.
-MAX_NAMED_DAYS = 400
-
 
 class DuplicateIds(ValueError):
     """A batch repeats an id or holds one that is already stored."""
@@ -85,10 +82,11 @@ class LogTable:
         return self.append_batch(entry)
 
     def append_new(self, logs: DataFrame, look_up: bool = True) -> int:
-        """Store the rows whose id is not stored yet; a replayed batch adds nothing.
+        """Store the rows whose id is not stored yet, under whatever day; a replayed batch adds nothing.
 
-        Ids and timestamps of replayed messages are the same as before, so only the days the
-        batch touches are looked at. ``look_up=False`` is for rows known to be new.
+        A message without a time of its own gets the time it is read, so a replay may fall on
+        another day: ids are looked up in all days, from their column alone. ``look_up=False`` is
+        for rows known to be new.
         """
         rows = self._prepared(logs).persist()
         if not look_up:
@@ -96,11 +94,7 @@ class LogTable:
             self._write(rows, self.path, "append")
             rows.unpersist()
             return count
-        days = rows.select("log_date").distinct().limit(MAX_NAMED_DAYS + 1).collect()
-        stored = self.scan()
-        if len(days) <= MAX_NAMED_DAYS:
-            stored = stored.filter(F.col("log_date").isin(*[day[0] for day in days]))
-        fresh = new_rows(rows, stored).persist()
+        fresh = new_rows(rows, self.scan()).persist()
         count = fresh.count()
         if count:
             self._write(fresh, self.path, "append")

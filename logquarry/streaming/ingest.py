@@ -15,7 +15,6 @@ from logquarry.sources.logs import LogTable
 from logquarry.schema import DEAD_LETTER
 
 # How often lines are shipped, messages taken, logs examined and the rule checked.
-SHIP_INTERVAL = "1 second"
 CONSUME_INTERVAL = "5 seconds"
 DETECT_INTERVAL = "30 seconds"
 RULE_INTERVAL = "60 seconds"

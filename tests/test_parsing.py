@@ -211,7 +211,7 @@ def test_direct_ingestion(spark):
     rows = {row.n: row for row in validate_ingest(df, AS_OF, keep=("n",)).collect()}
     assert (rows[0].level, rows[0].source, rows[0].raw, rows[0].timestamp) == ("error", "s", "r", at(2024, 3, 1))
     assert (rows[1].level, rows[1].source, rows[1].raw, rows[1].timestamp) == ("info", "api", None, NOW)
-    assert len(rows[2].source) == 500
+    assert len(rows[2].source) == 500 and rows[2].source_cut and not rows[0].source_cut
 
 
 def test_shapes(spark):

@@ -126,7 +126,10 @@ def test_log_stats(make_logs):
     assert record.total == 5
     assert record.byLevel == {"error": 2, "info": 1, "warn": 1, "debug": 1}
     assert record.bySource == {"svc-a": 3, "svc-b": 1, "svc-c": 1}
-    assert stats.stats_record(stats.log_stats(logs, 0, NOW)).first().total == 2
+    assert stats.stats_record(stats.log_stats(logs, 1, NOW)).first().total == 2
+    assert stats.stats_record(stats.log_stats(logs, 3, "2026-03-01 10:30:00")).first().total == 3
+    with pytest.raises(ValueError):
+        stats.log_stats(logs, 0, NOW)
     many = make_logs([(str(i), ago(), "info", f"s{i:03d}", "m") for i in range(120)])
     assert len(stats.stats_record(stats.log_stats(many, 24, NOW)).first().bySource) == 100
 

@@ -31,6 +31,8 @@ def test_log_table_refuses_known_ids(spark, make_logs, tmp_path):
     assert table.scan().count() == 2
     assert table.append(some_logs(make_logs, ["c"])) == 1
     assert table.append_new(some_logs(make_logs, ["c", "d", "d"])) == 1
+    # An id is known whatever day it comes under.
+    assert table.append_new(some_logs(make_logs, ["d", "a"], days=1)) == 0
     assert sorted(r.id for r in table.scan().collect()) == ["a", "b", "c", "d"]
 
 
@@ -102,7 +104,10 @@ def test_next_batches_limits(spark):
     inbox = spark.range(150).select("id", F.lit("[]").alias("data"), F.lit(ago()).cast("timestamp").alias("created_at"))
     none = spark.createDataFrame([], PROCESSED)
     assert inbox.schema.fieldNames() == INBOX.fieldNames()
-    assert [inbox_ops.next_batches(inbox, none, n).count() for n in (0, 1001, 7, 1000)] == [100, 100, 7, 150]
+    assert [inbox_ops.next_batches(inbox, none, n).count() for n in (7, 1000)] == [7, 150]
+    for n in (0, 1001):
+        with pytest.raises(ValueError):
+            inbox_ops.next_batches(inbox, none, n)
 
 
 def test_text_lines(spark, tmp_path):
