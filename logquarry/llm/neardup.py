@@ -9,9 +9,9 @@ probability below 1e-6.
 A bucket links its members to one centre, not to each other: to the member whose buckets hold the most
 members, which in a family of copies is the text they come from. Links are confirmed on the full sets
 of both texts. Where a bucket then still holds several components, its members outside the largest one
-are a query set that meets all members of the bucket in blocks: signatures are compared in numpy and
-only pairs that may reach the similarity are confirmed. So no link between different texts is lost to
-the stars, and no pairs are written for what is already connected.
+are a query set that meets all members of the bucket in blocks; full sets are compared in numpy where
+they meet, and only links leave the task. So no link between different texts is lost to the stars, and
+no pairs are written for what is connected already or not alike.
 
 Members of a popular centre are dealt over several tasks with a copy of the centre each. Exact copies
 meet in a partial aggregate.
@@ -41,7 +41,7 @@ BINS = BANDS * ROWS
 ATTEMPTS = 64
 # Members of a centre per task, and members of one side of a block comparison.
 STAR_MEMBERS = 250
-BLOCK_MEMBERS = 128
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1_000_000
 SETS = "row long, doc_id long, n long, class binary, signature binary, text string"
 BUCKETS = "bucket long, row long, n long"
 STAR = "a long, b long, shared long, total long"
@@ -219,28 +219,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return B.written(dealt.mapInArrow(run, STAR), "confirmed")
 
 
-def _residual(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket, are in different components, and may be similar.
+def _residual(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of classes that share a bucket and are in different components.
 
-    ``members`` holds (bucket, row, root) of buckets with several components. The members outside
-    the largest component of a bucket meet all its members, in blocks.
+    ``members`` holds (bucket, row, n, root) of buckets with several components. The members outside
+    the largest component of a bucket meet all its members, in blocks, and the full sets are compared
+    where they meet: only links leave the task.
     """
-    parts = members.groupBy("bucket", "root").count()
-    top = parts.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.sum("count").alias("size"))
-    sized = members.join(top, "bucket").withColumn("asks", F.col("root") != F.col("top"))
-    asking = sized.filter("asks").groupBy("bucket").agg(F.count("*").alias("n_asks"))
-    sized = sized.join(asking, "bucket").join(classes.select("row", "n", "signature"), "row")
-
-    def block_of(count) -> F.Column:
-        return F.pmod(F.xxhash64("row"), F.ceil(count / BLOCK_MEMBERS)).cast("int")
-
-    def all_blocks(count) -> F.Column:
-        return F.explode(F.sequence(F.lit(0), (F.ceil(count / BLOCK_MEMBERS) - 1).cast("int")))
-
-    columns = ["bucket", "row", "root", "n", "signature"]
-    queries = sized.filter("asks").select(*columns, F.lit(0).alias("side"), block_of(F.col("n_asks")).alias("i"), all_blocks(F.col("size")).alias("j"))
-    others = sized.select(*columns, F.lit(1).alias("side"), all_blocks(F.col("n_asks")).alias("i"), block_of(F.col("size")).alias("j"))
-    met = queries.unionByName(others).repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j", "side")
+    parts = members.groupBy("bucket", "root").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    top = parts.groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("size"), F.sum("n").alias("shingles"))
+    top = top.select("bucket", F.col("top.root").alias("top"), "size", "shingles")
+    asked = parts.join(top, "bucket").filter(F.col("root") != F.col("top")).groupBy("bucket").agg(
+        F.first("top").alias("top"),
+        _blocks(F.first("size"), F.first("shingles")).alias("all_blocks"),
+        _blocks(F.sum("count"), F.sum("n")).alias("asking_blocks"),
+    )
+    sized = members.join(asked, "bucket")
+    i_of, j_of = (F.pmod(F.xxhash64("row"), F.col(c)).cast("int") for c in ("asking_blocks", "all_blocks"))
+    all_i, all_j = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("asking_blocks", "all_blocks"))
+    queries = sized.filter(F.col("root") != F.col("top")).select("bucket", "row", "root", F.lit(0).alias("side"), i_of.alias("i"), all_j.alias("j"))
+    others = sized.select("bucket", "row", "root", F.lit(1).alias("side"), all_i.alias("i"), j_of.alias("j"))
+    met = queries.unionByName(others).join(sets.select("row", "text"), "row")
+    met = met.repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j", "side")
 
     def groups(batches):
         held: list[pa.RecordBatch] = []
@@ -258,24 +258,22 @@ def _residual(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
     def run(batches):
         for group in groups(batches):
-            n = group.column("n").to_numpy()
-            asks = group.column("side").to_numpy() == 0
-            raw = group.column("signature").to_pylist()
-            rows = np.array([np.frombuffer(r, np.uint16) for r in raw]).reshape(len(raw), BINS)
-            roots, names = group.column("root").to_numpy(), group.column("row").to_pylist()
-            others = np.flatnonzero(~asks)
+            flat, offsets = shingles(group.column("text"))
+            asks = int((group.column("side").to_numpy() == 0).sum())  # they come first
+            roots, names = group.column("root").to_numpy(), group.column("row").to_numpy()
+            vocabulary, number = np.unique(flat, return_inverse=True)
+            sizes = np.diff(offsets)
+            theirs, starts = number[offsets[asks] :], offsets[asks:-1] - offsets[asks]
+            mark = np.zeros(len(vocabulary), bool)
             out: set[tuple[int, int]] = set()
-            for q in np.flatnonzero(asks).tolist():
-                small, large = np.minimum(n[others], n[q]), np.maximum(n[others], n[q])
-                live = others[(100 * small >= percent * large) & (roots[others] != roots[q])]
-                if not len(live):
-                    continue
-                agree = (rows[live] == rows[q]).mean(axis=1)
-                # Six standard errors below the similarity asked for.
-                share = percent / 100
-                least = share - 6 * np.sqrt(share * (1 - share) / np.minimum(np.minimum(n[live], n[q]), BINS))
-                for other in live[agree >= least].tolist():
-                    out.add((min(names[q], names[other]), max(names[q], names[other])))
+            for q in range(asks if len(starts) else 0):
+                own = number[offsets[q] : offsets[q + 1]]
+                mark[own] = True
+                shared = np.add.reduceat(mark[theirs], starts, dtype=np.int64)
+                mark[own] = False
+                linked = (100 * shared >= percent * (sizes[q] + sizes[asks:] - shared)) & (roots[asks:] != roots[q])
+                for other in names[asks:][linked].tolist():
+                    out.add((min(int(names[q]), other), max(int(names[q]), other)))
             yield pa.RecordBatch.from_pydict(
                 {"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())}
             )
@@ -283,10 +281,15 @@ def _residual(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def _blocks(members: F.Column, shingles_: F.Column) -> F.Column:
+    """Blocks so that one has about BLOCK_MEMBERS members and BLOCK_SHINGLES shingles at most."""
+    return F.greatest(F.ceil(members / BLOCK_MEMBERS), F.ceil(shingles_ / BLOCK_SHINGLES)).cast("int")
+
+
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, row, root) of the buckets that hold several components."""
+    """(bucket, row, n, root) of the buckets that hold several components."""
     named = members.join(roots.withColumnRenamed("v", "row"), "row", "left").select(
-        "bucket", "row", F.coalesce("root", "row").alias("root")
+        "bucket", "row", "n", F.coalesce("root", "row").alias("root")
     )
     mixed = named.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
     # The only pair of a bucket of two was confirmed or refused already.
@@ -320,9 +323,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] =
     fits = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
     links = _confirmed(stars.filter(fits).select("a", F.col("row").alias("b")).distinct(), table, percent)
     roots = components(links)
-    rest = B.written(_residual(B.written(_labelled(famous, roots), "mixed"), classes, percent), "rest")
+    rest = B.written(_residual(B.written(_labelled(famous, roots), "mixed"), table, percent), "rest")
     if not rest.isEmpty():
-        roots = components(links.select("a", "b").union(_confirmed(rest, table, percent).select("a", "b")))
+        roots = components(links.select("a", "b").union(rest))
     groups = named.join(roots.withColumnRenamed("v", "row"), "row", "left").select(
         "class", "least", F.coalesce("root", "row").alias("root")
     )
