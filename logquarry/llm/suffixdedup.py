@@ -9,14 +9,14 @@ right and to the left to decide on any passage of the least length around it.
 
 All positions are sorted twice by range partitioning, by the words that follow and by the words that
 precede; neighbours are compared and the match is extended to both sides. The sort spreads a passage
-that a third of all documents hold over as many tasks as it needs. The first and the last position of
-each partition (two rows per partition) are compared on the driver. Longer passages are covered by the
+that a third of all documents hold over as many tasks as it needs. The first and the last NEIGHBOURS
+positions of each partition are compared on the driver. Longer passages are covered by the
 matches at their successive positions.
 
-Both orders find every passage whose partner is a neighbour by what follows or by what precedes. A
-text that shares different halves of a window with closer relatives on both sides may hide a third
-partner; such a window is found by the other positions of the passage, if at all. Exact copies and
-passages in otherwise different texts are always found.
+Every passage is found whose partner is among the NEIGHBOURS nearest by what follows or by what precedes
+some selected position of it. Exact copies, and passages in otherwise different texts, always are; a
+window of words that a text shares with one relative, while it shares more on either side with many
+others, may be missed.
 
 Words are cut at white space, with A-Z in lower case. Defined results: null and empty texts have no
 words; texts shorter than a passage have no repeats; a passage that repeats within one text counts;
@@ -35,6 +35,10 @@ from logquarry.llm import blocks as B
 from logquarry.llm import text as T
 
 ANCHOR = 8
+# Neighbours on each side that a position is compared with, in either order.
+NEIGHBOURS = 8
+# In a stretch of one repeated run all places up to DENSE are kept, and then every sixteenth.
+DENSE, SPARSE = 64, 16
 TABLE = "chunk long, ids array<long>, counts binary, seq binary, words binary, runs binary, n_runs long"
 PLACES = "key binary, chunk long, at long"
 FOUND = "part int, key binary, chunk long, at long, start long, end long"
@@ -54,13 +58,12 @@ def anchors(hashes: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarra
     for i in range(0, len(inside), 1 << 16):
         at = inside[i : i + (1 << 16)]
         picked[at + views[at].argmin(axis=1)] = True
-    # In a stretch of one repeated run its start, some steps and the last choice are enough.
     same = np.zeros(len(runs), bool)
     same[1:] = (runs[1:] == runs[:-1]) & (doc[1 : len(runs)] == doc[: len(runs) - 1])
     index = np.arange(len(runs))
     start = np.maximum.accumulate(np.where(same, 0, index))
     last = np.append(~picked[1:], True)
-    picked &= ~same | ((index - start) % (window // 2) == 0) | last
+    picked &= (index - start < DENSE) | ((index - start) % SPARSE == 0) | last
     at = np.flatnonzero(picked)
     return at, runs[at]
 
@@ -209,12 +212,22 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     ordered = found.repartitionByRange(parts, "key", "chunk", "at").sortWithinPartitions("key", "chunk", "at")
 
     def matched(keys, chunks, at):
-        """Spans of the rows that share a passage with the row after or before them."""
-        r, l = _extents(keys[:-1], keys[1:], right, left)
-        hit = np.flatnonzero(r + l >= least)
-        both = np.concatenate([hit, hit + 1])
-        r, l = np.tile(r[hit], 2), np.tile(l[hit], 2)
-        return chunks[both], at[both], at[both] - l, at[both] + r
+        """Distinct spans of the rows that share a passage with one of the rows around them."""
+        rows, starts, ends = [], [], []
+        for step in range(1, min(NEIGHBOURS, len(keys) - 1) + 1):
+            r, l = _extents(keys[:-step], keys[step:], right, left)
+            hit = np.flatnonzero(r + l >= least)
+            for place in (hit, hit + step):
+                rows.append(place)
+                starts.append(at[place] - l[hit])
+                ends.append(at[place] + r[hit])
+        if not rows:
+            rows = starts = ends = [np.empty(0, np.int64)]
+        found = np.unique(np.stack([np.concatenate(x) for x in (rows, starts, ends)]), axis=1)
+        # Of spans that begin alike the longest is enough.
+        last = np.append((np.diff(found[:2]) != 0).any(axis=0), True) if found.shape[1] else np.empty(0, bool)
+        place, starts, ends = found[:, last]
+        return chunks[place], at[place], starts, ends
 
     def as_rows(chunks, at, starts, ends):
         return pa.RecordBatch.from_pydict(
@@ -232,27 +245,37 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
         keys = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(-1, width)
         return keys, batch.column("chunk").to_numpy(), batch.column("at").to_numpy()
 
-    def edge(part, keys, chunks, at, i):
-        row = {"part": part, "key": keys[i].tobytes(), "chunk": int(chunks[i]), "at": int(at[i]), "start": None, "end": None}
-        return pa.RecordBatch.from_pylist([row], as_rows([], [], [], []).schema)
+    def edge(part, rows):
+        n = len(rows[1])
+        return pa.RecordBatch.from_pydict(
+            {
+                "part": pa.array([part] * n, pa.int32()),
+                "key": pa.array([k.tobytes() for k in rows[0]], pa.binary()),
+                "chunk": pa.array(rows[1], pa.int64()),
+                "at": pa.array(rows[2], pa.int64()),
+                "start": pa.nulls(n, pa.int64()),
+                "end": pa.nulls(n, pa.int64()),
+            }
+        )
 
     def neighbours(batches):
-        part, last = TaskContext.get().partitionId(), None
+        part, last, first = TaskContext.get().partitionId(), None, 0
         for batch in batches:
             if not len(batch):
                 continue
             own = arrays(batch)
-            if last is None:
-                yield edge(part, *own, 0)
-            else:
-                own = tuple(np.concatenate([a[-1:], b]) for a, b in zip(last, own))
+            if first < NEIGHBOURS:
+                yield edge(part, [x[: NEIGHBOURS - first] for x in own])
+                first += len(batch)
+            if last is not None:
+                own = tuple(np.concatenate([a, b]) for a, b in zip(last, own))
             yield as_rows(*matched(*own))
-            last = tuple(x[-1:] for x in own)
+            last = tuple(x[-NEIGHBOURS:] for x in own)
         if last is not None:
-            yield edge(part, *last, -1)
+            yield edge(part, last)
 
     matches = B.written(ordered.mapInArrow(neighbours, FOUND), "matches")
-    # Two rows per partition: the last of one and the first of the next are neighbours too.
+    # A few rows per partition: the last of one and the first of the next are neighbours too.
     edges = matches.filter("part is not null").drop("start", "end").toArrow().sort_by([("part", "ascending"), ("key", "ascending"), ("chunk", "ascending"), ("at", "ascending")])
     spans = matches.filter("part is null").select("chunk", "at", "start", "end")
     if edges.num_rows > 1:
