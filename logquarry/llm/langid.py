@@ -38,50 +38,60 @@ LANGUAGES = 32
 UNKNOWN = "und"
 FEATURES = "lang string, kind int, feature string, n long"
 LETTERS = regex.compile(r"\p{L}+(?:['’]\p{L}+)*")
-# Scores of words that a task keeps between blocks.
-CACHE = 400_000
+# Scores of unknown words that a task keeps between blocks.
+CACHE = 150_000
+# Bytes of text in a block: its words are Python strings for a while.
+BLOCK = 4 << 20
 
 
 class Model:
-    """Scores of words: rows of log frequencies, one column per language."""
+    """Scores of words: one row of log frequencies per known word or n-gram, a column per language."""
 
     def __init__(self, rows: pa.Table):
         lists = [rows.column(c).to_pylist() for c in ("lang", "kind", "feature", "n")]
         self.languages = sorted(set(lists[0]))
         column = {lang: i for i, lang in enumerate(self.languages)}
-        counts: tuple[dict[str, np.ndarray], dict[str, np.ndarray]] = ({}, {})
-        for lang, kind, feature, n in zip(*lists):
-            row = counts[kind].setdefault(feature, np.zeros(len(self.languages)))
-            row[column[lang]] += n
-        self.words, self.grams = map(self._log_frequencies, counts)
-        self.floor = np.full(len(self.languages), min((float(g.min()) for g in self.grams.values()), default=0.0))
-        self.cache: dict[str, np.ndarray] = {}
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
+        places = [(self.grams if kind else self.words) for kind in lists[1]]
+        at = [place.setdefault(feature, len(place)) for place, feature in zip(places, lists[2])]
+        tables = [np.zeros((len(p), len(self.languages))) for p in (self.words, self.grams)]
+        for lang, kind, i, n in zip(lists[0], lists[1], at, lists[3]):
+            tables[kind][i, column[lang]] += n
+        words, self.gram_table = map(self._log_frequencies, tables)
+        self.floor = np.full(len(self.languages), self.gram_table.min(initial=0.0))
+        self.known = len(words)
+        self.table = np.concatenate([words, np.empty((CACHE, len(self.languages)))])
 
     @staticmethod
-    def _log_frequencies(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        total = np.sum(list(counts.values()), axis=0) + 0.5 * len(counts)
-        return {feature: np.log((row + 0.5) / total) for feature, row in counts.items()}
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is None:
-            known = self.cache.get(word)
-        if known is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            known = self.cache[word] = self._unknown(word)
-        return known
+    def _log_frequencies(counts: np.ndarray) -> np.ndarray:
+        return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts))) if len(counts) else counts
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The log frequencies of distinct words, in their order."""
+        if len(self.words) + len(words) > len(self.table):
+            self.words = {word: i for word, i in self.words.items() if i < self.known}
+        if len(self.words) + len(words) > len(self.table):
+            room = np.empty((self.known + len(words), len(self.languages)))
+            room[: self.known] = self.table[: self.known]
+            self.table = room
+        at = np.empty(len(words), np.int64)
+        for i, word in enumerate(words):
+            place = self.words.get(word)
+            if place is None:
+                place = self.words[word] = len(self.words)
+                self.table[place] = self._unknown(word)
+            at[i] = place
+        return self.table[at]
 
     def _unknown(self, word: str) -> np.ndarray:
         marked = f"\x02{word}\x03"
-        total, i = np.zeros(len(self.languages)), 0
+        total, i = self.floor * 0, 0
         while i < len(marked):
             for n in range(min(NGRAM, len(marked) - i), 0, -1):
                 found = self.grams.get(marked[i : i + n])
                 if found is not None:
-                    total += found
+                    total += self.gram_table[found]
                     break
             else:
                 n = 1
@@ -160,13 +170,13 @@ def predict(docs: DataFrame, model: DataFrame, keep: tuple[str, ...] = ("doc_id"
 
     def run(batches):
         scorer = Model(held.value)
-        for block in T.blocks(batches, "text"):
+        for block in T.blocks(batches, "text", BLOCK):
             local: dict[str, int] = {}
             parts = []
             for text in block.column("text").to_pylist():
                 words = LETTERS.findall(text.lower()) if text else []
                 parts.append(np.array([local.setdefault(w, len(local)) for w in words], np.int64))
-            table = np.array([scorer.word(w) for w in local]).reshape(len(local), len(scorer.languages))
+            table = scorer.rows(list(local))
             langs, scores = [], []
             for places in parts:
                 if not len(places) or not scorer.languages:

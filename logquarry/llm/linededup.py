@@ -29,6 +29,8 @@ from logquarry.llm.mph import MinimalHash
 TABLE = "chunk long, ids array<long>, rest binary, sizes binary, text binary, seq binary, keys binary, n_keys long"
 RESULT = "doc_id long, text string, n_lines long, n_dropped long"
 NO_ID = -(1 << 63)
+# Bytes of text in a block; the arrays over its bytes take many times that.
+BLOCK = 4 << 20
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,7 +65,7 @@ def line_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int
 
 def _block_table(docs: DataFrame, least: int, keep: tuple[str, ...]) -> DataFrame:
     def run(batches):
-        for chunk, block in zip(B.chunk_ids(), T.blocks(batches, "text")):
+        for chunk, block in zip(B.chunk_ids(), T.blocks(batches, "text", BLOCK)):
             data, offsets = T.text_bytes(block.column("text"))
             starts, ends, first = line_spans(data, offsets)
             lines, h1, h2 = line_keys(data, starts, ends, least)
