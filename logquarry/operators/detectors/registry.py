@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -85,14 +86,30 @@ def alerts_from(
     return alert_ops.new_alerts(kept, as_of)
 
 
-def detector_stats(runs: DataFrame) -> DataFrame:
-    """Per detector: whether it is enabled, when it last ran, how often, and what it found."""
-    return runs.groupBy("name").agg(
+def detector_stats(runs: DataFrame, detectors: list[Detector] | None = None) -> DataFrame:
+    """Per detector: whether it is enabled, when it last ran, how often, and what it found.
+
+    With ``detectors`` there is a row for each of them, run or not, and ``settings`` holds what
+    they say of themselves as JSON.
+    """
+    ran = runs.groupBy("name").agg(
         F.max_by("enabled", "run_at").alias("enabled"),
         F.max("run_at").alias("last_run"),
         F.count(F.lit(1)).alias("runs_count"),
         F.sum("anomalies").alias("alerts_created"),
     )
+    if detectors is None:
+        return ran
+    rows = [(d.name, d.enabled, json.dumps(d.describe(), sort_keys=True, default=str)) for d in detectors]
+    known = runs.sparkSession.createDataFrame(rows, "name string, enabled boolean, settings string")
+    return known.join(ran.drop("enabled"), "name", "left").select(
+        "name",
+        "enabled",
+        "settings",
+        "last_run",
+        F.coalesce("runs_count", F.lit(0)).alias("runs_count"),
+        F.coalesce("alerts_created", F.lit(0)).alias("alerts_created"),
+    )
 
 
 def poll_stats(polls: DataFrame) -> DataFrame:

@@ -167,13 +167,25 @@ def error_rate_alerts(
 
 
 class ErrorBurst(Detector):
-    def __init__(self, threshold: float = ERRORS_PER_MINUTE, window_minutes: float = WINDOW_MINUTES) -> None:
+    """Looks at the given logs, or, with ``history``, at the stored ones.
+
+    A burst may be spread over several micro-batches; ``history`` supplies the whole window.
+    """
+
+    def __init__(
+        self,
+        threshold: float = ERRORS_PER_MINUTE,
+        window_minutes: float = WINDOW_MINUTES,
+        history: Callable[[], DataFrame] | None = None,
+    ) -> None:
         super().__init__("error_burst")
         self.threshold = threshold
         self.window_minutes = window_minutes
+        self.history = history
 
     def detect(self, logs: DataFrame, as_of: Instant = None) -> DataFrame:
-        return error_burst(logs, self.threshold, self.window_minutes, as_of)
+        given = self.history() if self.history else logs
+        return error_burst(given, self.threshold, self.window_minutes, as_of)
 
 
 class VolumeSpike(Detector):
@@ -200,9 +212,12 @@ class VolumeSpike(Detector):
 
 
 class SourceAnomaly(Detector):
-    def __init__(self, min_logs: int = MIN_SOURCE_LOGS) -> None:
+    """Looks at the given logs, or, with ``history``, at the stored ones it supplies."""
+
+    def __init__(self, min_logs: int = MIN_SOURCE_LOGS, history: Callable[[], DataFrame] | None = None) -> None:
         super().__init__("source_anomaly")
         self.min_logs = min_logs
+        self.history = history
 
     def detect(self, logs: DataFrame, as_of: Instant = None) -> DataFrame:
-        return source_anomaly(logs, self.min_logs)
+        return source_anomaly(self.history() if self.history else logs, self.min_logs)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BINS = 4096
-SMALL = 10_000
 
 
 def exact_quantile(df: DataFrame, value: str, weight: str, p: float) -> float | None:
@@ -32,16 +31,11 @@ def _ranked(rows: DataFrame, rank: int, low: float, high: float) -> float:
 
     Each round counts the rows per bin of the remaining value range (at most 4,096 counts reach
     the driver) and narrows the range to the bin that holds the rank, which always leaves out the
-    lowest or the highest value. A range with few rows is read off directly.
+    lowest or the highest value.
     """
     skipped = 0
     while low < high:
         inside = rows.filter(F.col("v").between(low, high))
-        if inside.limit(SMALL + 1).count() <= SMALL:
-            for row in inside.groupBy("v").agg(F.sum("w").alias("w")).orderBy("v").collect():
-                skipped += row["w"]
-                if skipped > rank:
-                    return row["v"]
         share = (F.col("v") - F.lit(low)) / F.lit(high - low)
         bins = (
             inside.groupBy(F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin"))

@@ -431,6 +431,20 @@ _sql(
         AND timestamp >= '2024-01-01 02:00:00' ORDER BY timestamp DESC, id LIMIT 1000""",
 )
 
+_sql("stored_get", "all_logs", "SELECT * FROM all_logs WHERE id = 'ev-000000000042'")
+_sql(
+    "stored_range",
+    "all_logs",
+    f"""SELECT * FROM all_logs WHERE timestamp >= '2024-01-10 00:00:00' AND timestamp <= '{SINCE}'
+        ORDER BY timestamp, id""",
+)
+_sql("read_lines", "messages", "SELECT content AS value FROM messages")
+_sql(
+    "message_ids",
+    "messages",
+    f"{_CLASSIFIED} SELECT sha256(id::varchar || chr(1) || content) AS id FROM classified WHERE reason IS NULL",
+)
+
 # --- inbox --------------------------------------------------------------------------------------
 
 _sql(
@@ -565,6 +579,21 @@ _sql(
     "gateway",
     f"+ {_found('gateway')} SELECT anomaly_type, (SELECT count(*) FROM gateway) AS processed_count FROM found",
 )
+_sql(
+    "error_burst_text",
+    "logs",
+    f"""+ r AS ({_BURST}) SELECT printf('High error rate detected: %.2f errors/minute (%d errors in 5 minutes)',
+        errors / 5.0::double, errors) AS message FROM r WHERE errors / 5.0 > {BURST_THRESHOLD}""",
+)
+_sql(
+    "detector_stats_all",
+    "logs",
+    f"""+ {_found('logs')}
+        SELECT name, enabled, runs_count, count(anomaly_type) AS alerts_created, loaded
+        FROM (VALUES ('error_burst', true, 1::bigint, NULL), ('volume_spike', true, 1, NULL), ('source_anomaly', true, 1, NULL),
+              ('switched_off', false, 0, NULL), ('isolation_forest', true, 0, 'false')) AS d(name, enabled, runs_count, loaded)
+        LEFT JOIN found ON anomaly_type = name GROUP BY ALL""",
+)
 _NAMES = "(VALUES ('error_burst'), ('volume_spike'), ('source_anomaly')) AS d(name)"
 _sql(
     "detector_stats",

@@ -24,6 +24,7 @@ from logquarry.operators.detectors import forest, registry, rules
 from logquarry.functions import text as text_fns
 from logquarry.plans import views
 from logquarry.session import configure, scratch_path
+from logquarry.sources import lines
 from logquarry.sources.alerts import AlertTable
 from logquarry.sources.inbox import Inbox
 from logquarry.sources.logs import LogTable
@@ -372,6 +373,35 @@ def stored_search(spark, sf_dir):
     return search.search(table.scan(), q=PHRASE, start="2024-01-01 02:00:00", limit=1000).rows
 
 
+def _stored(spark, sf_dir) -> LogTable:
+    table = LogTable(spark, scratch_path(spark, "logs"))
+    table.append_batch(views.all_logs(spark, sf_dir))
+    return table
+
+
+@query
+def stored_get(spark, sf_dir):
+    return search.by_id(_stored(spark, sf_dir).scan(), "ev-000000000042")
+
+
+@query
+def stored_range(spark, sf_dir):
+    return search.fetch_range(_stored(spark, sf_dir).scan(), "2024-01-10 00:00:00", SINCE)
+
+
+@query
+def read_lines(spark, sf_dir):
+    """The messages as text files, read back as lines."""
+    path = scratch_path(spark, "lines")
+    views.messages(spark, sf_dir).select("content").write.text(path)
+    return lines.read_lines(spark, path).select("value")
+
+
+@query
+def message_ids(spark, sf_dir):
+    return message_ops.normalize_messages(views.messages(spark, sf_dir), AS_OF).select("id")
+
+
 # --- inbox --------------------------------------------------------------------------------------
 
 
@@ -541,6 +571,22 @@ def detector_stats(spark, sf_dir):
     return registry.detector_stats(runs).drop("last_run")
 
 
+@query
+def detector_stats_all(spark, sf_dir):
+    """One run; a disabled and an untrained detector stand beside the rules."""
+    off = rules.ErrorBurst()
+    off.name, off.enabled = "switched_off", False
+    found = registry.run_detectors(views.logs(spark, sf_dir), [*_rule_detectors(), off], BURST_AS_OF)
+    listed = [*_rule_detectors(), off, forest.IsolationForest(spark, scratch_path(spark, "model"))]
+    stats_ = registry.detector_stats(found.runs_frame(spark), listed).drop("last_run")
+    return stats_.withColumn("loaded", F.get_json_object("settings", "$.model_loaded")).drop("settings")
+
+
+@query
+def error_burst_text(spark, sf_dir):
+    return rules.error_burst(views.dated_logs(spark, sf_dir), BURST_THRESHOLD, 5, BURST_AS_OF).select("message")
+
+
 def _trained(spark, sf_dir) -> forest.Forest:
     model = forest.train(views.logs(spark, sf_dir))
     path = scratch_path(spark, "model")
