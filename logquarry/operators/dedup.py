@@ -4,9 +4,11 @@ An anomaly is dropped when an open alert of the same severity contains the first
 its message (ASCII case ignored). Anomalies are taken one by one, so an anomaly that was kept
 earlier in the same batch counts as an open alert too.
 
-"Contains" is turned into equality: a text contains a pattern of n characters exactly when one of
-its n-character substrings equals the pattern. Both sides are reduced to distinct values first, so
-the join is an equi-join without hot keys, however many alerts share a message.
+"Contains" is turned into equality: with k the length of the shortest pattern, a text that contains a
+pattern has its first k characters at some position. Each position gives one row with the hash of k
+characters and the 50 characters that a pattern can reach; rows join patterns by the hash and are
+verified. So the rows are as many as the text is long. Both sides are reduced to distinct values first,
+however many alerts share a message.
 """
 
 from __future__ import annotations
@@ -20,23 +22,29 @@ from logquarry.session import materialise
 PREFIX_CHARS = 50
 
 
-def _substrings(text: Column, lengths: Column) -> Column:
-    """All distinct substrings of the given lengths."""
-
-    def of_length(n: Column) -> Column:
-        positions = F.sequence(F.lit(1), F.length(text) - n + 1)
-        cut = F.transform(positions, lambda i: F.substr(text, i, n))
-        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+def _contained(messages: DataFrame, patterns: DataFrame, *carry: str) -> DataFrame:
+    """(severity, pattern, carry...) for every pattern that a message of its severity contains."""
+    filled = F.when(F.length("pattern") > 0, F.length("pattern"))
+    anchor = patterns.agg(F.coalesce(F.min(filled), F.lit(1))).scalar()
+    own = patterns.select("severity", "pattern", anchor.alias("k")).distinct().select(
+        "severity", "pattern", F.xxhash64(F.substr("pattern", F.lit(1), F.col("k"))).alias("gram")
+    )
 
+    def place(i: Column) -> Column:
+        return F.struct(
+            F.xxhash64(F.substr("text", i, F.col("k"))).alias("gram"),
+            F.substr("text", i, F.lit(PREFIX_CHARS)).alias("window"),
+        )
 
-def _contained(messages: DataFrame, patterns: DataFrame, *carry: str) -> DataFrame:
-    """(severity, pattern, carry...) for every pattern length found in ``patterns``."""
-    lengths = patterns.agg(F.collect_set(F.length("pattern"))).scalar()
-    return messages.withColumn("lengths", lengths).select(
-        "severity", *carry, F.explode(_substrings(F.col("text"), F.col("lengths"))).alias("pattern")
+    positions = F.sequence(F.lit(1), F.length("text") - F.col("k") + 1)
+    places = F.when(F.length("text") >= F.col("k"), F.transform(positions, place))
+    # The empty pattern is contained in every message.
+    nothing = F.array(F.struct(F.xxhash64(F.lit("")).alias("gram"), F.lit("").alias("window")))
+    spread = messages.withColumn("k", anchor).select(
+        "severity", *carry, F.inline(F.array_distinct(F.concat(nothing, F.coalesce(places, nothing))))
     )
+    hit = F.startswith("window", "pattern")
+    return spread.join(own, ["severity", "gram"]).filter(hit).select("severity", "pattern", *carry).distinct()
 
 
 def first_per_pattern(anomalies: DataFrame, order: tuple[str, ...]) -> DataFrame:
@@ -60,7 +68,7 @@ def first_per_pattern(anomalies: DataFrame, order: tuple[str, ...]) -> DataFrame
 def drop_known(firsts: DataFrame, open_alerts: DataFrame) -> DataFrame:
     """Without the patterns that an open alert of the same severity contains."""
     texts = open_alerts.select("severity", ascii_lower(F.col("message")).alias("text")).distinct()
-    known = _contained(texts, firsts.select("pattern")).distinct()
+    known = _contained(texts, firsts.select("severity", "pattern"))
     return firsts.join(known, ["severity", "pattern"], "left_anti")
 
 
@@ -77,7 +85,7 @@ def _blocks(firsts: DataFrame) -> DataFrame:
         key.alias("by"),
         "seq",
     )
-    found = _contained(texts, firsts.select("pattern"), "by", "seq")
+    found = _contained(texts, firsts.select("severity", "pattern"), "by", "seq")
     return (
         found.join(own, ["severity", "pattern"])
         .filter(F.col("seq") < F.col("own_seq"))
