@@ -29,6 +29,8 @@ WINDOWS = "hash long, n int, words binary, item string"
 REPORT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 FILTER_BITS = 20
+# Bytes of text looked at once.
+BLOCK = 2 << 20
 
 
 class Words:
@@ -180,7 +182,7 @@ def _through(docs: DataFrame, items: DataFrame, n: int, act, schema, max_broadca
 
         def run(batches):
             index = Index(held.value)
-            for block in T.blocks(batches, "text"):
+            for block in T.blocks(batches, "text", BLOCK):
                 yield from act(block, index).to_batches()
 
         return docs.mapInArrow(run, schema)

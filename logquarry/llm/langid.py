@@ -40,8 +40,10 @@ FEATURES = "lang string, kind int, feature string, n long"
 LETTERS = regex.compile(r"\p{L}+(?:['’]\p{L}+)*")
 # Scores of unknown words that a task keeps between blocks.
 CACHE = 150_000
+# Texts whose words are counted at once.
+COUNTED = 250
 # Bytes of text in a block: its words are Python strings for a while.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 class Model:
@@ -104,7 +106,7 @@ def train(labelled: DataFrame) -> DataFrame:
     """(lang, kind, feature, n): counts of words (kind 0) and n-grams (kind 1) of ``text`` by ``lang``."""
 
     def count(batches):
-        for batch in batches:
+        for batch in (b.slice(i, COUNTED) for b in batches for i in range(0, len(b), COUNTED)):
             found: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 for word in LETTERS.findall(text.lower()):

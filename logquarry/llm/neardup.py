@@ -37,6 +37,8 @@ from logquarry.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 BINS = BANDS * ROWS
+# Bytes of text whose shingles are taken at once.
+BLOCK = 2 << 20
 # Attempts to find a non-empty bin by hashing before the next one to the right is taken.
 ATTEMPTS = 64
 # Members of a centre per task, and members of one side of a block comparison.
@@ -134,7 +136,7 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
 def _sets(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     def run(batches):
         at = TaskContext.get().partitionId() << 40
-        for block in T.blocks(batches, "text"):
+        for block in T.blocks(batches, "text", BLOCK):
             flat, offsets = shingles(block.column("text"))
             rows = T.splitmix(np.arange(at, at + len(block), dtype=np.uint64))
             at += len(block)
@@ -196,7 +198,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         centre, own = None, None
-        for block in T.blocks(batches, "text", T.BLOCK // 4):
+        for block in T.blocks(batches, "text", BLOCK):
             flat, offsets = shingles(block.column("text"))
             rows = zip(*(block.column(c).to_pylist() for c in ("a", "kind", "b")))
             found = []

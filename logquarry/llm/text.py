@@ -123,6 +123,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, size: int = BLOCK) ->
             if full >= size or row < len(batch):
                 yield pa.Table.from_batches(held)
                 held, full = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield pa.Table.from_batches(held)
 
