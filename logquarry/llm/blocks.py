@@ -102,6 +102,12 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def runs(homes: np.ndarray) -> dict[int, tuple[int, int]]:
+    """{shard: (start, end)} of an ascending array of shards; only shards that occur."""
+    cuts = np.flatnonzero(np.diff(homes, prepend=-1)).tolist()
+    return {int(homes[a]): (a, b) for a, b in zip(cuts, [*cuts[1:], len(homes)])}
+
+
 def ask(table: DataFrame, requests: Callable, *columns: str) -> DataFrame:
     """requests(row as dict) yields (shard, bytes) for one block."""
 

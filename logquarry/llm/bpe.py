@@ -26,7 +26,7 @@ from logquarry.llm import blocks as B
 from logquarry.llm import text as T
 
 BLOCK_TABLE = (
-    "chunk long, ids array<long>, counts binary, seq binary, homes binary, words binary, n_words long"
+    "chunk long, ids array<long>, counts binary, seq binary, words binary, n_words long"
 )
 IDS = "doc_id long, ids binary"
 # Bytes of text in a block: its words are Python strings for a while.
@@ -124,6 +124,13 @@ def _unpack_words(blob: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def _homes(words: list[bytes], shards: int) -> np.ndarray:
+    """The shard of every word."""
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if words else ends
+    return B.shard_of(T.hasher().segments(np.frombuffer(b"".join(words), np.uint8), starts, ends), shards)
+
+
 def _block_table(docs: DataFrame, pattern: str) -> DataFrame:
     def run(batches):
         split = regex.compile(pattern).findall
@@ -141,9 +148,6 @@ def _block_table(docs: DataFrame, pattern: str) -> DataFrame:
             number[order] = np.arange(len(local))
             listed = list(local)
             words = [listed[i].encode() for i in order.tolist()]
-            ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-            data = np.frombuffer(b"".join(words), np.uint8)
-            hashes = T.hasher().segments(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if words else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_pylist(
                 [
                     {
@@ -151,8 +155,6 @@ def _block_table(docs: DataFrame, pattern: str) -> DataFrame:
                         "ids": block.column("doc_id").to_pylist(),
                         "counts": T.pack(T.smallest(np.array(counts, np.int64))),
                         "seq": T.pack(T.smallest(number[places])),
-                        # The leading bits of the hash; shards are ranges of them.
-                        "homes": T.pack((hashes >> np.uint64(48)).astype(np.uint16)),
                         "words": _pack_words(words),
                         "n_words": len(words),
                     }
@@ -161,7 +163,7 @@ def _block_table(docs: DataFrame, pattern: str) -> DataFrame:
                     [
                         ("chunk", pa.int64()),
                         ("ids", pa.list_(pa.int64())),
-                        *((c, pa.binary()) for c in ("counts", "seq", "homes", "words")),
+                        *((c, pa.binary()) for c in ("counts", "seq", "words")),
                         ("n_words", pa.int64()),
                     ]
                 ),
@@ -178,20 +180,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
     B.prepare(docs.sparkSession)
     table = B.block_table(_block_table(docs, pattern), "bpe")
-    shards = min(B.shard_count(B.total(table, "n_words")), 1 << 16)
-
-    def by_shard(homes: np.ndarray) -> np.ndarray:
-        return homes.astype(np.int64) * shards >> 16
+    shards = B.shard_count(B.total(table, "n_words"))
 
     def requests(row):
-        words, homes = _unpack_words(row["words"]), by_shard(T.unpack(row["homes"]))
+        words = _unpack_words(row["words"])
+        homes = _homes(words, shards)
         order = np.argsort(homes, kind="stable")
-        cuts = np.searchsorted(homes[order], np.arange(shards + 1)).tolist()
-        order = order.tolist()
-        for shard in range(shards):
-            mine = order[cuts[shard] : cuts[shard + 1]]
-            if mine:
-                yield shard, _pack_words([words[i] for i in mine])
+        placed = order.tolist()
+        for shard, (a, b) in B.runs(homes[order]).items():
+            yield shard, _pack_words([words[i] for i in placed[a:b]])
 
     def serve(bodies, _):
         ranks = load_ranks(ranks_path)
@@ -211,7 +208,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         return out
 
     def finish(row, answers):
-        homes = by_shard(T.unpack(row["homes"]))
+        homes = _homes(_unpack_words(row["words"]), shards)
         order = np.argsort(homes, kind="stable")
         lengths, ids = [], []
         for shard in sorted(answers):
@@ -236,8 +233,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             encoded.append(flat[T.ranges(starts[words], sizes[words])].astype("<u4").tobytes())
         return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "ids": pa.array(encoded, pa.binary())})
 
-    answers = B.answer(B.ask(table, requests, "words", "homes"), serve)
-    return B.combine(table.select("chunk", "ids", "counts", "seq", "homes"), answers, finish, IDS)
+    answers = B.answer(B.ask(table, requests, "words"), serve)
+    return B.combine(table.select("chunk", "ids", "counts", "seq", "words"), answers, finish, IDS)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

@@ -199,10 +199,8 @@ def _sharded(docs: DataFrame, windows: DataFrame, act, schema) -> DataFrame:
         words = Words(B.unpacked(row["block"]).column("text"))
         found = [np.unique(words.windows(n)[1]) for n in lengths]
         found = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-        cuts = np.searchsorted(B.shard_of(found, shards), np.arange(shards + 1))
-        for shard in range(shards):
-            if cuts[shard] < cuts[shard + 1]:
-                yield shard, found[cuts[shard] : cuts[shard + 1]].tobytes()
+        for shard, (a, b) in B.runs(B.shard_of(found, shards)).items():
+            yield shard, found[a:b].tobytes()
 
     def pack_windows(batches):
         for batch in batches:

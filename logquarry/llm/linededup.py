@@ -126,10 +126,8 @@ def drop_common_lines(
 
     def requests(row):
         keys = T.unpack(row["keys"]).reshape(4, -1)
-        cuts = np.searchsorted(B.shard_of(keys[0], shards), np.arange(shards + 1)).tolist()
-        for shard in range(shards):
-            if cuts[shard] < cuts[shard + 1]:
-                yield shard, keys[:, cuts[shard] : cuts[shard + 1]].tobytes()
+        for shard, (a, b) in B.runs(B.shard_of(keys[0], shards)).items():
+            yield shard, keys[:, a:b].tobytes()
 
     def serve(bodies, _):
         asked = [np.frombuffer(b, np.uint64).reshape(4, -1) for b in bodies]

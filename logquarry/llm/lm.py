@@ -238,7 +238,7 @@ def score(docs: DataFrame, discount: float = DISCOUNT, model_path: str | None =
             at = np.minimum(np.searchsorted(hot, names), len(hot) - 1)
             self.hot = np.where(hot[at] == names, at, -1)
             homes = B.shard_of(self.words, shards)
-            self.cuts = np.searchsorted(homes, np.arange(shards + 1))
+            self.word_runs = B.runs(homes)
             width = len(self.words)
             pairs = _before(self.local, self.counts, width) * width + self.local
             distinct, self.pair = np.unique(pairs, return_inverse=True)
@@ -246,18 +246,18 @@ def score(docs: DataFrame, discount: float = DISCOUNT, model_path: str | None =
             place = self.hot[self.v]
             home = np.where(place >= 0, homes[self.w], np.append(homes, 0)[self.v])
             self.order = np.argsort(home * (len(hot) + 1) + place + 1, kind="stable")
-            self.home = home[self.order]
-            self.pair_cuts = np.searchsorted(self.home, np.arange(shards + 1))
+            # A shard that has bigrams has a token of them too.
+            self.pair_runs = B.runs(home[self.order])
+
+        def pairs_of(self, shard: int) -> np.ndarray:
+            return self.order[slice(*self.pair_runs.get(shard, (0, 0)))]
 
     def requests(row):
         block = Block(row)
         seen = T.unpack(row["seen"])
         counts = np.bincount(block.pair[np.repeat(block.train, block.counts)], minlength=len(block.v))
-        for shard in range(shards):
-            a, b = block.cuts[shard : shard + 2].tolist()
-            pairs = block.order[block.pair_cuts[shard] : block.pair_cuts[shard + 1]]
-            if a == b and not len(pairs):
-                continue
+        for shard, (a, b) in block.word_runs.items():
+            pairs = block.pairs_of(shard)
             v = block.v[pairs]
             place = block.hot[v]
             runs = np.bincount(v[place < 0] - a, minlength=b - a)
@@ -341,11 +341,11 @@ def score(docs: DataFrame, discount: float = DISCOUNT, model_path: str | None =
         seen, backoff = np.zeros(width, np.int64), np.ones(width + 1)
         p = np.zeros(len(block.v))
         for shard, body in bodies.items():
-            a, b = block.cuts[shard : shard + 2].tolist()
+            a, b = block.word_runs[shard]
             totals, weights, codes = map(T.unpack, _cut(body))
             seen[a:b] = totals
             backoff[a:b] = np.where(weights == MISSING, 1.0, restored(weights))
-            p[block.order[block.pair_cuts[shard] : block.pair_cuts[shard + 1]]] = restored(codes)
+            p[block.pairs_of(shard)] = restored(codes)
         at = np.flatnonzero(block.hot >= 0)
         backoff[at] = hot_backoff[block.hot[at]]
         base = (seen + 1) / (tokens + types + 1)

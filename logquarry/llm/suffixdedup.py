@@ -169,11 +169,8 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
 
     def requests(row):
         runs, several = _runs(row["runs"])
-        cuts = np.searchsorted(B.shard_of(runs, shards), np.arange(shards + 1))
-        for shard in range(shards):
-            a, b = cuts[shard : shard + 2].tolist()
-            if a < b:
-                yield shard, (b - a).to_bytes(4, "little") + np.packbits(several[a:b]).tobytes() + runs[a:b].tobytes()
+        for shard, (a, b) in B.runs(B.shard_of(runs, shards)).items():
+            yield shard, (b - a).to_bytes(4, "little") + np.packbits(several[a:b]).tobytes() + runs[a:b].tobytes()
 
     def serve(bodies, _):
         asked = [_runs(b) for b in bodies]
@@ -185,10 +182,10 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     def places(row, answers):
         words = Words(row=row, window=window)
         runs, _ = _runs(row["runs"])
-        cuts = np.searchsorted(B.shard_of(runs, shards), np.arange(shards + 1))
         flags = np.zeros(len(runs), bool)
+        places_of = B.runs(B.shard_of(runs, shards))
         for shard, body in answers.items():
-            a, b = cuts[shard : shard + 2].tolist()
+            a, b = places_of[shard]
             flags[a:b] = np.unpackbits(np.frombuffer(body, np.uint8), count=b - a)
         keep = words.at[flags[np.searchsorted(runs, words.runs)]] if len(runs) else words.at
         follows, precedes = _contexts(words, keep, right, left)
