@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +15,8 @@ from logquarry.session import materialise
 from logquarry.sources.alerts import AlertTable
 from logquarry.streaming.ingest import DETECT_INTERVAL, batch_folder, trigger
 
+POLLED_AT = "_polled_at"
+
 
 def start_detection(
     logs: DataFrame,
@@ -31,17 +31,19 @@ def start_detection(
     """Run the detectors on each micro-batch of logs and store what is new.
 
     The position is the stream's checkpoint, saved after the alerts are written: a micro-batch
-    may run again, and then finds its own alerts among the open ones. Run records go to
+    may run again. Its instant is a column of the stream, which a repeated batch gets again, so its
+    alerts have the same ids and are found among the stored ones. Run records go to
     ``<runs>/detectors`` and ``<runs>/polls``.
     """
 
     def poll(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        seen = batch.count()
+        stamped = batch.persist()
+        seen, polled = stamped.agg(F.count(F.lit(1)), F.max(POLLED_AT).cast("string")).first()
+        batch = stamped.drop(POLLED_AT)
         if seen:
             # One instant for the whole poll, so that its alerts agree on it.
-            now = as_of if as_of is not None else datetime.now(timezone.utc)
+            now = as_of if as_of is not None else polled
             findings = run_detectors(batch, detectors, now)
             new = materialise(alerts_from(findings, alerts.read(), dedup_hours, now))
             created = alerts.append(new).count()
@@ -56,10 +58,11 @@ def start_detection(
             record.coalesce(1).write.mode("overwrite").parquet(
                 batch_folder(f"{runs}/polls", checkpoint, batch_id)
             )
-        batch.unpersist()
+        stamped.unpersist()
 
     return (
-        logs.writeStream.queryName("detection")
+        logs.withColumn(POLLED_AT, F.current_timestamp())
+        .writeStream.queryName("detection")
         .foreachBatch(poll)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger(interval))
