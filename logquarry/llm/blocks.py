@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logquarry.llm import text as T
 from logquarry.session import configure, scratch_path
 
 REQUESTS = "shard int, chunk long, body binary"
@@ -89,8 +90,8 @@ def packed(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def shard_count(keys: int | None) -> int:
-    return max(LEAST_SHARDS, -(-(keys or 0) // SHARD_KEYS))
+def shard_count(keys: int | None, each: int = SHARD_KEYS) -> int:
+    return max(LEAST_SHARDS, -(-(keys or 0) // each))
 
 
 def total(table: DataFrame, column: str) -> int:
@@ -137,6 +138,7 @@ def answer(requests: DataFrame, serve: Callable) -> DataFrame:
         table = table.sort_by("chunk")
         bodies, chunks = table.column("body").to_pylist(), table.column("chunk").to_pylist()
         out = serve(bodies, chunks)
+        T.give_back()
         chunks += [-1] * (len(out) - len(chunks))
         keep = [i for i, body in enumerate(out) if body is not None]
         return pa.table(
@@ -154,6 +156,7 @@ def combine(table: DataFrame, answers: DataFrame, finish: Callable, schema: str)
     """finish(block row as dict, {shard: body}) gives the rows of the block as an Arrow table."""
 
     def run(key, left, right):
+        T.give_back()
         bodies = dict(zip(right.column("shard").to_pylist(), right.column("body").to_pylist()))
         return finish(left.to_pylist()[0], bodies)
 

@@ -30,7 +30,9 @@ BLOCK_TABLE = (
 )
 IDS = "doc_id long, ids binary"
 # Bytes of text in a block: its words are Python strings for a while.
-BLOCK = 6 << 20
+BLOCK = 3 << 20
+# Words that one shard encodes, about; they are Python objects for a while.
+SHARD_WORDS = 300_000
 # Words longer than this are merged with a heap.
 LONG_WORD = 64
 
@@ -180,7 +182,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
     B.prepare(docs.sparkSession)
     table = B.block_table(_block_table(docs, pattern), "bpe")
-    shards = B.shard_count(B.total(table, "n_words"))
+    shards = B.shard_count(B.total(table, "n_words"), SHARD_WORDS)
 
     def requests(row):
         words = _unpack_words(row["words"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 MASK = (1 << 64) - 1
+# glibc only; elsewhere freed memory is left to the allocator.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 # Texts of one block, in bytes. A longer text is a block of its own.
 BLOCK = 8 << 20
 # Bytes hashed at once; a longer segment is hashed in one go.
@@ -106,6 +109,13 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str, size: int = BLOCK) -> Iterator[pa.Table]:
     """Cut and join batches so that each table holds about ``size`` bytes of text."""
     held: list[pa.RecordBatch] = []
@@ -123,9 +133,10 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, size: int = BLOCK) ->
             if full >= size or row < len(batch):
                 yield pa.Table.from_batches(held)
                 held, full = [], 0
-                pa.default_memory_pool().release_unused()
+                give_back()
     if held:
         yield pa.Table.from_batches(held)
+    give_back()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
