@@ -1,22 +1,16 @@
-"""Passages that occur at several places of a corpus, by a sparse suffix array.
+"""Passages that occur at several places of a corpus, by counting windows around repeated anchors.
 
-Suffixes are kept only at positions that their content selects: of every WINDOW consecutive runs of
-ANCHOR words the one with the least hash (runs within a text only). Two equal passages of
-WINDOW + ANCHOR - 1 words, which is the least length of a passage, select the same positions, so each
-of their windows holds a common suffix start. Blocks of documents ask shards which runs occur more
-than once; only those positions go on, each with the word hashes of its context: enough words to the
-right and to the left to decide on any passage of the least length around it.
+A word lies in a repeated passage when it lies in a window of ``least`` words that occurs elsewhere too,
+so all such windows are looked for, and longer passages are unions of them. Of every window the run of
+ANCHOR words with the least hash is its anchor (runs within a text only). Two equal windows have equal
+anchors at different places, so only windows whose anchor occurs at several places go on. Blocks of
+documents ask shards which anchors repeat, and then which of the windows around those repeat. A block
+sends a window once, however often it holds it, so a passage that a third of all documents hold brings
+its shard one entry per block.
 
-All positions are sorted twice by range partitioning, by the words that follow and by the words that
-precede; neighbours are compared and the match is extended to both sides. The sort spreads a passage
-that a third of all documents hold over as many tasks as it needs. The first and the last NEIGHBOURS
-positions of each partition are compared on the driver. Longer passages are covered by the
-matches at their successive positions.
-
-Every passage is found whose partner is among the NEIGHBOURS nearest by what follows or by what precedes
-some selected position of it. Exact copies, and passages in otherwise different texts, always are; a
-window of words that a text shares with one relative, while it shares more on either side with many
-others, may be missed.
+The result is whole: how many texts share a passage, and what surrounds it there, does not matter.
+Windows are compared by 64 + 32 bits of hash, so two different windows count as equal with a
+probability of 2**-96 per pair.
 
 Words are cut at white space, with A-Z in lower case. Defined results: null and empty texts have no
 words; texts shorter than a passage have no repeats; a passage that repeats within one text counts;
@@ -28,44 +22,41 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from logquarry.llm import blocks as B
 from logquarry.llm import text as T
 
 ANCHOR = 8
-# Neighbours on each side that a position is compared with, in either order.
-NEIGHBOURS = 8
-# In a stretch of one repeated run all places up to DENSE are kept, and then every sixteenth.
-DENSE, SPARSE = 64, 16
-TABLE = "chunk long, ids array<long>, counts binary, seq binary, words binary, runs binary, n_runs long"
-PLACES = "key binary, chunk long, at long"
-FOUND = "part int, key binary, chunk long, at long, start long, end long"
+TABLE = "chunk long, ids array<long>, counts binary, seq binary, words binary, runs binary, n_runs long, n_windows long"
 REPEATS = "doc_id long, n_words long, n_repeated long, spans array<struct<start:long,end:long>>"
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
-def anchors(hashes: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, run hashes) that ``window`` consecutive runs of ANCHOR words select, ascending."""
-    runs = T.windows(hashes, ANCHOR)
+def anchors(runs: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, anchors) of the windows of ``window`` runs that lie within a text, ascending."""
     reach = window + ANCHOR - 1
-    if len(hashes) < reach:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    if len(doc) < reach:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     views = np.lib.stride_tricks.sliding_window_view(runs, window)
     inside = np.flatnonzero(doc[: len(views)] == doc[reach - 1 :][: len(views)])
-    picked = np.zeros(len(runs), bool)
+    picks = np.empty(len(inside), np.int64)
     for i in range(0, len(inside), 1 << 16):
         at = inside[i : i + (1 << 16)]
-        picked[at + views[at].argmin(axis=1)] = True
-    same = np.zeros(len(runs), bool)
-    same[1:] = (runs[1:] == runs[:-1]) & (doc[1 : len(runs)] == doc[: len(runs) - 1])
-    index = np.arange(len(runs))
-    start = np.maximum.accumulate(np.where(same, 0, index))
-    last = np.append(~picked[1:], True)
-    picked &= (index - start < DENSE) | ((index - start) % SPARSE == 0) | last
-    at = np.flatnonzero(picked)
-    return at, runs[at]
+        picks[i : i + (1 << 16)] = at + views[at].argmin(axis=1)
+    return inside, picks
+
+
+def distinct(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first index of every distinct pair in ascending order, number of the pair of each element)."""
+    order = np.lexsort((checks, hashes))
+    h, c = hashes[order], checks[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
 
 class Words:
@@ -83,7 +74,17 @@ class Words:
             self.hashes = names[T.unpack(row["seq"])] if len(names) else names
         self.first = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.at, self.runs = anchors(self.hashes, self.doc, window)
+        self.all_runs = T.windows(self.hashes, ANCHOR)
+        self.starts, self.picks = anchors(self.all_runs, self.doc, window)
+
+    def windows(self, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """64 and 32 bits of hash of the ``least`` words from each start on, of the runs that cover them."""
+        out = np.zeros((2, len(starts)), np.uint64)
+        for offset in (*range(0, least - ANCHOR, ANCHOR), least - ANCHOR):
+            runs = self.all_runs[starts + offset]
+            for i, seed in enumerate((7, 11)):
+                out[i] = T.splitmix((out[i] + np.uint64(seed)) * np.uint64(0x2545F4914F6CDD1D) + runs)
+        return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
 
 
 def _block_table(docs: DataFrame, window: int) -> DataFrame:
@@ -91,7 +92,7 @@ def _block_table(docs: DataFrame, window: int) -> DataFrame:
         for chunk, block in zip(B.chunk_ids(), T.blocks(batches, "text")):
             words = Words(column=block.column("text"), window=window)
             names, local = np.unique(words.hashes, return_inverse=True)
-            runs, n = np.unique(words.runs, return_counts=True)
+            runs, n = np.unique(words.all_runs[np.unique(words.picks)], return_counts=True)
             yield pa.RecordBatch.from_pylist(
                 [
                     {
@@ -103,6 +104,7 @@ def _block_table(docs: DataFrame, window: int) -> DataFrame:
                         # The run hashes, then whether each occurs more than once here.
                         "runs": len(runs).to_bytes(4, "little") + np.packbits(n > 1).tobytes() + runs.tobytes(),
                         "n_runs": len(runs),
+                        "n_windows": len(words.starts),
                     }
                 ],
                 pa.schema(
@@ -111,6 +113,7 @@ def _block_table(docs: DataFrame, window: int) -> DataFrame:
                         ("ids", pa.list_(pa.int64())),
                         *((c, pa.binary()) for c in ("counts", "seq", "words", "runs")),
                         ("n_runs", pa.int64()),
+                        ("n_windows", pa.int64()),
                     ]
                 ),
             )
@@ -124,48 +127,17 @@ def _runs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob[stop:], np.uint64), np.unpackbits(np.frombuffer(blob[4:stop], np.uint8), count=n).astype(bool)
 
 
-def _contexts(words: Words, at: np.ndarray, right: int, left: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words from each position on, and those before it backwards; 0 beyond the text."""
-    ids = np.maximum((words.hashes >> np.uint64(32)).astype(np.uint32), 1)
-    doc = words.doc[at]
-    out = []
-    for steps in (np.arange(right), -1 - np.arange(left)):
-        places = at[:, None] + steps
-        inside = (places >= words.first[doc][:, None]) & (places < words.first[doc + 1][:, None])
-        out.append(np.where(inside, ids[np.clip(places, 0, max(len(ids) - 1, 0))], 0).astype(np.uint32))
-    return out[0], out[1]
-
-
-def _extents(keys: np.ndarray, others: np.ndarray, right: int, left: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many words rows of two key arrays share from their positions on, and before them."""
-    side = keys[:, :1]
-    a, b = (np.ascontiguousarray(k[:, 1:]).view(np.uint32) for k in (keys, others))
-    same = (a == b) & (a != 0) & (side == others[:, :1])
-
-    def run(x: np.ndarray) -> np.ndarray:
-        return np.where(x.all(axis=1), x.shape[1], np.argmin(x, axis=1)) if x.shape[1] else np.zeros(len(x), np.int64)
-
-    # Keys by what follows: right, left. Keys by what precedes: the anchor, left, the rest of right.
-    follows, precedes = run(same[:, :right]), run(same[:, right:])
-    anchor, before, rest = run(same[:, :ANCHOR]), run(same[:, ANCHOR : ANCHOR + left]), run(same[:, ANCHOR + left :])
-    by_left = side[:, 0] == 1
-    whole = anchor == ANCHOR
-    return (
-        np.where(by_left, np.where(whole, ANCHOR + rest, anchor), follows),
-        np.where(by_left, before * whole, precedes * (follows >= ANCHOR)),
-    )
-
-
 def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     """(doc_id, n_words, n_repeated, spans): words of every text in passages that occur elsewhere too.
 
     A passage has at least ``least`` words (more than twice ANCHOR); spans are word ranges.
     """
-    spark = B.prepare(docs.sparkSession)
-    window, right, left = least - ANCHOR + 1, least, least - ANCHOR
-    width = 1 + 4 * (right + left)
+    B.prepare(docs.sparkSession)
+    window = least - ANCHOR + 1
     table = B.block_table(_block_table(docs, window), "suffixes")
     shards = B.shard_count(B.total(table, "n_runs"))
+    # Of all windows; those around repeated anchors are fewer.
+    window_shards = B.shard_count(B.total(table, "n_windows"))
 
     def requests(row):
         runs, several = _runs(row["runs"])
@@ -179,7 +151,8 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
         n = np.bincount(at, weights=1 + several) > 1
         return [np.packbits(n[np.searchsorted(names, r)]).tobytes() for r, _ in asked]
 
-    def places(row, answers):
+    def candidates(row, answers):
+        """Of a block its words, the starts of the windows with a repeated anchor, and their hashes."""
         words = Words(row=row, window=window)
         runs, _ = _runs(row["runs"])
         flags = np.zeros(len(runs), bool)
@@ -187,105 +160,60 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
         for shard, body in answers.items():
             a, b = places_of[shard]
             flags[a:b] = np.unpackbits(np.frombuffer(body, np.uint8), count=b - a)
-        keep = words.at[flags[np.searchsorted(runs, words.runs)]] if len(runs) else words.at
-        follows, precedes = _contexts(words, keep, right, left)
-        keys = []
-        for side, parts in enumerate(((follows, precedes), (follows[:, :ANCHOR], precedes, follows[:, ANCHOR:]))):
-            flat = np.empty((len(keep), width), np.uint8)
-            flat[:, 0] = side
-            flat[:, 1:] = np.concatenate(parts, axis=1).view(np.uint8).reshape(len(keep), width - 1)
-            keys += [k.tobytes() for k in flat]
+        if len(runs):
+            words.starts = words.starts[flags[np.searchsorted(runs, words.all_runs[words.picks])]]
+        return words, words.starts, *words.windows(words.starts, least)
+
+    def window_requests(row, answers):
+        _, _, hashes, checks = candidates(row, answers)
+        first, number = distinct(hashes, checks)
+        several = np.bincount(number, minlength=len(first)) > 1
+        hashes, checks = hashes[first], checks[first]
+        shard, body = [], []
+        for home, (a, b) in B.runs(B.shard_of(hashes, window_shards)).items():
+            shard.append(home)
+            body.append((b - a).to_bytes(4, "little") + np.packbits(several[a:b]).tobytes() + hashes[a:b].tobytes() + checks[a:b].tobytes())
         return pa.table(
             {
-                "key": pa.array(keys, pa.binary()),
-                "chunk": pa.array(np.full(len(keys), row["chunk"]), pa.int64()),
-                "at": pa.array(np.tile(keep, 2), pa.int64()),
-            }
-        )
-
-    answers = B.answer(B.ask(table, requests, "runs"), serve)
-    found = B.combine(table, answers, places, PLACES)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = found.repartitionByRange(parts, "key", "chunk", "at").sortWithinPartitions("key", "chunk", "at")
-
-    def matched(keys, chunks, at):
-        """Distinct spans of the rows that share a passage with one of the rows around them."""
-        rows, starts, ends = [], [], []
-        for step in range(1, min(NEIGHBOURS, len(keys) - 1) + 1):
-            r, l = _extents(keys[:-step], keys[step:], right, left)
-            hit = np.flatnonzero(r + l >= least)
-            for place in (hit, hit + step):
-                rows.append(place)
-                starts.append(at[place] - l[hit])
-                ends.append(at[place] + r[hit])
-        if not rows:
-            rows = starts = ends = [np.empty(0, np.int64)]
-        found = np.unique(np.stack([np.concatenate(x) for x in (rows, starts, ends)]), axis=1)
-        # Of spans that begin alike the longest is enough.
-        last = np.append((np.diff(found[:2]) != 0).any(axis=0), True) if found.shape[1] else np.empty(0, bool)
-        place, starts, ends = found[:, last]
-        return chunks[place], at[place], starts, ends
-
-    def as_rows(chunks, at, starts, ends):
-        return pa.RecordBatch.from_pydict(
-            {
-                "part": pa.nulls(len(at), pa.int32()),
-                "key": pa.nulls(len(at), pa.binary()),
-                "chunk": pa.array(chunks, pa.int64()),
-                "at": pa.array(at, pa.int64()),
-                "start": pa.array(starts, pa.int64()),
-                "end": pa.array(ends, pa.int64()),
-            }
-        )
-
-    def arrays(batch):
-        keys = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(-1, width)
-        return keys, batch.column("chunk").to_numpy(), batch.column("at").to_numpy()
-
-    def edge(part, rows):
-        n = len(rows[1])
-        return pa.RecordBatch.from_pydict(
-            {
-                "part": pa.array([part] * n, pa.int32()),
-                "key": pa.array([k.tobytes() for k in rows[0]], pa.binary()),
-                "chunk": pa.array(rows[1], pa.int64()),
-                "at": pa.array(rows[2], pa.int64()),
-                "start": pa.nulls(n, pa.int64()),
-                "end": pa.nulls(n, pa.int64()),
+                "shard": pa.array(shard, pa.int32()),
+                "chunk": pa.array([row["chunk"]] * len(shard), pa.int64()),
+                "body": pa.array(body, pa.binary()),
             }
         )
 
-    def neighbours(batches):
-        part, last, first = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            own = arrays(batch)
-            if first < NEIGHBOURS:
-                yield edge(part, [x[: NEIGHBOURS - first] for x in own])
-                first += len(batch)
-            if last is not None:
-                own = tuple(np.concatenate([a, b]) for a, b in zip(last, own))
-            yield as_rows(*matched(*own))
-            last = tuple(x[-NEIGHBOURS:] for x in own)
-        if last is not None:
-            yield edge(part, last)
-
-    matches = B.written(ordered.mapInArrow(neighbours, FOUND), "matches")
-    # A few rows per partition: the last of one and the first of the next are neighbours too.
-    edges = matches.filter("part is not null").drop("start", "end").toArrow().sort_by([("part", "ascending"), ("key", "ascending"), ("chunk", "ascending"), ("at", "ascending")])
-    spans = matches.filter("part is null").select("chunk", "at", "start", "end")
-    if edges.num_rows > 1:
-        rows = zip(*(x.tolist() for x in matched(*arrays(edges.combine_chunks()))))
-        spans = spans.union(spark.createDataFrame(list(rows), "chunk long, at long, start long, end long"))
-
-    def finish(key, left_, right_):
-        row = left_.to_pylist()[0]
-        counts = T.unpack(row["counts"]).astype(np.int64)
-        first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    def serve_windows(bodies, _):
+        asked = []
+        for body in bodies:
+            n = int.from_bytes(body[:4], "little")
+            stop = 4 + (n + 7) // 8
+            several = np.unpackbits(np.frombuffer(body[4:stop], np.uint8), count=n)
+            asked.append((np.frombuffer(body, np.uint64, n, stop), np.frombuffer(body, np.uint32, n, stop + 8 * n), several))
+        hashes, checks, several = (np.concatenate(x) for x in zip(*asked))
+        _, number = distinct(hashes, checks)
+        repeated = (np.bincount(number, weights=1 + several) > 1)[number]
+        cuts = np.cumsum([len(h) for h, _, _ in asked])[:-1]
+        return [np.packbits(x).tobytes() for x in np.split(repeated, cuts)]
+
+    answers = B.written(B.answer(B.ask(table, requests, "runs"), serve), "anchors")
+    blocks = table.drop("ids", "n_runs", "n_windows")
+    found = B.answer(B.combine(blocks, answers, window_requests, B.REQUESTS), serve_windows)
+    # Answers on windows get negative numbers, to be told from those on anchors.
+    both = answers.union(found.select((-1 - F.col("shard")).alias("shard"), "chunk", "body"))
+
+    def finish(row, answers):
+        words, starts, hashes, checks = candidates(row, {s: b for s, b in answers.items() if s >= 0})
+        first, number = distinct(hashes, checks)
+        flags = np.zeros(len(first), bool)
+        places_of = B.runs(B.shard_of(hashes[first], window_shards))
+        for shard, body in answers.items():
+            if shard < 0:
+                a, b = places_of[-1 - shard]
+                flags[a:b] = np.unpackbits(np.frombuffer(body, np.uint8), count=b - a)
+        starts = starts[flags[number]]
+        counts, first = words.counts, words.first
         cover = np.zeros(first[-1] + 1, np.int64)
-        np.add.at(cover, right_.column("start").to_numpy(), 1)
-        np.add.at(cover, right_.column("end").to_numpy(), -1)
+        cover[starts] += 1
+        cover[starts + least] -= 1
         covered = np.cumsum(cover[:-1]) > 0
         doc = np.repeat(np.arange(len(counts)), counts)
         edge_ = np.ones(len(covered), bool)
@@ -304,5 +232,4 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
             }
         )
 
-    blocks = table.select("chunk", "ids", "counts")
-    return blocks.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(finish, REPEATS)
+    return B.combine(table.drop("n_runs", "n_windows"), both, finish, REPEATS)

@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -419,3 +420,41 @@ def test_repeated_passages(spark, docs, rows, empty, odd):
         assert got[i].n_repeated == len(cover)
     assert suffixdedup.repeated_passages(empty).count() == 0
     assert suffixdedup.repeated_passages(odd).filter("n_repeated > 0").count() == 0
+
+
+def test_passage_held_by_thousands(spark):
+    """Two whole copies of a passage among many holders that each differ from it in one word."""
+    rng = random.Random(7)
+    # The run of least hash, which decides what is compared, lies in the middle.
+    for k in range(1000):
+        passage = [f"p{k}_{i}" for i in range(50)]
+        words_ = suffixdedup.Words(column=pa.array([" ".join(passage)]), window=43)
+        runs = suffixdedup.T.windows(words_.hashes, suffixdedup.ANCHOR)
+        if runs.argmin() == 21 and runs.min() < 1 << 57:
+            break
+
+    def fresh(n):
+        return [f"x{rng.getrandbits(40)}" for _ in range(n)]
+
+    rows = []
+    for i in range(3002):
+        held = list(passage)
+        if i >= 2:
+            held[rng.choice([*range(2, 20), *range(30, 48)])] = f"e{i}"
+        rows.append((i, " ".join(fresh(60) + held + fresh(60))))
+    got = {r.doc_id: r.n_repeated for r in suffixdedup.repeated_passages(frame(spark, rows)).collect()}
+    assert got[0] == got[1] == 50
+    assert sum(got.values()) == 100
+
+
+def test_passages_with_more_partitions_than_rows(spark):
+    """Runs repeat, no passage does: nothing is compared with itself, however few rows a partition has."""
+    shared = " ".join(f"s{i}" for i in range(49))
+    rows = [(i, " ".join(f"a{i}_{k}" for k in range(40)) + f" {shared} " + " ".join(f"b{i}_{k}" for k in range(40))) for i in range(6)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        found = suffixdedup.repeated_passages(frame(spark, rows))
+        assert found.count() == 6 and found.filter("n_repeated > 0").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
