@@ -723,6 +723,21 @@ _sql(
         SELECT hour, n AS count, round(mean, 6) AS mean_count, round(std, 6) AS std_count,
                round((n - mean) / std, 6) AS z_score FROM h, b""",
 )
+_sql(
+    "stream_error_rate_backlog",
+    "logs",
+    """+ w AS (SELECT date_trunc('minute', timestamp) - to_minutes(k) AS window_start, level
+               FROM logs, range(5) AS r(k))
+       SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, count(*) AS total_count,
+              count(*) FILTER (level = 'error') AS error_count,
+              round(count(*) FILTER (level = 'error') / 5.0::double, 6) AS errors_per_minute
+       FROM w GROUP BY window_start""",
+)
+_sql(
+    "stream_volume_backlog",
+    "logs",
+    "+ SELECT date_trunc('hour', timestamp) AS hour, count(*) AS count FROM logs GROUP BY 1",
+)
 _sql(
     "stream_alerts_created",
     "logs",

@@ -787,6 +787,30 @@ def stream_volume(spark, sf_dir):
     return rates.volume_against_baseline(rates.latest(spark, f"{base}/out", "hour"), baseline)
 
 
+def _backlog(spark, sf_dir):
+    """The events dealt by hash over eight files, one file per micro-batch: times arrive out of order."""
+    folder = scratch_path(spark, "backlog")
+    events = spark.read.schema(views.EVENTS).parquet(f"{sf_dir}/events.parquet")
+    events.repartition(8, F.xxhash64(*events.columns)).write.parquet(folder)
+    return stream_ingest.read_stream(spark, folder, views.EVENTS, max_files=1)
+
+
+@query
+def stream_error_rate_backlog(spark, sf_dir):
+    base = scratch_path(spark, "rate_backlog")
+    windows = rates.error_rate_windows(views.event_logs(_backlog(spark, sf_dir)))
+    rates.start_updates(windows, f"{base}/out", f"{base}/checkpoint", "error_rate_backlog", None).awaitTermination()
+    return rates.latest(spark, f"{base}/out", "window_start")
+
+
+@query
+def stream_volume_backlog(spark, sf_dir):
+    base = scratch_path(spark, "volume_backlog")
+    hours = rates.hourly_volume(views.event_logs(_backlog(spark, sf_dir)))
+    rates.start_updates(hours, f"{base}/out", f"{base}/checkpoint", "volume_backlog", None).awaitTermination()
+    return rates.latest(spark, f"{base}/out", "hour")
+
+
 def _detected(spark, sf_dir) -> tuple[AlertTable, str]:
     base = scratch_path(spark, "detect")
     table = AlertTable(spark, f"{base}/alerts")

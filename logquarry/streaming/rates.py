@@ -9,23 +9,25 @@ from pyspark.sql.streaming import StreamingQuery
 from logquarry.operators.detectors.rules import WINDOW_MINUTES
 from logquarry.streaming.ingest import RULE_INTERVAL, batch_folder, trigger
 
-# How late a log may arrive and still be counted. A batch run has no such bound.
-LATENESS = "10 minutes"
+# How late a log may arrive and still be counted: None has no bound, like a batch run. The state is
+# then one row per window of the time covered, whatever the number of logs.
+LATENESS: str | None = None
 
 
 def error_rate_windows(
     logs: DataFrame,
     window_minutes: int = WINDOW_MINUTES,
     slide_minutes: int = 1,
-    lateness: str = LATENESS,
+    lateness: str | None = LATENESS,
 ) -> DataFrame:
     """(window_start, window_end, total_count, error_count, errors_per_minute) per sliding window.
 
-    Works on a stream (with the lateness as watermark) and on a batch. Each row belongs to
+    Works on a stream and on a batch. With ``lateness`` as watermark a stream forgets old windows, and
+    Spark drops later rows (``numRowsDroppedByWatermark`` of its progress). Each row belongs to
     several windows; partial aggregation folds them into one row per window and task before the
     shuffle.
     """
-    if logs.isStreaming:
+    if logs.isStreaming and lateness is not None:
         logs = logs.withWatermark("timestamp", lateness)
     span = F.window("timestamp", f"{window_minutes} minutes", f"{slide_minutes} minutes")
     return (
@@ -44,9 +46,9 @@ def error_rate_windows(
     )
 
 
-def hourly_volume(logs: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """(hour, count) per clock hour, on a stream or a batch."""
-    if logs.isStreaming:
+def hourly_volume(logs: DataFrame, lateness: str | None = LATENESS) -> DataFrame:
+    """(hour, count) per clock hour, on a stream or a batch; ``lateness`` as in error_rate_windows."""
+    if logs.isStreaming and lateness is not None:
         logs = logs.withWatermark("timestamp", lateness)
     return (
         logs.groupBy(F.window("timestamp", "1 hour").alias("span"))

@@ -1,4 +1,5 @@
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,3 +194,19 @@ def test_sliding_rate_matches_batch(spark, tmp_path, error_logs, mixed_logs):
     rates.start_updates(windows, str(tmp_path / "out"), str(tmp_path / "c"), "rate_test", None).awaitTermination()
     live = rates.latest(spark, str(tmp_path / "out"), "window_start")
     assert sorted(live.collect()) == sorted(rates.error_rate_windows(logs).collect())
+
+
+def test_rates_count_late_rows(spark, tmp_path):
+    """Five files, newest first, one per micro-batch: every row is in its windows."""
+    start = datetime(2026, 3, 1)
+    rows = [(start + timedelta(hours=5 - k, minutes=m), "error" if m % 2 else "info") for k in range(5) for m in range(60)]
+    folder = str(tmp_path / "in")
+    for k in range(5):
+        one = spark.createDataFrame(rows[60 * k : 60 * k + 60], "timestamp timestamp, level string")
+        one.coalesce(1).write.mode("append").parquet(folder)
+    logs = spark.read.parquet(folder)
+    stream = ingest.read_stream(spark, folder, logs.schema, max_files=1)
+    for name, key, counted in (("late_rate", "window_start", rates.error_rate_windows), ("late_volume", "hour", rates.hourly_volume)):
+        out = str(tmp_path / name)
+        rates.start_updates(counted(stream), out, f"{out}_c", name, None).awaitTermination()
+        assert sorted(rates.latest(spark, out, key).collect()) == sorted(counted(logs).collect())
