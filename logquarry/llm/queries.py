@@ -134,7 +134,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents"))
+    found = licenses.scan(table(spark, sf_dir, "documents"), runs=True)
     return found.withColumn("licenses", F.concat_ws(",", "licenses")).withColumn("dice", F.round("dice", 9))
 
 

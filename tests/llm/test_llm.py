@@ -195,6 +195,22 @@ def test_licences(spark, empty, odd):
     assert licenses.scan(odd, templates={}).filter("n_matches > 0").count() == 0
 
 
+def test_licences_in_runs(spark, odd):
+    """Published texts of several paragraphs, inside longer documents and without a blank line around."""
+    mit, bsd = (licenses.TEMPLATES[n][0] for n in ("MIT", "BSD-3-Clause"))
+    for mark in ("The above copyright", "THE SOFTWARE IS PROVIDED"):
+        mit = mit.replace("\n", " ").replace(mark, "\n\n" + mark)
+    for mark in ("1. Redis", "2. Redis", "3. Neither", "THIS SOFTWARE IS PROVIDED"):
+        bsd = bsd.replace("\n", " ").replace(mark, "\n\n" + mark)
+    other = "\n".join(" ".join(f"word{i}_{k}" for k in range(9)) for i in range(40))
+    wrapped = licenses.TEMPLATES["MIT"][0]
+    rows = [(1, f"{other}\n\n{mit}\n\n{other}"), (2, f"{other}\n\n{bsd}\n\n{other}"), (3, f"{other}\n{wrapped}\n{other}"), (4, other), (5, None), (6, "All rights reserved."), (7, mit[:300])]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows), runs=True).collect()}
+    assert [got[i].license for i in range(1, 8)] == ["MIT", "BSD-3-Clause", "MIT", None, None, "proprietary", None]
+    assert got[3].dice == 1.0 and got[3].n_matches == 1 and got[6].n_matches == 1
+    assert licenses.scan(odd, runs=True).count() == 5
+
+
 # 4 language model
 
 
