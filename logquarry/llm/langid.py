@@ -6,9 +6,10 @@ a text as the sum over its words: a known word by its log frequency per language
 its n-grams, from the left the longest known one at each place, then the next shorter, down to single
 characters. Distinct words of a block are scored once.
 
-The classifier is fitted on a bounded sample of labelled rows: at most TRAIN_DOCS documents, those of
-the smallest hash of their id and text, with at most WORDS words and NGRAMS n-grams per language (the
-most frequent). So the model has a bounded size and may be broadcast. Prediction covers all rows.
+Every language that occurs is learned, from a bounded sample of its labelled rows: about an equal share of
+TRAIN_DOCS documents but LEAST_DOCS at least, of the smallest hashes of id and text, with at
+most WORDS words and NGRAMS n-grams (the most frequent). Beyond LANGUAGES languages there are fewer words
+and n-grams of each, so the model keeps its size and may be broadcast. Prediction covers all rows.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text when
 there is no labelled row. Equal scores go to the language first in alphabetical order. Repeated rows
@@ -33,56 +34,73 @@ TRAIN_DOCS = 20_000
 WORDS = 50_000
 NGRAMS = 20_000
 NGRAM = 4
-# Languages beyond the most frequent ones are not learned: they bound the model.
+# Documents of a language with many, where languages are many.
+LEAST_DOCS = 200
+# Beyond so many languages each gets fewer features: all languages are learned.
 LANGUAGES = 32
 UNKNOWN = "und"
 FEATURES = "lang string, kind int, feature string, n long"
 LETTERS = regex.compile(r"\p{L}+(?:['’]\p{L}+)*")
-# Scores of unknown words that a task keeps between blocks.
-CACHE = 150_000
+# Scores of words, one per word and language, that a task keeps between blocks.
+CACHE = 4_800_000
 # Texts whose words are counted at once.
 COUNTED = 250
 # Bytes of text in a block: its words are Python strings for a while.
 BLOCK = 2 << 20
 
 
+class Features:
+    """Log frequencies of features: one base per language, and entries where a feature was counted."""
+
+    def __init__(self, features: list[str], columns: np.ndarray, counts: np.ndarray, languages: int):
+        self.places: dict[str, int] = {}
+        at = np.array([self.places.setdefault(f, len(self.places)) for f in features], np.int64)
+        n = len(self.places)
+        totals = np.bincount(columns, weights=counts, minlength=languages) + 0.5 * n
+        order = np.argsort(at, kind="stable")
+        self.columns = columns[order]
+        self.values = np.log((counts[order] + 0.5) / totals[self.columns])
+        self.first = np.searchsorted(at[order], np.arange(n + 1))
+        self.base = np.log(0.5 / totals) if n else np.zeros(languages)
+        absent = np.bincount(columns, minlength=languages) < n
+        self.least = min(self.values.min(initial=0.0), self.base[absent].min(initial=0.0))
+
+    def row(self, place: int) -> np.ndarray:
+        a, b = self.first[place], self.first[place + 1]
+        out = self.base.copy()
+        out[self.columns[a:b]] = self.values[a:b]
+        return out
+
+
 class Model:
-    """Scores of words: one row of log frequencies per known word or n-gram, a column per language."""
+    """Scores of words by language, from the features of ``train``."""
 
     def __init__(self, rows: pa.Table):
-        lists = [rows.column(c).to_pylist() for c in ("lang", "kind", "feature", "n")]
-        self.languages = sorted(set(lists[0]))
+        langs, kinds, features, n = (rows.column(c).to_pylist() for c in ("lang", "kind", "feature", "n"))
+        self.languages = sorted(set(langs))
         column = {lang: i for i, lang in enumerate(self.languages)}
+        columns, counts, kinds = np.array([column[x] for x in langs], np.int64), np.array(n, float), np.array(kinds, np.int64)
+        self.known, self.grams = (
+            Features([features[i] for i in np.flatnonzero(kinds == kind).tolist()], columns[kinds == kind], counts[kinds == kind], len(self.languages))
+            for kind in (0, 1)
+        )
+        self.floor = np.full(len(self.languages), self.grams.least)
         self.words: dict[str, int] = {}
-        self.grams: dict[str, int] = {}
-        places = [(self.grams if kind else self.words) for kind in lists[1]]
-        at = [place.setdefault(feature, len(place)) for place, feature in zip(places, lists[2])]
-        tables = [np.zeros((len(p), len(self.languages))) for p in (self.words, self.grams)]
-        for lang, kind, i, n in zip(lists[0], lists[1], at, lists[3]):
-            tables[kind][i, column[lang]] += n
-        words, self.gram_table = map(self._log_frequencies, tables)
-        self.floor = np.full(len(self.languages), self.gram_table.min(initial=0.0))
-        self.known = len(words)
-        self.table = np.concatenate([words, np.empty((CACHE, len(self.languages)))])
-
-    @staticmethod
-    def _log_frequencies(counts: np.ndarray) -> np.ndarray:
-        return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts))) if len(counts) else counts
+        self.table = np.empty((CACHE // max(len(self.languages), LANGUAGES), len(self.languages)))
 
     def rows(self, words: list[str]) -> np.ndarray:
         """The log frequencies of distinct words, in their order."""
         if len(self.words) + len(words) > len(self.table):
-            self.words = {word: i for word, i in self.words.items() if i < self.known}
-        if len(self.words) + len(words) > len(self.table):
-            room = np.empty((self.known + len(words), len(self.languages)))
-            room[: self.known] = self.table[: self.known]
-            self.table = room
+            self.words = {}
+        if len(words) > len(self.table):
+            self.table = np.empty((len(words), len(self.languages)))
         at = np.empty(len(words), np.int64)
         for i, word in enumerate(words):
             place = self.words.get(word)
             if place is None:
                 place = self.words[word] = len(self.words)
-                self.table[place] = self._unknown(word)
+                known = self.known.places.get(word)
+                self.table[place] = self._unknown(word) if known is None else self.known.row(known)
             at[i] = place
         return self.table[at]
 
@@ -91,9 +109,9 @@ class Model:
         total, i = self.floor * 0, 0
         while i < len(marked):
             for n in range(min(NGRAM, len(marked) - i), 0, -1):
-                found = self.grams.get(marked[i : i + n])
+                found = self.grams.places.get(marked[i : i + n])
                 if found is not None:
-                    total += self.gram_table[found]
+                    total += self.grams.row(found)
                     break
             else:
                 n = 1
@@ -141,18 +159,19 @@ def train(labelled: DataFrame) -> DataFrame:
         return df.groupBy("lang", "kind", "feature").agg(F.sum("n").alias("n"))
 
     usable = labelled.filter("lang is not null and text is not null")
-    named = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    usable = usable.filter(F.col("lang").isin([row.lang for row in named])) if named else usable.limit(0)
-    # The bounded sample: of the hashes close to the share wanted, the smallest TRAIN_DOCS.
-    n = sum(row["count"] for row in named)
+    named = usable.groupBy("lang").count().collect()
+    # The bounded sample: hashes below the share that is wanted of a language.
+    share = max(TRAIN_DOCS // max(len(named), 1), LEAST_DOCS)
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    near = int(min(1.0, 1.5 * TRAIN_DOCS / max(n, 1)) * (1 << 40))
-    placed = usable.select("lang", "text", place.alias("place")).filter(F.col("place") < near)
-    last = placed.select("place").orderBy("place").limit(TRAIN_DOCS).agg(F.max("place")).first()[0]
-    sample = placed.filter(F.col("place") <= (last or 0)).select("lang", "text")
+    near = F.lit(0)
+    if named:
+        shares = {row.lang: int(min(1.0, share / row["count"]) * (1 << 40)) for row in named}
+        near = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
+    sample = usable.withColumn("near", near).filter(place < F.col("near")).select("lang", "text")
+    fewer = min(1.0, LANGUAGES / max(len(named), 1))
     words = summed(sample.mapInArrow(count, FEATURES))
     words = B.written(words, "words")
-    return B.written(_most(words, WORDS).union(_most(summed(words.mapInArrow(grams, FEATURES)), NGRAMS)), "langid")
+    return B.written(_most(words, max(1, int(WORDS * fewer))).union(_most(summed(words.mapInArrow(grams, FEATURES)), max(1, int(NGRAMS * fewer)))), "langid")
 
 
 def _most(counts: DataFrame, n: int) -> DataFrame:
@@ -172,7 +191,7 @@ def predict(docs: DataFrame, model: DataFrame, keep: tuple[str, ...] = ("doc_id"
 
     def run(batches):
         scorer = Model(held.value)
-        for block in T.blocks(batches, "text", BLOCK):
+        for block in T.blocks(batches, "text", int(BLOCK * min(1.0, LANGUAGES / max(len(scorer.languages), 1)))):
             local: dict[str, int] = {}
             parts = []
             for text in block.column("text").to_pylist():

@@ -280,6 +280,17 @@ def test_language_id(spark, empty, odd):
     assert langid.predict(empty, model).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """Forty languages, one of them in few rows of the corpus."""
+    rng = random.Random(3)
+    stock = [["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(30)] for _ in range(40)]
+    rows = [(k * 1000 + i, " ".join(rng.choice(stock[k]) for _ in range(20)), f"l{k:02}") for k in range(40) for i in range(3 if k == 39 else 15)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(data)
+    assert model.select("lang").distinct().count() == 40
+    assert {(r.doc_id, r.lang_pred) for r in langid.predict(data, model).collect()} == {(i, lang) for i, _, lang in rows}
+
+
 # 6 BPE
 
 
