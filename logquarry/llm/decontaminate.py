@@ -8,7 +8,8 @@ may occur in them. Either way each hash hit is verified on the words themselves.
 
 Defined results: null and empty texts have no words and are never contaminated; items without words
 are never found; repeated items count once per item id; every row is looked at by itself, whatever
-its id. Long texts are blocks of their own. Other columns pass through ``clean`` unchanged. With no
+its id. Items without an id are left out, or with ``unnamed`` their words are hit like those of others and
+only a name for the list of items is missing. Long texts are blocks of their own. Other columns pass through ``clean`` unchanged. With no
 items nothing is contaminated.
 """
 
@@ -67,7 +68,7 @@ class Index:
     def __init__(self, rows: pa.Table):
         found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
         for hash_, n, words, item in zip(*(rows.column(c).to_pylist() for c in ("hash", "n", "words", "item"))):
-            found.setdefault(n, {}).setdefault(hash_ & T.MASK, {}).setdefault(words, set()).add(item)
+            found.setdefault(n, {}).setdefault(hash_ & T.MASK, {}).setdefault(words, set()).update([] if item is None else [item])
         self.found = found
         self.hashes = {n: np.array(sorted(h), np.uint64) for n, h in found.items()}
         self.filters = {}
@@ -94,7 +95,7 @@ class Index:
                         yield real, n, items
 
 
-def window_table(items: DataFrame, n: int) -> DataFrame:
+def window_table(items: DataFrame, n: int, unnamed: bool = False) -> DataFrame:
     """The distinct windows of all items, with the id of the item as text."""
 
     def run(batches):
@@ -114,8 +115,10 @@ def window_table(items: DataFrame, n: int) -> DataFrame:
                 rows, pa.schema([("hash", pa.int64()), ("n", pa.int32()), ("words", pa.binary()), ("item", pa.string())])
             )
 
-    named = items.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null")
-    return named.mapInArrow(run, WINDOWS).distinct()
+    items = items.select(F.col("item_id").cast("string").alias("item"), "text")
+    if not unnamed:
+        items = items.filter("item is not null")
+    return items.mapInArrow(run, WINDOWS).distinct()
 
 
 def _report(block: pa.Table, index: Index) -> tuple[np.ndarray, list[list[str]], list[list[tuple[int, int]]], np.ndarray]:
@@ -173,10 +176,10 @@ def _without_spans(block: pa.Table, index: Index) -> pa.Table:
     return block.set_column(place, "text", pa.array(texts, block.schema.field("text").type))
 
 
-def _through(docs: DataFrame, items: DataFrame, n: int, act, schema, max_broadcast: int) -> DataFrame:
+def _through(docs: DataFrame, items: DataFrame, n: int, act, schema, max_broadcast: int, unnamed: bool) -> DataFrame:
     spark = B.prepare(docs.sparkSession)
-    windows = B.written(window_table(items, n), "windows")
-    size = windows.agg(F.coalesce(F.sum(F.octet_length("words") + F.octet_length("item") + 32), F.lit(0))).first()[0]
+    windows = B.written(window_table(items, n, unnamed), "windows")
+    size = windows.agg(F.coalesce(F.sum(F.octet_length("words") + F.coalesce(F.octet_length("item"), F.lit(0)) + 32), F.lit(0))).first()[0]
     if size <= max_broadcast:
         held = spark.sparkContext.broadcast(windows.toArrow())
 
@@ -238,15 +241,15 @@ def _sharded(docs: DataFrame, windows: DataFrame, act, schema) -> DataFrame:
     return B.combine(table, B.answer(asked, serve), finish, schema)
 
 
-def report(docs: DataFrame, items: DataFrame, n: int = 10, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def report(docs: DataFrame, items: DataFrame, n: int = 10, max_broadcast: int = MAX_BROADCAST, unnamed: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans): hit words, the items that occur, and hit byte spans.
 
     ``docs`` needs ``doc_id`` and ``text``, ``items`` needs ``item_id`` and ``text``.
     """
-    return _through(docs.select("doc_id", "text"), items, n, _as_report, REPORT, max_broadcast)
+    return _through(docs.select("doc_id", "text"), items, n, _as_report, REPORT, max_broadcast, unnamed)
 
 
-def clean(docs: DataFrame, items: DataFrame, n: int = 10, remove: str = "documents", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, n: int = 10, remove: str = "documents", max_broadcast: int = MAX_BROADCAST, unnamed: bool = False) -> DataFrame:
     """``docs`` without contaminated documents, or (``remove="spans"``) without their hit spans."""
     act = {"documents": _without_documents, "spans": _without_spans}[remove]
-    return _through(docs, items, n, act, docs.schema, max_broadcast)
+    return _through(docs, items, n, act, docs.schema, max_broadcast, unnamed)

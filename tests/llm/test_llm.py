@@ -143,6 +143,15 @@ def test_decontamination(spark, docs, rows, limit):
     assert all((cut[i] == text) == (not got[i].n_hit) for i, text in rows)
 
 
+@pytest.mark.parametrize("limit", [decontaminate.MAX_BROADCAST, 0])
+def test_items_without_an_id(spark, limit):
+    docs = frame(spark, [(1, "here the hidden words are"), (2, "none of these"), (3, "the hidden words of one")])
+    bench = spark.createDataFrame([(None, "hidden words"), (9, "of one")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.report(docs, bench, max_broadcast=limit, unnamed=True).collect()}
+    assert [(got[i].n_hit, got[i]["items"]) for i in (1, 2, 3)] == [(2, []), (0, []), (4, ["9"])]
+    assert [r.doc_id for r in decontaminate.clean(docs, bench, max_broadcast=limit, unnamed=True).collect()] == [2]
+
+
 def test_decontamination_of_nothing(spark, docs, empty, odd):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(docs, bench).filter("n_hit > 0").count() == 0
