@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.llm import blocks
-from logquarry.llm import bpe, decontaminate, langid, licenses, linededup, lm, neardup, suffixdedup, topk, warc
+from logquarry.llm import bpe, decontaminate, langid, licenses, linededup, lm, neardup, periodic, suffixdedup, topk, warc
 from logquarry.llm.license_texts import TEMPLATES
 from logquarry.session import scratch_path
 
@@ -20,6 +20,17 @@ WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTU
 
 
 
+# Words of a text: stretches without white space.
+_BLACK = r"[^\x20\x09-\x0D]+"
+
+# CRC-32 of the decimal doc_id, bit by bit, in DuckDB. The constants are those of the checksum.
+_CRC = (
+    "xor(4294967295::ubigint, list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as ubigint)), "
+    "lambda crc, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::ubigint[], lambda x, bit: "
+    "case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end, xor(crc, b)), 4294967295::ubigint))::bigint"
+)
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -105,10 +116,46 @@ common as (
 select k.doc_id, count(*) as n_lines, count(c.last) filter (k.doc_id <> c.last) as n_dropped,
   sha256(coalesce(string_agg(k.line, chr(10) order by k.place) filter (c.key is null or k.doc_id = c.last), '')) as kept_sha256
 from keyed k left join common c using (key) group by k.row, k.doc_id""",
+    "op11_periodic_runs": f"""
+with docs as (
+  select row_number() over () as row, doc_id, {_CRC} as h, regexp_extract_all(coalesce(text, ''), '{_BLACK}') as v from documents),
+sized as (select row, doc_id, v, h, len(v) as n, h // 10 as g from docs),
+cut as (select *, g % greatest(n, 1) as a from sized),
+planted as (select *, 1 + (n - a) // (3 + g % 8) as p from cut),
+texts as (
+  select row, doc_id, n, case when h % 10 = 0 and n > 0
+    then list_transform(range(n), lambda i: v[cast(case when i < a then i else a + (i - a) % p end as bigint) + 1]) else v end as w
+  from planted),
+places as (select row, n, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from texts),
+grams as (
+  select *, lead(i, 4) over each as end_i,
+    hash(word, lead(word, 1) over each, lead(word, 2) over each, lead(word, 3) over each, lead(word, 4) over each) as gram
+  from places window each as (partition by row order by i)),
+fives as (select row, n, i, gram from grams where end_i is not null),
+equal as (
+  select distinct x.row, y.i - x.i as q, x.i from fives x join fives y
+    on x.row = y.row and x.gram = y.gram and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+islands as (select *, i - row_number() over (partition by row, q order by i) as island from equal),
+stretches as (
+  select row, q, min(i) as start, count(*) + 4 + q as length from islands group by row, q, island),
+runs as (
+  select row, start, length, min(q) as period from stretches where length >= greatest(6, 4 * q) group by row, start, length),
+listed as (
+  select row, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as said
+  from runs group by row),
+best as (
+  select * from (select *, row_number() over (
+    partition by row order by cast(length as double) / period desc, start, period) as place from runs) where place = 1),
+gone as (select distinct row, unnest(range(start + period, start + length)) as i from runs),
+kept as (
+  select p.row, string_agg(p.word, ' ' order by p.i) as collapsed
+  from places p left join gone using (row, i) where gone.row is null group by p.row)
+select doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+  sha256(coalesce(said, '')) as runs_sha256, sha256(coalesce(collapsed, '')) as collapsed_sha256
+from texts left join listed using (row) left join best using (row) left join kept using (row)""",
 }
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return blocks.prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -188,6 +235,39 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_repeated", F.size("spans").cast("long").alias("n_spans"), "spans")
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the texts of a tenth of the ids repeat themselves from some word on.
+
+    With h the CRC-32 of the decimal id and g = h div 10, the words from a = g mod n on are the stretch
+    of 1 + (n - a) div (3 + g mod 8) words that starts there, over and over. Rows without an id stay.
+    """
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = docs.select("doc_id", "text", words.alias("words"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    n = F.size("words")
+    a = F.expr("cast(h div 10 % greatest(size(words), 1) as int)")
+    rest = n - a
+    period = (1 + F.floor(rest / (3 + F.expr("h div 10 % 8")))).cast("int")
+    copies = F.array_repeat(F.slice("words", a + 1, period), F.ceil(rest / period).cast("int"))
+    planted = F.concat_ws(" ", F.slice("words", 1, a), F.slice(F.flatten(copies), 1, rest))
+    chosen = F.coalesce((F.col("h") % 10 == 0) & (n > 0), F.lit(False))
+    return cut.select("doc_id", F.when(chosen, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(planted_runs(table(spark, sf_dir, "documents")))
+    said = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        "n_runs",
+        "start",
+        "length",
+        "period",
+        "exponent_milli",
+        F.sha2(F.concat_ws("", said), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
