@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.llm import blocks
-from logquarry.llm import bpe, decontaminate, langid, licenses, linededup, lm, neardup, periodic, suffixdedup, topk, warc
+from logquarry.llm import bpe, decontaminate, langid, licenses, linededup, lm, neardup, periodic, simhash, suffixdedup, topk, warc
 from logquarry.llm.license_texts import TEMPLATES
 from logquarry.session import scratch_path
 
@@ -268,6 +268,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
