@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.llm import blocks
-from logquarry.llm import bpe, decontaminate, langid, licenses, linededup, lm, neardup, periodic, simhash, suffixdedup, topk, warc
+from logquarry.llm import bpe, decontaminate, hardneg, langid, licenses, linededup, lm, neardup, periodic, simhash, suffixdedup, topk, warc
 from logquarry.llm.license_texts import TEMPLATES
 from logquarry.session import scratch_path
 
@@ -116,6 +116,25 @@ common as (
 select k.doc_id, count(*) as n_lines, count(c.last) filter (k.doc_id <> c.last) as n_dropped,
   sha256(coalesce(string_agg(k.line, chr(10) order by k.place) filter (c.key is null or k.doc_id = c.last), '')) as kept_sha256
 from keyed k left join common c using (key) group by k.row, k.doc_id""",
+    "op12_hard_negatives": """
+with ok as (
+  select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as t from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.row, a.vec_id as anchor_id, c.vec_id, a.label = c.label as alike,
+    cast(coalesce(list_sum(list_transform(list_zip(a.t, c.t), lambda p: coalesce(p[1] * p[2], 0))), 0) as bigint) as score
+  from ok a join ok c on c.vec_id <> a.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select * from (
+    select *, row_number() over (partition by row order by score desc, vec_id) as place from scored where alike) where place <= 5),
+ranked as (
+  select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+    cast(row_number() over (partition by p.row, p.place order by n.score desc, n.vec_id) as integer) as rank
+  from positives p join scored n on n.row = p.row and not n.alike
+    and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 10""",
     "op11_periodic_runs": f"""
 with docs as (
   select row_number() over () as row, doc_id, {_CRC} as h, regexp_extract_all(coalesce(text, ''), '{_BLACK}') as v from documents),
@@ -268,6 +287,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh row are one off, which makes near vectors of another label."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hardneg.mine(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op13_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
