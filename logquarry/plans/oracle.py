@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from logquarry.operators.detectors import forest
 from logquarry.plans import views
 from logquarry.plans.queries import (
     AS_OF,
@@ -71,6 +72,12 @@ _WORDS = (
     r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')"
 )
 
+# Mean path of an unsuccessful search among {0} rows, in whole units.
+_LENGTH = (
+    f"CASE WHEN {{0}} <= 1 THEN 0 WHEN {{0}} = 2 THEN {forest.UNIT} ELSE "
+    f"round({forest.UNIT} * (2.0 * (ln({{0}} - 1.0) + {forest.EULER_GAMMA}::double) - 2.0 * ({{0}} - 1.0) / {{0}}))::bigint END"
+)
+
 _SQL: dict[str, str] = {}
 
 
@@ -501,6 +508,115 @@ _sql(
         SELECT log_id, concat_ws(',', level_encoded, message_length, hour_of_day, is_business_hours::int, word_count,
                unique_words, has_error_keywords::int, has_warning_keywords::int) AS vector FROM x""",
 )
+
+
+def _forest(name: str, logs: str) -> str:
+    """Common table expressions of a forest trained on ``logs``: nodes, paths per vector and threshold.
+
+    The draws, splits and path lengths are worked out from MD5, level by level, as the operator states them.
+    """
+    features = range(1, forest.WIDTH + 1)
+    last = forest.depth_limit(forest.SUBSAMPLE)
+    number = "('0x' || substr(md5({0}), {1}, {2}))::bigint"
+    key = f"'{forest.SEED}:' || tree || ':' || node"
+    parts = [f"""
+        {name}_f AS MATERIALIZED ({_FEATURES.replace("FROM all_logs", f"FROM {logs}")}),
+        {name}_v AS MATERIALIZED (
+            SELECT log_id, [level_encoded::double, message_length::double, hour_of_day::double, is_business_hours::int::double,
+                   word_count::double, unique_words::double, has_error_keywords::int::double, has_warning_keywords::int::double] AS v,
+                   {number.format("log_id", 1, 15)} AS k FROM {name}_f),
+        {name}_n AS MATERIALIZED (SELECT count(*) AS n, least({forest.SUBSAMPLE}, count(*)) AS sub FROM {name}_v),
+        {name}_pool AS (
+            SELECT log_id, v, k % {forest.PRIME} AS place FROM {name}_v, {name}_n
+            WHERE k // {forest.PRIME} <= least(1.0, {float(forest.POOL)} / n) * 2.0 ** 29),
+        {name}_trees AS (
+            SELECT t AS tree, 1 + {number.format(f"'{forest.SEED}:' || t || ':a'", 1, 15)} % ({forest.PRIME} - 1) AS a,
+                   {number.format(f"'{forest.SEED}:' || t || ':b'", 1, 15)} % {forest.PRIME} AS b FROM range({forest.TREES}) r(t)),
+        {name}_drawn AS MATERIALIZED (
+            SELECT tree, v FROM (
+                SELECT tree, v, row_number() OVER (PARTITION BY tree ORDER BY (place * a + b) % {forest.PRIME}, log_id) AS place_
+                FROM {name}_pool, {name}_trees), {name}_n WHERE place_ <= sub),
+        {name}_rows_0 AS MATERIALIZED (SELECT tree, 0 AS node, v FROM {name}_drawn)"""]
+    for depth in range(last + 1):
+        low, high = (", ".join(f"{f}(v[{i}])" for i in features) for f in ("min", "max"))
+        limit = f"{depth} = ceil(log2(greatest((SELECT sub FROM {name}_n), 2)))"
+        parts.append(f"""
+        {name}_nodes_{depth} AS MATERIALIZED (
+            SELECT tree, node, size, leaf, CASE WHEN leaf THEN 0 ELSE f - 1 END AS feature,
+                   CASE WHEN leaf THEN 0.0::double
+                        ELSE low[f] + ({number.format(key, 1, 13)} / 2.0::double ** 52) * (high[f] - low[f]) END AS split, {depth} AS depth
+            FROM (SELECT *, len(varying) = 0 OR {limit} AS leaf,
+                         varying[1 + {number.format(key, 14, 7)} % greatest(len(varying), 1)] AS f
+                  FROM (SELECT *, list_filter(range(1, {forest.WIDTH + 1}), lambda i: high[i] > low[i]) AS varying
+                        FROM (SELECT tree, node, count(*) AS size, [{low}] AS low, [{high}] AS high
+                              FROM {name}_rows_{depth} GROUP BY tree, node)))),
+        {name}_rows_{depth + 1} AS MATERIALIZED (
+            SELECT r.tree, 2 * r.node + CASE WHEN r.v[n.feature + 1] <= n.split THEN 1 ELSE 2 END AS node, r.v
+            FROM {name}_rows_{depth} r JOIN {name}_nodes_{depth} n USING (tree, node) WHERE NOT n.leaf)""")
+    union = " UNION ALL ".join(f"SELECT * FROM {name}_nodes_{depth}" for depth in range(last + 1))
+    parts.append(f"""
+        {name}_nodes AS MATERIALIZED ({union}),
+        {name}_threshold AS MATERIALIZED (
+            SELECT quantile_cont(score, {forest.CONTAMINATION}) AS threshold FROM {name}_v JOIN ({_paths(name, f"SELECT DISTINCT v FROM {name}_v")}) USING (v))""")
+    return ",".join(parts)
+
+
+def _paths(name: str, vectors: str) -> str:
+    """(v, score) of distinct vectors: all trees are walked down at once."""
+    walk = f"""SELECT v, tree, 0 AS node, false AS done, 0::bigint AS units FROM ({vectors}) CROSS JOIN {name}_trees"""
+    for depth in range(forest.depth_limit(forest.SUBSAMPLE) + 1):
+        walk = f"""
+            SELECT w.v, w.tree, w.done OR n.leaf AS done,
+                   CASE WHEN w.done THEN w.units WHEN n.leaf THEN n.depth::bigint * {forest.UNIT} + {_LENGTH.format("n.size")} ELSE 0 END AS units,
+                   CASE WHEN w.done OR n.leaf THEN w.node WHEN w.v[n.feature + 1] <= n.split THEN 2 * w.node + 1 ELSE 2 * w.node + 2 END AS node
+            FROM ({walk}) w LEFT JOIN {name}_nodes n ON n.tree = w.tree AND n.node = w.node AND n.depth = {depth} AND NOT w.done"""
+    scale = _LENGTH.format(f"(SELECT sub FROM {name}_n)")
+    return f"""SELECT v, -pow(2.0::double, -(sum(units)::double / ({forest.TREES} * ({scale})))) AS score FROM ({walk}) GROUP BY v"""
+
+
+_sql(
+    "iforest_model",
+    "logs",
+    f"""+ {_forest("m", "logs").lstrip()}
+        SELECT tree::integer AS tree, node::integer AS node, feature::integer AS feature, round(split, 6) AS split,
+               (CASE WHEN leaf THEN node ELSE 2 * node + 1 END)::integer AS left,
+               (CASE WHEN leaf THEN node ELSE 2 * node + 2 END)::integer AS right, size, depth::integer AS depth,
+               n AS samples_trained, {forest.CONTAMINATION}::double AS contamination, sub::integer AS subsample,
+               round(threshold, 6) AS threshold FROM m_nodes, m_n, m_threshold""",
+)
+_sql(
+    "iforest_scores",
+    "logs",
+    f"""+ {_forest("m", "logs").lstrip()}
+        SELECT log_id, round(score, 6) AS score FROM m_v JOIN ({_paths("m", "SELECT DISTINCT v FROM m_v")}) USING (v)""",
+)
+_sql(
+    "iforest_anomalies",
+    "all_logs",
+    f"""+ {_forest("m", "logs").lstrip()},
+        a_f AS MATERIALIZED ({_FEATURES}),
+        a_v AS MATERIALIZED (
+            SELECT log_id, [level_encoded::double, message_length::double, hour_of_day::double, is_business_hours::int::double,
+                   word_count::double, unique_words::double, has_error_keywords::int::double, has_warning_keywords::int::double] AS v
+            FROM a_f)
+        SELECT log_id, 'unusual_pattern' AS anomaly_type, 'medium' AS severity,
+               'ML detected unusual log pattern: ' || left(message, {forest.PREVIEW_CHARS}) || '...' AS message,
+               round(score, 6) AS anomaly_score, level AS log_level, source AS log_source
+        FROM a_v JOIN ({_paths("m", "SELECT DISTINCT v FROM a_v")}) USING (v) JOIN all_logs ON id = log_id, m_threshold
+        WHERE score < threshold""",
+)
+_RECENT = "SELECT count(*) FROM logs WHERE timestamp BETWEEN TIMESTAMP '{0}' - INTERVAL 24 HOUR AND TIMESTAMP '{0}'"
+_sql(
+    "iforest_train_on_recent",
+    "logs",
+    f"""+ r AS (SELECT * FROM logs WHERE timestamp BETWEEN TIMESTAMP '{SPIKE_AS_OF}' - INTERVAL 24 HOUR AND TIMESTAMP '{SPIKE_AS_OF}'),
+        {_forest("m", "r").lstrip()}, said AS (
+            SELECT 0 AS request, false AS success, 0::bigint AS samples_used
+            UNION ALL SELECT 1, true, ({_RECENT.format(AS_OF)})
+            UNION ALL SELECT 2, false, 0
+            UNION ALL SELECT 3, true, n FROM m_n)
+        SELECT request, success, samples_used, n AS last_trained, round(threshold, 6) AS threshold FROM said, m_n, m_threshold""",
+)
 _BURST = f"""SELECT count(*) FILTER (level = 'error') AS errors, count(*) AS total FROM logs
         WHERE timestamp BETWEEN TIMESTAMP '{BURST_AS_OF}' - INTERVAL 5 MINUTE AND TIMESTAMP '{BURST_AS_OF}'"""
 _sql(

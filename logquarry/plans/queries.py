@@ -594,6 +594,31 @@ def _trained(spark, sf_dir) -> forest.Forest:
     return forest.load_model(spark, path)
 
 
+@query
+def iforest_model(spark, sf_dir):
+    """The nodes of a forest that was trained, saved and loaded again, with its settings."""
+    model = _trained(spark, sf_dir)
+    return model.nodes.select(
+        "*",
+        F.lit(model.samples_trained).cast("long").alias("samples_trained"),
+        F.lit(model.contamination).alias("contamination"),
+        F.lit(model.subsample).alias("subsample"),
+        F.lit(model.threshold).alias("threshold"),
+    )
+
+
+@query
+def iforest_train_on_recent(spark, sf_dir):
+    """What the detector says to four requests: too few logs, enough, a model exists, replaced by force."""
+    logs = views.logs(spark, sf_dir)
+    detector = forest.IsolationForest(spark, scratch_path(spark, "model"), min_samples=20)
+    asked = [("2020-01-01 00:00:00", False), (AS_OF, False), (AS_OF, False), (SPIKE_AS_OF, True)]
+    said = [detector.train_on_recent(logs, force=force, as_of=at) for at, force in asked]
+    rows = [(i, *answer[:2], detector.model.samples_trained) for i, answer in enumerate(said)]
+    found = spark.createDataFrame(rows, "request int, success boolean, samples_used long, last_trained long")
+    return found.withColumn("threshold", F.lit(detector.model.threshold))
+
+
 @query
 def iforest_scores(spark, sf_dir):
     return forest.scores(views.logs(spark, sf_dir), _trained(spark, sf_dir))
@@ -601,7 +626,9 @@ def iforest_scores(spark, sf_dir):
 
 @query
 def iforest_anomalies(spark, sf_dir):
-    return forest.detect(views.all_logs(spark, sf_dir), _trained(spark, sf_dir))
+    found = forest.detect(views.all_logs(spark, sf_dir), _trained(spark, sf_dir))
+    values = F.from_json("details", "anomaly_score double, log_level string, log_source string").alias("d")
+    return found.select("log_id", "anomaly_type", "severity", "message", values).select("*", "d.*").drop("d")
 
 
 # --- alerts -------------------------------------------------------------------------------------

@@ -208,6 +208,29 @@ def test_scores_match_a_recursive_walk(training_logs, model):
         assert row.score == pytest.approx(-(2 ** (-depth / scale)))
 
 
+def test_one_broadcast_per_forest(training_logs, model):
+    held = model.held()
+    forest.scores(training_logs, model).count()
+    assert model.held() is held
+    again = forest.train(training_logs, contamination=0.1)
+    assert again.held() is not held
+    again.release()
+    assert not again._held
+
+
+def test_a_model_too_large_is_refused(spark, model):
+    many = spark.range(100 * 511 + 1).select(*[F.lit(0).cast(f.dataType).alias(f.name) for f in forest.NODE.fields])
+    with pytest.raises(ValueError, match="at most 51100 nodes"):
+        forest.Forest(many, 600, 0.1, 256, 0.0).held()
+
+
+def test_draws_are_even(training_logs):
+    """Every log is drawn about as often, and trees draw different logs."""
+    vectors = training_logs.select(F.col("id").alias("log_id"), F.array(*[F.hash("id", F.lit(i)).cast("double") for i in range(8)]).alias("vector"))
+    drawn = forest._drawn(vectors, 600, 256).groupBy("vector").count().collect()
+    assert len(drawn) == 600 and all(15 < r["count"] < 75 for r in drawn)
+
+
 def test_pool_sampling_fills_every_tree(spark):
     vectors = spark.range(150_000).select(
         F.col("id").cast("string").alias("log_id"),
