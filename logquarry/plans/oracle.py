@@ -424,6 +424,17 @@ _sql(
     """SELECT timestamp::date AS log_date, level, count(*) AS n, min(id) AS first_id, max(id) AS last_id,
               sum(length(message))::bigint AS chars FROM all_logs GROUP BY 1, 2""",
 )
+_sql(
+    "append_replayed",
+    "logs",
+    f"""+ days AS (SELECT *, timestamp < '{SINCE}' AS early, timestamp < TIMESTAMP '{SINCE}' - INTERVAL 20 DAY AS gone FROM logs),
+        x AS (SELECT *, CASE WHEN early AND NOT gone THEN timestamp ELSE timestamp + INTERVAL 1 DAY END AS kept FROM days),
+        steps AS (
+            SELECT 0 AS step, count(*) FILTER (early) AS n FROM x UNION ALL SELECT 1, count(*) FILTER (NOT early) FROM x
+            UNION ALL SELECT 2, 0 UNION ALL SELECT 3, count(*) FILTER (gone) FROM x UNION ALL SELECT 4, count(*) FILTER (gone) FROM x)
+        SELECT step, n, logs, logs AS ids, logs AS known, latest, latest AS latest_known
+        FROM steps, (SELECT count(*) AS logs, max(kept) AS latest FROM x)""",
+)
 _sql("append_new", "logs", "SELECT level, count(*) AS n, count(DISTINCT id) AS ids FROM logs GROUP BY level")
 _sql(
     "append_conflicts",

@@ -358,6 +358,32 @@ def append_new(spark, sf_dir):
     )
 
 
+@query
+def append_replayed(spark, sf_dir):
+    """The same logs a day later, by another writer: their ids are in the ledger, so only new ones are added.
+
+    Then logs before a time are deleted with their ids, and everything is offered again.
+    """
+    path = scratch_path(spark, "logs")
+    logs = views.logs(spark, sf_dir)
+    old = logs.filter(F.col("timestamp") < F.lit(SINCE).cast("timestamp"))
+    later = logs.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 DAY"))
+    added = [LogTable(spark, path).append_batch(old), LogTable(spark, path).append_new(later), LogTable(spark, path).append_new(later)]
+    gone = LogTable(spark, path).delete_old(days=20, as_of=SINCE)
+    added.append(LogTable(spark, path).append_new(later))
+    rows = [(i, n) for i, n in enumerate([*added, gone])]
+    steps = spark.createDataFrame(rows, "step int, n long")
+    table = LogTable(spark, path)
+    held = {
+        "logs": table.scan().agg(F.count(F.lit(1))),
+        "ids": table.scan().agg(F.countDistinct("id")),
+        "latest": table.scan().agg(F.max("timestamp")),
+        "known": table.ledger.ids().agg(F.count(F.lit(1))),
+        "latest_known": table.ledger.ids().agg(F.max("timestamp")),
+    }
+    return steps.withColumns({name: value.scalar() for name, value in held.items()})
+
+
 @query
 def append_conflicts(spark, sf_dir):
     docs = views.doc_logs(spark, sf_dir)

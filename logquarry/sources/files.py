@@ -33,6 +33,18 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, none when it does not exist."""
+    files, target = _hadoop_path(spark, path)
+    return [entry.getPath().getName() for entry in files.listStatus(target)] if files.exists(target) else []
+
+
+def create_marker(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    files, target = _hadoop_path(spark, path)
+    files.create(target, True).close()
+
+
 class VersionedTable:
     """A table that can be appended to and replaced as a whole.
 

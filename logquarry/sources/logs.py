@@ -12,7 +12,8 @@ from logquarry.operators.conflicts import append_conflicts, new_rows
 from logquarry.operators.retention import cutoff
 from logquarry.operators.search import TOKEN_LINES
 from logquarry.schema import LOG
-from logquarry.sources.files import delete_folder, exists, read_or_empty
+from logquarry.sources.files import delete_folder, exists, folder_names, read_or_empty
+from logquarry.sources.ledger import IdLedger
 
 FILE_OPTIONS = {
     "parquet.bloom.filter.enabled#id": "true",
@@ -30,12 +31,14 @@ class LogTable:
     The date folder and the timestamp statistics serve time ranges, the bloom filter serves
     look-ups by id. With ``token_lines`` the search tokens of message and source are stored as
     well, so that a phrase search is a substring test; they are computed by the same write that
-    stores the log and are never out of step with it. One writer at a time is assumed.
+    stores the log and are never out of step with it. The stored ids are kept in a ledger beside the
+    logs, which appends look into instead of the logs. One writer at a time is assumed.
     """
 
     def __init__(self, spark: SparkSession, path: str, token_lines: bool = False) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
+        self.ledger = IdLedger(spark, f"{self.path}/_ids")
         stored = TOKEN_LINES.values() if token_lines else ()
         self.schema = T.StructType([*LOG.fields, *[T.StructField(name, T.StringType()) for name in stored]])
 
@@ -61,21 +64,40 @@ class LogTable:
             .parquet(path)
         )
 
+    def _sound_ledger(self) -> IdLedger:
+        """The ledger, made anew from the logs when it is missing or a run stopped halfway."""
+        if not self.ledger.is_sound():
+            if folder_names(self.spark, self.path):
+                self.ledger.rebuild(self.scan().select("id", "timestamp"))
+            self.ledger.finish()
+        return self.ledger
+
+    def _store(self, rows: DataFrame) -> None:
+        """Write new rows and enter their ids."""
+        self.ledger.begin()
+        self._write(rows, self.path, "append")
+        self.ledger.add(rows)
+        self.ledger.finish()
+
     def append_batch(self, logs: DataFrame) -> int:
         """Store all rows or none; any repeated or already stored id refuses the whole batch.
 
-        The check reads ids only. ``logs`` is evaluated twice, so it must not change in between.
+        The check meets the ledger only. ``logs`` is evaluated once and kept while it is checked.
         """
-        rows = self._prepared(logs)
-        count = rows.count()
-        if count == 0:
-            return 0
-        conflicts = append_conflicts(rows, self.scan())
-        examples = [f"{row['id']} ({row['reason']})" for row in conflicts.limit(5).collect()]
-        if examples:
-            raise DuplicateIds(", ".join(examples))
-        self._write(rows, self.path, "append")
-        return count
+        ledger = self._sound_ledger()
+        rows = self._prepared(logs).persist()
+        try:
+            count = rows.count()
+            if count == 0:
+                return 0
+            conflicts = append_conflicts(rows, ledger.ids(), ledger.dealt)
+            examples = [f"{row['id']} ({row['reason']})" for row in conflicts.limit(5).collect()]
+            if examples:
+                raise DuplicateIds(", ".join(examples))
+            self._store(rows)
+            return count
+        finally:
+            rows.unpersist()
 
     def append(self, entry: DataFrame) -> int:
         """Store one log (the same rules)."""
@@ -85,21 +107,16 @@ class LogTable:
         """Store the rows whose id is not stored yet, under whatever day; a replayed batch adds nothing.
 
         A message without a time of its own gets the time it is read, so a replay may fall on
-        another day: ids are looked up in all days, from their column alone. ``look_up=False`` is
+        another day: ids are looked up in the ledger, which knows no days. ``look_up=False`` is
         for rows known to be new.
         """
-        rows = self._prepared(logs).persist()
-        if not look_up:
-            count = rows.count()
-            self._write(rows, self.path, "append")
-            rows.unpersist()
-            return count
-        fresh = new_rows(rows, self.scan()).persist()
+        ledger = self._sound_ledger()
+        rows = self._prepared(logs)
+        fresh = (new_rows(rows, ledger.ids(), ledger.dealt) if look_up else rows).persist()
         count = fresh.count()
         if count:
-            self._write(fresh, self.path, "append")
+            self._store(fresh)
         fresh.unpersist()
-        rows.unpersist()
         return count
 
     def delete_old(self, days: float = 30, as_of: Instant = None) -> int:
@@ -115,12 +132,18 @@ class LogTable:
         old = self.scan().filter(
             (F.col("log_date") <= F.lit(limit_day)) & (F.col("timestamp") < boundary)
         )
+        ledger = self._sound_ledger()
         per_day = old.groupBy("log_date").agg(F.count(F.lit(1)).alias("n")).collect()
+        if not per_day:
+            return 0
+        ledger.begin()
         for row in per_day:
             if row["log_date"] < limit_day:
                 delete_folder(self.spark, f"{self.path}/log_date={row['log_date']}")
             else:
                 self._keep_from(limit_day, boundary)
+        ledger.keep_from(boundary)
+        ledger.finish()
         return sum(row["n"] for row in per_day)
 
     def _staging(self) -> str:

@@ -63,9 +63,9 @@ def start_ingest(
     from the content, so a micro-batch that is run again writes the same rows: the log table
     skips known ids, and the dead letters of a batch replace themselves.
 
-    Known ids are looked up in the days a micro-batch touches. When no message is ever delivered
+    Known ids are looked up in the table's ledger, bucket by bucket. When no message is ever delivered
     twice, only the first micro-batch after a start can be a repetition; ``recheck=False`` looks
-    up ids for that one only, which keeps the others independent of the size of the day.
+    up ids for that one only, which keeps the others independent of the size of the table.
     """
     started = False
 
