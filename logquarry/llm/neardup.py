@@ -149,12 +149,13 @@ def _sets(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
                     "class": pa.array(set_names(flat, offsets), pa.binary()),
                     "signature": pa.array([row.tobytes() for row in small], pa.binary()),
                     "text": block.column("text"),
-                    **{f"keep_{c}": block.column(f"keep_{c}") for c in keep},
+                    **{f"keep_{c}": block.column(f"keep_{c}") for c in others},
                 }
             )
             yield from out.to_batches()
 
-    kept = [F.col(c).alias(f"keep_{c}") for c in keep]
+    others = [c for c in keep if c != "text"]  # the text is there already
+    kept = [F.col(c).alias(f"keep_{c}") for c in others]
     schema = T.schema(SETS, docs.select(*kept))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *kept).mapInArrow(run, schema)
 
@@ -334,7 +335,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] =
     least = groups.groupBy("root").agg(F.min("least").alias("component"))
     of_class = groups.join(least, "root").select("class", "component.*")
     of_class = of_class.select("class", F.col("doc_id").alias("component"), F.col("row").alias("first_row"))
-    rows = table.select("row", "doc_id", "n", "class", *(f"keep_{c}" for c in keep)).join(of_class, "class", "left")
+    held = {c: "text" if c == "text" else f"keep_{c}" for c in keep}
+    rows = table.select("row", "doc_id", "n", "class", *held.values()).join(of_class, "class", "left")
     alone = F.col("class").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
     return rows.select(
@@ -343,5 +345,5 @@ def near_duplicates(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] =
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
         (alone | (F.col("row") == F.col("first_row"))).alias("first"),
-        *(F.col(f"keep_{c}").alias(c) for c in keep),
+        *(F.col(name).alias(c) for c, name in held.items()),
     )
