@@ -109,7 +109,10 @@ def hourly_counts(df: DataFrame) -> DataFrame:
 
 def volume_stats(df: DataFrame, hours: float = 24.0, as_of: Instant = None) -> DataFrame:
     """Mean, sample deviation, maximum and minimum of the hourly counts; zeros without logs."""
-    counts = hourly_counts(in_range(df, before(as_of, hours=hours), instant(as_of)))
+    return _volume(hourly_counts(in_range(df, before(as_of, hours=hours), instant(as_of))))
+
+
+def _volume(counts: DataFrame) -> DataFrame:
     return counts.agg(
         F.coalesce(F.avg("count"), F.lit(0.0)).alias("mean"),
         F.coalesce(F.stddev_samp("count"), F.lit(0.0)).alias("std"),
@@ -118,6 +121,36 @@ def volume_stats(df: DataFrame, hours: float = 24.0, as_of: Instant = None) -> D
     )
 
 
+def rolled_cells(cells: DataFrame, logs: DataFrame, since: Instant, until: Instant = None) -> DataFrame:
+    """(start, keys..., count) per hour from ``since`` to ``until``, both inclusive, out of an hourly rollup.
+
+    Hours that lie inside as a whole are read from ``cells`` (start, keys..., count). Only the logs of the
+    hour at either end are read.
+    """
+    since, until = instant(since), instant(until)
+    floor = F.date_trunc("hour", since)
+    first = F.when(floor == since, since).otherwise(floor + F.expr("INTERVAL 1 HOUR"))
+    last = F.date_trunc("hour", until)
+    whole = cells.filter((F.col("start") >= first) & (F.col("start") < last))
+    at_ends = in_range(logs, since, until).filter((F.col("timestamp") < first) | (F.col("timestamp") >= last))
+    keys = [c for c in cells.columns if c not in ("start", "count")]
+    ends = at_ends.groupBy(F.date_trunc("hour", "timestamp").alias("start"), *keys).agg(F.count(F.lit(1)).alias("count"))
+    return whole.select("start", *keys, "count").unionByName(ends)
+
+
+def count_by_rolled(
+    cells: DataFrame, logs: DataFrame, column: str, since: Instant, until: Instant = None
+) -> DataFrame:
+    """``count_by`` out of an hourly rollup."""
+    return rolled_cells(cells, logs, since, until).groupBy(column).agg(F.sum("count").alias("count"))
+
+
+def volume_stats_rolled(cells: DataFrame, logs: DataFrame, hours: float = 24.0, as_of: Instant = None) -> DataFrame:
+    """``volume_stats`` out of an hourly rollup."""
+    found = rolled_cells(cells, logs, before(as_of, hours=hours), instant(as_of))
+    return _volume(found.groupBy("start").agg(F.sum("count").alias("count")))
+
+
 def level_cards(df: DataFrame, since: Instant = None) -> DataFrame:
     """Counts of the four levels in fixed order, zero when absent; one row per level."""
     counts = [F.count_if(F.col("level") == level).alias(level) for level in LEVELS]

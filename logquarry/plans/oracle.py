@@ -9,6 +9,7 @@ from logquarry.plans.queries import (
     BURST_AS_OF,
     BURST_THRESHOLD,
     PHRASE,
+    RETAINED,
     SINCE,
     SPIKE_AS_OF,
     SPIKE_THRESHOLD,
@@ -865,6 +866,18 @@ _sql(
     "logs",
     "+ SELECT date_trunc('hour', timestamp) AS hour, count(*) AS count FROM logs GROUP BY 1",
 )
+_SQL["stream_error_rate_rollup"] = _SQL["stream_error_rate_backlog"]
+_SQL["stream_volume_rollup"] = _SQL["stream_volume_backlog"]
+_RETAINED = f"""SELECT * FROM logs WHERE timestamp >= '{RETAINED}' AND timestamp <= '{BURST_AS_OF}'"""
+_sql(
+    "volume_stats_rolled",
+    "logs",
+    f"""+ hours AS (SELECT date_trunc('hour', timestamp) AS hour, count(*) AS n FROM ({_RETAINED})
+                    WHERE timestamp >= TIMESTAMP '{BURST_AS_OF}' - INTERVAL 288 HOUR GROUP BY 1)
+        SELECT round(coalesce(avg(n), 0), 6) AS mean, round(coalesce(stddev_samp(n), 0), 6) AS std,
+               coalesce(max(n), 0) AS max, coalesce(min(n), 0) AS min FROM hours""",
+)
+_sql("count_by_source_rolled", "logs", f"SELECT source, count(*) AS count FROM ({_RETAINED}) GROUP BY 1")
 _sql(
     "stream_alerts_created",
     "logs",

@@ -28,6 +28,7 @@ from logquarry.sources import lines
 from logquarry.sources.alerts import AlertTable
 from logquarry.sources.inbox import Inbox
 from logquarry.sources.logs import LogTable
+from logquarry.sources.rollup import Rollup
 from logquarry.streaming import alerts as stream_alerts
 from logquarry.streaming import ingest as stream_ingest
 from logquarry.streaming import rates
@@ -40,6 +41,7 @@ SPIKE_AS_OF = "2024-01-12 16:59:59"
 SPIKE_THRESHOLD = 2.0
 BURST_AS_OF = "2024-01-19 03:25:34.451436"
 BURST_THRESHOLD = 0.5
+RETAINED = "2024-01-08 10:20:30"
 PHRASE = "la elle"
 
 _QUERIES: dict[str, Query] = {}
@@ -864,6 +866,51 @@ def stream_volume_backlog(spark, sf_dir):
     return rates.latest(spark, f"{base}/out", "hour")
 
 
+def _rolled(spark, sf_dir, unit: str, keys: tuple[str, ...]) -> Rollup:
+    """A rollup of the backlog, folded halfway: the stream stops after four files and goes on later."""
+    base = scratch_path(spark, "rollup")
+    rollup = Rollup(spark, f"{base}/rollup", unit, keys)
+    folder, more = f"{base}/in", f"{base}/more"
+    events = spark.read.schema(views.EVENTS).parquet(f"{sf_dir}/events.parquet")
+    dealt = events.withColumn("part", F.pmod(F.xxhash64(*events.columns), F.lit(2)))
+    for part in (0, 1):
+        dealt.filter(F.col("part") == part).drop("part").repartition(4, "event_id").write.mode("append").parquet(folder)
+        logs = views.event_logs(stream_ingest.read_stream(spark, folder, views.EVENTS, max_files=1))
+        rates.start_rollup(logs, rollup, f"{base}/checkpoint", interval=None).awaitTermination()
+        if not part:
+            rollup.fold()
+    return rollup
+
+
+@query
+def stream_error_rate_rollup(spark, sf_dir):
+    return rates.windows_of_minutes(_rolled(spark, sf_dir, "minute", ("level",)).read())
+
+
+@query
+def stream_volume_rollup(spark, sf_dir):
+    cells = _rolled(spark, sf_dir, "hour", ("level", "source")).read()
+    return cells.groupBy(F.col("start").alias("hour")).agg(F.sum("count").alias("count"))
+
+
+def _retained(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(cells, logs) after logs before RETAINED were deleted from both."""
+    rollup = _rolled(spark, sf_dir, "hour", ("level", "source"))
+    logs = views.dated_logs(spark, sf_dir).filter(F.col("timestamp") >= F.lit(RETAINED).cast("timestamp"))
+    rollup.drop_before(RETAINED, logs)
+    return rollup.read(), logs
+
+
+@query
+def volume_stats_rolled(spark, sf_dir):
+    return stats.volume_stats_rolled(*_retained(spark, sf_dir), 24 * 12, BURST_AS_OF)
+
+
+@query
+def count_by_source_rolled(spark, sf_dir):
+    return stats.count_by_rolled(*_retained(spark, sf_dir), "source", RETAINED, BURST_AS_OF)
+
+
 def _detected(spark, sf_dir) -> tuple[AlertTable, str]:
     base = scratch_path(spark, "detect")
     table = AlertTable(spark, f"{base}/alerts")

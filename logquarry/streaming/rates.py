@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logquarry.operators.detectors.rules import WINDOW_MINUTES
+from logquarry.sources.rollup import Rollup
 from logquarry.streaming.ingest import RULE_INTERVAL, batch_folder, trigger
 
 # How late a log may arrive and still be counted: None has no bound, like a batch run. The state is
@@ -82,6 +83,46 @@ def start_updates(
     )
 
 
+def start_rollup(
+    logs: DataFrame, rollup: Rollup, checkpoint: str, name: str = "rollup", interval: str | None = RULE_INTERVAL
+) -> StreamingQuery:
+    """Keep up a rollup from streamed logs: bounded work per micro-batch, no state, no row too late."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        rollup.add(batch, checkpoint, batch_id)
+
+    return (
+        logs.writeStream.queryName(name)
+        .foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger(interval))
+        .start()
+    )
+
+
+def windows_of_minutes(
+    cells: DataFrame, window_minutes: int = WINDOW_MINUTES, slide_minutes: int = 1
+) -> DataFrame:
+    """The rows of ``error_rate_windows`` from a rollup by minute and level.
+
+    Windows begin on whole minutes, so a minute lies inside a window as a whole or not at all. Minutes,
+    not logs, are put into their several windows.
+    """
+    span = F.window("start", f"{window_minutes} minutes", f"{slide_minutes} minutes")
+    errors = F.when(F.lower("level") == "error", F.col("count")).otherwise(0)
+    return (
+        cells.groupBy(span.alias("span"))
+        .agg(F.sum("count").alias("total_count"), F.sum(errors).alias("error_count"))
+        .select(
+            F.col("span.start").alias("window_start"),
+            F.col("span.end").alias("window_end"),
+            "total_count",
+            "error_count",
+            (F.col("error_count") / F.lit(float(window_minutes))).alias("errors_per_minute"),
+        )
+    )
+
+
 def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Current value of every window: the row of its last micro-batch."""
     updates = spark.read.parquet(path).drop("stream")
