@@ -8,13 +8,14 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.functions.timerange import Instant
 from logquarry.operators import alerts as alert_ops
 from logquarry.operators.dedup import deduplicate
 from logquarry.operators.detectors.base import Detector
+from logquarry.operators.detectors.cells import ALL, CellDetector, cells_in, count_cells
 from logquarry.operators.detectors.rules import DEDUP_HOURS
 from logquarry.schema import ANOMALY, DETECTOR_RUN, SEVERITIES
 from logquarry.session import materialise
@@ -28,35 +29,77 @@ class Findings:
 
     anomalies: DataFrame
     runs: list[tuple] = field(default_factory=list)
+    # Number of the logs, where a detector had them counted.
+    logs: int | None = None
 
     def runs_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.runs, DETECTOR_RUN)
 
 
+class _SharedCells:
+    """Cells of the detectors that look at the same logs, counted when the first of them asks."""
+
+    def __init__(self, logs: DataFrame, detectors: list[Detector], as_of: Instant) -> None:
+        self.logs, self.as_of = logs, as_of
+        self.groups: dict[int, list[CellDetector]] = {}
+        for detector in detectors:
+            if isinstance(detector, CellDetector):
+                self.groups.setdefault(self._source(detector), []).append(detector)
+        self.counted: dict[int, DataFrame] = {}
+
+    @staticmethod
+    def _source(detector: CellDetector) -> int:
+        return id(detector.history) if detector.history else 0
+
+    def of(self, detector: CellDetector) -> DataFrame:
+        source = self._source(detector)
+        group = self.groups[source]
+        if source not in self.counted:
+            logs = detector.history() if detector.history else self.logs
+            intervals = [d.interval(self.as_of) for d in group]
+            if not source:
+                intervals.append(ALL)  # and the number of logs comes with it
+            self.counted[source] = materialise(count_cells(logs, intervals))
+        return cells_in(self.counted[source], next(i for i, d in enumerate(group) if d is detector))
+
+    def total(self) -> int | None:
+        """Number of the given logs, when they were counted."""
+        if 0 not in self.counted:
+            return None
+        return self.counted[0].agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+
+
 def run_detectors(logs: DataFrame, detectors: list[Detector], as_of: Instant = None) -> Findings:
     """Run every enabled detector; a failing one is recorded and does not stop the others.
 
     A lazy plan fails only when it runs, so each detector's anomalies are written out (reliable
-    checkpoint) on their own before they are put together.
+    checkpoint) on their own before they are put together, and counted by the same write. Detectors
+    that need counts only share one aggregation of the logs.
     """
     spark = logs.sparkSession
     found = [spark.createDataFrame([], ANOMALY).withColumn("detector_seq", F.lit(0))]
     runs = []
+    shared = _SharedCells(logs, [d for d in detectors if d.enabled], as_of)
     for seq, detector in enumerate(detectors):
         if not detector.enabled:
             continue
         started = datetime.now(timezone.utc)
         count, error = 0, None
         try:
-            part = detector.detect(logs, as_of).select(*ANOMALY.fieldNames())
-            part = materialise(part.withColumn("detector_seq", F.lit(seq)))
-            count = part.count()
+            if isinstance(detector, CellDetector):
+                part = detector.detect_cells(shared.of(detector), as_of)
+            else:
+                part = detector.detect(logs, as_of)
+            written = Observation()
+            part = part.select(*ANOMALY.fieldNames()).withColumn("detector_seq", F.lit(seq))
+            part = materialise(part.observe(written, F.count(F.lit(1)).alias("rows")))
+            count = written.get["rows"]
             found.append(part)
         except Exception as failure:  # whatever a user-written detector raises
             logger.exception("detector %s failed", detector.name)
             error = f"{type(failure).__name__}: {failure}"
         runs.append((detector.name, True, started, count, error))
-    return Findings(reduce(DataFrame.unionByName, found), runs)
+    return Findings(reduce(DataFrame.unionByName, found), runs, shared.total())
 
 
 def analyze(
@@ -71,7 +114,8 @@ def analyze(
     chosen = list(statistical) if include_statistical else []
     if include_ml and ml is not None and getattr(ml, "model", None) is not None:
         chosen.append(ml)
-    return run_detectors(logs, chosen, as_of), logs.count()
+    findings = run_detectors(logs, chosen, as_of)
+    return findings, logs.count() if findings.logs is None else findings.logs
 
 
 def alerts_from(

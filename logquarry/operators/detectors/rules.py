@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.functions.timerange import Instant, before, in_range, instant
+from logquarry.functions.timerange import Instant, before, instant
 from logquarry.operators import alerts as alert_ops
-from logquarry.operators.detectors.base import Detector, system_anomaly
-from logquarry.operators.stats import errors_per_minute, hourly_counts
+from logquarry.operators.detectors.base import system_anomaly
+from logquarry.operators.detectors.cells import CellDetector, Interval
+from logquarry.operators.stats import errors_per_minute
 
 # Defaults of the rules.
 ERRORS_PER_MINUTE = 10.0
@@ -30,11 +31,14 @@ def error_burst(
     as_of: Instant = None,
 ) -> DataFrame:
     """One row when the errors per minute of the last minutes exceed the threshold."""
-    recent = in_range(logs, before(as_of, minutes=window_minutes), instant(as_of))
+    return ErrorBurst(threshold, window_minutes).detect(logs, as_of)
+
+
+def _burst(cells: DataFrame, threshold: float, window_minutes: float) -> DataFrame:
     burst = (
-        recent.agg(
-            F.count_if(F.lower("level") == "error").alias("error_count"),
-            F.count(F.lit(1)).alias("total_count"),
+        cells.agg(
+            F.coalesce(F.sum("errors"), F.lit(0)).alias("error_count"),
+            F.coalesce(F.sum("count"), F.lit(0)).alias("total_count"),
         )
         .select(
             "error_count",
@@ -64,12 +68,14 @@ def volume_spike(
     The current hour belongs to the baseline. ``baseline_hours`` limits the logs looked at; by
     default all given logs up to ``as_of`` count.
     """
-    now = instant(as_of)
-    since = None if baseline_hours is None else before(as_of, hours=baseline_hours)
-    logs = in_range(logs, since, now)
-    this_hour = F.col("hour") == F.date_trunc("hour", now)
+    return VolumeSpike(std_threshold, baseline_hours).detect(logs, as_of)
+
+
+def _spike(cells: DataFrame, std_threshold: float, as_of: Instant) -> DataFrame:
+    this_hour = F.col("hour") == F.date_trunc("hour", instant(as_of))
     spike = (
-        hourly_counts(logs)
+        cells.groupBy("hour")
+        .agg(F.sum("count").alias("count"))
         .agg(
             F.sum("count").alias("logs"),
             F.count(F.lit(1)).alias("hours"),
@@ -101,10 +107,14 @@ def source_anomaly(logs: DataFrame, min_logs: int = MIN_SOURCE_LOGS) -> DataFram
     At most one source can exceed that share, so it is the largest one: total and largest come
     from one more partial aggregation, with no window over all sources.
     """
+    return SourceAnomaly(min_logs).detect(logs)
+
+
+def _dominant(cells: DataFrame, min_logs: int) -> DataFrame:
     largest = F.max(F.struct("count", "source"))
     dominant = (
-        logs.groupBy("source")
-        .agg(F.count(F.lit(1)).alias("count"))
+        cells.groupBy("source")
+        .agg(F.sum("count").alias("count"))
         .agg(F.sum("count").alias("total_logs"), largest.alias("top"))
         .select(
             F.col("top.source").alias("source"),
@@ -166,7 +176,7 @@ def error_rate_alerts(
     return alert_ops.new_alerts(found.join(same, ["severity", "kind"], "left_anti").drop("kind"), as_of)
 
 
-class ErrorBurst(Detector):
+class ErrorBurst(CellDetector):
     """Looks at the given logs, or, with ``history``, at the stored ones.
 
     A burst may be spread over several micro-batches; ``history`` supplies the whole window.
@@ -183,12 +193,14 @@ class ErrorBurst(Detector):
         self.window_minutes = window_minutes
         self.history = history
 
-    def detect(self, logs: DataFrame, as_of: Instant = None) -> DataFrame:
-        given = self.history() if self.history else logs
-        return error_burst(given, self.threshold, self.window_minutes, as_of)
+    def interval(self, as_of: Instant = None) -> Interval:
+        return before(as_of, minutes=self.window_minutes), instant(as_of)
 
+    def detect_cells(self, cells: DataFrame, as_of: Instant = None) -> DataFrame:
+        return _burst(cells, self.threshold, self.window_minutes)
 
-class VolumeSpike(Detector):
+
+class VolumeSpike(CellDetector):
     """Looks at the given logs, or, with ``history``, at the last hours of the stored ones.
 
     A micro-batch rarely spans the hours a baseline needs; ``history`` (for example the ``scan``
@@ -206,12 +218,15 @@ class VolumeSpike(Detector):
         self.baseline_hours = BASELINE_HOURS if history and baseline_hours is None else baseline_hours
         self.history = history
 
-    def detect(self, logs: DataFrame, as_of: Instant = None) -> DataFrame:
-        given = self.history() if self.history else logs
-        return volume_spike(given, self.std_threshold, self.baseline_hours, as_of)
+    def interval(self, as_of: Instant = None) -> Interval:
+        since = None if self.baseline_hours is None else before(as_of, hours=self.baseline_hours)
+        return since, instant(as_of)
+
+    def detect_cells(self, cells: DataFrame, as_of: Instant = None) -> DataFrame:
+        return _spike(cells, self.std_threshold, as_of)
 
 
-class SourceAnomaly(Detector):
+class SourceAnomaly(CellDetector):
     """Looks at the given logs, or, with ``history``, at the stored ones it supplies."""
 
     def __init__(self, min_logs: int = MIN_SOURCE_LOGS, history: Callable[[], DataFrame] | None = None) -> None:
@@ -219,5 +234,5 @@ class SourceAnomaly(Detector):
         self.min_logs = min_logs
         self.history = history
 
-    def detect(self, logs: DataFrame, as_of: Instant = None) -> DataFrame:
-        return source_anomaly(self.history() if self.history else logs, self.min_logs)
+    def detect_cells(self, cells: DataFrame, as_of: Instant = None) -> DataFrame:
+        return _dominant(cells, self.min_logs)

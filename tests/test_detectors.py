@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from conftest import NOW, ago
 from logquarry.operators.detectors import forest, registry, rules
+from logquarry.functions.timerange import with_log_date
 from logquarry.operators.detectors.base import Detector
+from logquarry.operators.detectors.cells import count_cells
 from logquarry.operators.quantile import exact_quantile
 from logquarry.schema import ALERT, ANOMALY
+from logquarry.session import materialise
 
 
 def details(df):
@@ -107,6 +110,62 @@ def test_failing_detector_does_not_stop_others(spark, mixed_logs):
     assert "broken" in errors["failing"] and errors["fixed"] is None
 
 
+def test_rules_share_one_scan(spark, mixed_logs, tmp_path, monkeypatch):
+    """The logs are read once for all rules and the number of logs; history is another source."""
+    mixed_logs.write.parquet(str(tmp_path / "given"))
+    mixed_logs.write.parquet(str(tmp_path / "stored"))
+    logs, stored = (spark.read.parquet(str(tmp_path / name)) for name in ("given", "stored"))
+    plans = []
+
+    def recorded(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return materialise(frame)
+
+    monkeypatch.setattr(registry, "materialise", recorded)
+    history = lambda: stored
+    detectors = [
+        rules.ErrorBurst(1.0, 30),
+        rules.ErrorBurst(0.1, 50),
+        rules.VolumeSpike(0.1),
+        rules.SourceAnomaly(5),
+        rules.VolumeSpike(0.1, 5, history),
+        rules.ErrorBurst(0.1, 20, history),
+    ]
+    found, processed = registry.analyze(logs, detectors, as_of=NOW)
+    assert processed == 50
+    for name in ("given", "stored"):
+        assert [plan.count("FileScan") for plan in plans if f"{tmp_path}/{name}" in plan] == [1]
+    alone = [d.detect(logs, NOW).select(*ANOMALY.fieldNames()).collect() for d in detectors]
+    want = sorted((seq, *row) for seq, rows_ in enumerate(alone) for row in rows_)
+    assert sorted((r.detector_seq, *list(r)[:-1]) for r in found.anomalies.collect()) == want and want
+    assert [r[3] for r in found.runs] == [len(rows_) for rows_ in alone]
+
+
+def test_days_outside_the_windows_are_not_read(spark, mixed_logs, tmp_path):
+    with_log_date(mixed_logs).write.partitionBy("log_date").parquet(str(tmp_path / "dated"))
+    logs = spark.read.parquet(str(tmp_path / "dated"))
+    for frame in (rules.error_burst(logs, as_of=NOW), count_cells(logs, [d.interval(NOW) for d in (rules.ErrorBurst(), rules.VolumeSpike(baseline_hours=3))])):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "log_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_cells_of_nothing_and_of_null_times(spark, make_logs):
+    none = make_logs([])
+    found = registry.run_detectors(none, [rules.ErrorBurst(), rules.VolumeSpike(), rules.SourceAnomaly()], NOW)
+    assert (found.anomalies.count(), found.logs) == (0, 0) and not any(r[4] for r in found.runs)
+    timeless = make_logs([(str(i), None, "error", "s", "m") for i in range(20)])
+    found = registry.run_detectors(timeless, [rules.ErrorBurst(), rules.VolumeSpike(), rules.SourceAnomaly()], NOW)
+    assert [r.anomaly_type for r in found.anomalies.collect()] == ["source_anomaly"] and found.logs == 20
+
+
+def test_failing_history_stops_its_detectors_only(mixed_logs):
+    def broken():
+        raise OSError("gone")
+
+    found = registry.run_detectors(mixed_logs, [rules.ErrorBurst(history=broken), rules.SourceAnomaly(5)], NOW)
+    assert [bool(r[4]) for r in found.runs] == [True, False]
+
+
 def test_analyze_chooses_detectors(mixed_logs):
     rows = [("system", "a", "low", "m", None)]
     found, processed = registry.analyze(mixed_logs, [Fixed(rows)], include_statistical=False, as_of=NOW)
