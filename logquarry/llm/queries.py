@@ -95,15 +95,16 @@ select page_id, payload_bytes, payload_digest,
 from d left join big on big.same = d.same and payload_bytes >= 1000""",
     "op7_exact_top_k": """
 with ok as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as t from embeddings
+  select row_number() over () as row, vec_id,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as t from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
-  select q.vec_id as query_id, c.vec_id,
+  select q.row, q.vec_id as query_id, c.vec_id,
     cast(coalesce(list_sum(list_transform(list_zip(q.t, c.t), lambda p: coalesce(p[1] * p[2], 0))), 0) as bigint) as score
   from ok q join ok c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
 ranked as (
-  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored)
+  select *, cast(row_number() over (partition by row order by score desc, vec_id) as integer) as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 5""",
     "op8_line_dedup": f"""
 with lines as (

@@ -5,7 +5,9 @@ a shard keeps, per term, the postings (vector, weight) of its vectors and the la
 weight. For a query the terms are ordered by the most they can add (score bound). While the best k so
 far have a lowest score, the terms at the end of that order whose bounds together cannot reach it are
 non-essential: only postings of essential terms are traversed, and the others are probed, term by
-term, for vectors that can still compete. Each shard gives its k best per query; shards are merged.
+term, for vectors that can still compete. Whenever a shard has traversed the essential terms it scores
+the k vectors that lead so far in full; the worst of them raises the bar before the others are probed, and
+again halfway. Each shard gives its k best per query; shards are merged.
 
 Queries go to the shards in blocks of QUERY_BLOCK, so the work is queries times vectors, in blocks.
 All shards start from a threshold: the k-th best score among a bounded sample of vectors, which is a
@@ -13,8 +15,8 @@ lower bound of the final one and so cannot lose a result.
 
 Defined results: a vector that is null or has a null, NaN or infinite component takes no part, nor
 does a row without id. Vectors may differ in length; missing components add nothing. Rows that share
-the id of the query are its own row; repeated queries are asked once; repeated candidates are
-candidates each. Ties go to the smaller id. Components must stay below 2**31 after scaling. An empty
+the id of the query are its own row; a query is a row, so each of several with one id has its ranks;
+repeated candidates are candidates each. Ties go to the smaller id. Components must stay below 2**31 after scaling. An empty
 table gives an empty table; empty vectors score 0.
 """
 
@@ -34,7 +36,7 @@ QUERY_BLOCK = 512
 TASK_QUERIES = 1 << 16
 # Vectors whose scores give the first threshold.
 SEEDS = 1024
-BEST = "query_id long, vec_id long, score long"
+BEST = "key long, query_id long, vec_id long, score long"
 
 
 class Shard:
@@ -75,6 +77,10 @@ class Shard:
         live = np.flatnonzero(seen)
         partial = scores[live]
         for i in range(essential, len(terms)):
+            if i in (essential, (essential + len(terms)) // 2) and len(live) > k:
+                lead = np.argpartition(-partial, k - 1)[:k]
+                whole = partial[lead] + query[terms[i:]] @ self.weights[terms[i:]][:, live[lead]]
+                threshold = max(threshold, int(whole.min()))
             compete = partial + rest[i] >= threshold
             live, partial = live[compete], partial[compete]
             partial = partial + query[terms[i]] * self.weights[terms[i], live]
@@ -111,7 +117,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
     def integers(df: DataFrame) -> DataFrame:
         return _integers(df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")), scale)
 
-    candidates, asked = integers(vectors), integers(queries).dropDuplicates(["vec_id"])
+    def numbered(batches):
+        keys = B.chunk_ids()
+        for batch in batches:
+            yield batch.append_column("key", pa.array([next(keys) for _ in range(len(batch))], pa.int64()))
+
+    candidates = integers(vectors)
+    asked = B.written(integers(queries).mapInArrow(numbered, "vec_id long, terms array<long>, key long"), "queries")
     n = candidates.count()
     shards = max(1, -(-n // SHARD_VECTORS))
     rounds = max(1, -(-asked.count() // TASK_QUERIES))
@@ -131,26 +143,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
                 for own, row in zip(ids.tolist(), rows):
                     _, scores = first.top(row, own, k, None)
                     floors.append(int(scores[-1]) if len(scores) == k else None)
-                body = B.to_ipc(pa.table({"vec_id": part.column("vec_id"), "terms": part.column("terms"), "floor": pa.array(floors, pa.int64())}))
-                turn = int(T.splitmix(ids[:1].view(np.uint64))[0]) % rounds
+                body = B.to_ipc(pa.table({"key": part.column("key"), "vec_id": part.column("vec_id"), "terms": part.column("terms"), "floor": pa.array(floors, pa.int64())}))
+                first_key = part.column("key")[0].as_py()
+                turn = int(T.splitmix(np.array([first_key], np.uint64))[0]) % rounds
                 for shard in range(turn, shards * rounds, rounds):
                     yield pa.RecordBatch.from_pydict(
-                        {"shard": pa.array([shard], pa.int32()), "chunk": pa.array([int(ids[0])], pa.int64()), "body": pa.array([body], pa.binary())}
+                        {"shard": pa.array([shard], pa.int32()), "chunk": pa.array([first_key], pa.int64()), "body": pa.array([body], pa.binary())}
                     )
 
     def of_shard(key, left, right):
-        ids, scores, owners = [], [], []
+        ids, scores, owners, keys = [], [], [], []
         shard = Shard(left.column("vec_id").to_numpy(), _matrix(left.column("terms").to_pylist()))
         for body in right.column("body").to_pylist():
             block = B.unpacked(body)
             rows = _matrix(block.column("terms").to_pylist())
-            for own, row, floor in zip(block.column("vec_id").to_pylist(), rows, block.column("floor").to_pylist()):
+            for key_, own, row, floor in zip(*(block.column(c).to_pylist() for c in ("key", "vec_id")), rows, block.column("floor").to_pylist()):
                 found, points = shard.top(row, own, k, floor)
                 ids.append(found)
                 scores.append(points)
                 owners.append(np.full(len(found), own))
-        flat = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (owners, ids, scores)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, flat))))
+                keys.append(np.full(len(found), key_))
+        flat = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (keys, owners, ids, scores)]
+        return pa.table(dict(zip(("key", "query_id", "vec_id", "score"), map(pa.array, flat))))
 
     # Dealt by row and not by id: a repeated id must not fill one shard.
     row = F.xxhash64("vec_id", F.monotonically_increasing_id())
@@ -158,5 +172,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
     dealt = candidates.select("vec_id", "terms", F.explode(F.sequence(home, home + rounds - 1)).alias("shard"))
     blocks = asked.mapInArrow(query_blocks, B.REQUESTS)
     best = dealt.groupBy("shard").cogroup(blocks.groupBy("shard")).applyInArrow(of_shard, BEST)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     return best.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

@@ -12,7 +12,7 @@ import xxhash
 import zlib
 from pyspark.sql import functions as F
 
-from logquarry.llm import hardneg, periodic, queries, simhash
+from logquarry.llm import hardneg, periodic, queries, simhash, topk
 
 SPACES = "[\x20\x09-\x0d]+"
 # Extra columns with names that the operators use themselves.
@@ -312,3 +312,33 @@ def test_query_digests(spark):
         assert (r.n_runs, r.start, r.length, r.period) == (len(runs), start, length, period)
         assert r.runs_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert r.collapsed_sha256 == hashlib.sha256(collapsed.encode()).hexdigest()
+
+
+# 7 exact top-k: repeated queries, and a threshold that rises
+
+
+def test_repeated_queries_are_queries_each(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 3.0]), (2, [1.0, 3.0])]
+    for order in (rows, rows[::-1]):
+        vectors = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3)
+        got = sorted(map(tuple, topk.search(vectors, vectors.filter("vec_id = 50")).collect()))
+        assert got == sorted([
+            (50, 1, 1, 3 * 65536), (50, 2, 2, 65536), (50, 3, 2, 65536),
+            (50, 1, 2, 3 * 65536), (50, 2, 2, 3 * 65536), (50, 3, 1, 65536),
+        ])
+
+
+def test_rising_threshold_loses_nothing():
+    rng = np.random.default_rng(8)
+    for trial in range(200):
+        n, dim, k = int(rng.integers(1, 300)), int(rng.integers(1, 12)), int(rng.integers(1, 7))
+        weights = rng.integers(-50, 300, (n, dim)) * (rng.random((n, dim)) < 0.6)
+        ids = rng.integers(0, 100, n)
+        query = rng.integers(-20, 100, dim)
+        scores = weights @ query
+        usable = np.flatnonzero(ids != 7)
+        best = usable[np.lexsort((ids[usable], -scores[usable]))[:k]]
+        floor = int(np.sort(scores[usable])[-k:].min()) if len(usable) >= k else None
+        for threshold in {None, floor, floor and floor - 40}:
+            found, points = topk.Shard(ids, weights).top(query, 7, k, threshold)
+            assert points.tolist() == scores[best].tolist() and found.tolist() == ids[best].tolist()
