@@ -4,15 +4,18 @@ An anomaly is dropped when an open alert of the same severity contains the first
 its message (ASCII case ignored). Anomalies are taken one by one, so an anomaly that was kept
 earlier in the same batch counts as an open alert too.
 
-"Contains" is turned into equality: with k the length of the shortest pattern, a text that contains a
-pattern has its first k characters at some position. Each position gives one row with the hash of k
-characters and the 50 characters that a pattern can reach; rows join patterns by the hash and are
-verified. So the rows are as many as the text is long. Both sides are reduced to distinct values first,
-however many alerts share a message.
+"Contains" is turned into equality. A pattern is looked for by one part of it, its anchor: as long as the
+longest of ANCHORS that fits, and of these parts the one that the fewest other patterns hold. So a
+beginning that many messages share anchors none of them, and one short pattern does not shorten the anchors
+of others. Every position of a text gives one row per anchor length in use, with the hash of the part there
+and the characters that a pattern around it can reach; rows join anchors by the hash and are verified. Both
+sides are reduced to distinct values first, however many alerts share a message.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,40 +23,81 @@ from logquarry.functions.text import ascii_lower
 from logquarry.session import materialise
 
 PREFIX_CHARS = 50
+ANCHORS = (1, 2, 4, 8, 16, 32)
 
+# Gives the pattern of an anomaly from its message, in the spelling of the message.
+DedupKey = Callable[[Column], Column]
 
-def _contained(messages: DataFrame, patterns: DataFrame, *carry: str) -> DataFrame:
-    """(severity, pattern, carry...) for every pattern that a message of its severity contains."""
-    filled = F.when(F.length("pattern") > 0, F.length("pattern"))
-    anchor = patterns.agg(F.coalesce(F.min(filled), F.lit(1))).scalar()
-    own = patterns.select("severity", "pattern", anchor.alias("k")).distinct().select(
-        "severity", "pattern", F.xxhash64(F.substr("pattern", F.lit(1), F.col("k"))).alias("gram")
+
+def beginning(message: Column) -> Column:
+    """The usual key: the first characters of the message."""
+    return F.left(message, F.lit(PREFIX_CHARS))
+
+
+def after(preamble: str) -> DedupKey:
+    """A key for messages that all begin alike: as many characters from behind the preamble."""
+
+    def key(message: Column) -> Column:
+        rest = F.substring(message, len(preamble) + 1, PREFIX_CHARS)
+        return F.when(F.startswith(message, F.lit(preamble)), rest).otherwise(beginning(message))
+
+    return key
+
+
+def _anchored(patterns: DataFrame) -> DataFrame:
+    """(severity, pattern, k, gram, offset) of every pattern that is not empty: its rarest part of k characters."""
+    lengths = "CASE " + " ".join(f"WHEN length(pattern) >= {k} THEN {k}" for k in reversed(ANCHORS)) + " END"
+    parts = (
+        patterns.select("severity", "pattern")
+        .filter(F.length("pattern") > 0)
+        .distinct()
+        .withColumn("k", F.expr(lengths))
+        .selectExpr("severity", "pattern", "k", "explode(sequence(1, length(pattern) - k + 1)) AS offset")
+        .withColumn("gram", F.expr("xxhash64(substr(pattern, offset, k))"))
     )
+    holders = parts.groupBy("severity", "k", "gram").agg(F.count_distinct("pattern").alias("holders"))
+    # Of equally rare parts the last one.
+    choice = F.min(F.struct("holders", (-F.col("offset")).alias("back"), "gram")).alias("best")
+    best = parts.join(holders, ["severity", "k", "gram"]).groupBy("severity", "pattern", "k").agg(choice)
+    return best.select("severity", "pattern", "k", F.col("best.gram").alias("gram"), (-F.col("best.back")).alias("offset"))
 
-    def place(i: Column) -> Column:
-        return F.struct(
-            F.xxhash64(F.substr("text", i, F.col("k"))).alias("gram"),
-            F.substr("text", i, F.lit(PREFIX_CHARS)).alias("window"),
-        )
 
-    positions = F.sequence(F.lit(1), F.length("text") - F.col("k") + 1)
-    places = F.when(F.length("text") >= F.col("k"), F.transform(positions, place))
-    # The empty pattern is contained in every message.
-    nothing = F.array(F.struct(F.xxhash64(F.lit("")).alias("gram"), F.lit("").alias("window")))
-    spread = messages.withColumn("k", anchor).select(
-        "severity", *carry, F.inline(F.array_distinct(F.concat(nothing, F.coalesce(places, nothing))))
+def _contained(messages: DataFrame, patterns: DataFrame, *carry: str) -> DataFrame:
+    """(severity, pattern, carry...) for every pattern that a message of its severity contains."""
+    anchors = _anchored(patterns)
+    in_use = patterns.select(
+        F.expr("array(" + ", ".join(
+            f"max(if(length(pattern) >= {k} AND length(pattern) < {next((n for n in ANCHORS if n > k), 1 << 30)}, {k}, NULL))" for k in ANCHORS
+        ) + ")").alias("k")
+    )
+    spread = (
+        messages.withColumn("k", F.explode(F.array_compact(in_use.scalar())))
+        .filter(F.length("text") >= F.col("k"))
+        .selectExpr("severity", *carry, "text", "k", "explode(sequence(1, length(text) - k + 1)) AS i")
+        .selectExpr(
+            "severity",
+            *carry,
+            "k",
+            "xxhash64(substr(text, i, k)) AS gram",
+            # What lies up to PREFIX_CHARS before and after this position; ``i`` becomes the place in it.
+            f"substr(text, greatest(i - {PREFIX_CHARS}, 1), {2 * PREFIX_CHARS}) AS window",
+            f"i - greatest(i - {PREFIX_CHARS}, 1) + 1 AS i",
+        )
     )
-    hit = F.startswith("window", "pattern")
-    return spread.join(own, ["severity", "gram"]).filter(hit).select("severity", "pattern", *carry).distinct()
+    hit = F.expr("i >= offset AND substr(window, i - offset + 1, length(pattern)) = pattern")
+    found = spread.join(anchors, ["severity", "k", "gram"]).filter(hit).select("severity", "pattern", *carry)
+    # The empty pattern is contained in every message.
+    empty = patterns.filter(F.col("pattern") == "").select("severity", "pattern").distinct()
+    return found.unionByName(messages.filter("text IS NOT NULL").join(empty, "severity").select("severity", "pattern", *carry)).distinct()
 
 
-def first_per_pattern(anomalies: DataFrame, order: tuple[str, ...]) -> DataFrame:
+def first_per_pattern(anomalies: DataFrame, order: tuple[str, ...], key: DedupKey = beginning) -> DataFrame:
     """The first anomaly of each (severity, pattern), with the pattern and its order as columns.
 
     Partial aggregation keeps one candidate per map task, so a pattern shared by a third of all
     anomalies is no hot group (a ranking window would be).
     """
-    pattern = ascii_lower(F.left("message", F.lit(PREFIX_CHARS)))
+    pattern = ascii_lower(key(F.col("message")))
     rows = anomalies.select(
         F.struct(*anomalies.columns).alias("row"),
         F.col("severity"),
@@ -128,11 +172,47 @@ def keep_in_order(firsts: DataFrame) -> DataFrame:
     return firsts.join(dropped, ["severity", "pattern"], "left_anti")
 
 
+ORDER = ("detector_seq", "log_id")
+
+
 def deduplicate(
     anomalies: DataFrame,
     open_alerts: DataFrame,
-    order: tuple[str, ...] = ("detector_seq", "log_id"),
+    order: tuple[str, ...] = ORDER,
+    dedup_key: DedupKey = beginning,
 ) -> DataFrame:
     """The anomalies that become alerts, given the open alerts of the look-back window."""
-    firsts = materialise(drop_known(first_per_pattern(anomalies, order), open_alerts))
+    firsts = materialise(drop_known(first_per_pattern(anomalies, order, dedup_key), open_alerts))
     return keep_in_order(firsts).select("row.*")
+
+
+def outcomes(
+    anomalies: DataFrame,
+    open_alerts: DataFrame,
+    order: tuple[str, ...] = ORDER,
+    dedup_key: DedupKey = beginning,
+) -> DataFrame:
+    """The anomalies with their ``outcome``, so that what was dropped can be accounted for.
+
+    ``alert``: becomes one; ``open_alert``: an open alert contains its pattern; ``earlier_anomaly``: one
+    that was kept before it in this batch does; ``same_pattern``: it shares the pattern of an anomaly
+    before it, which became an alert. Anomalies that agree in everything share their outcome.
+    """
+    firsts = materialise(first_per_pattern(anomalies, order, dedup_key))
+    fresh = materialise(drop_known(firsts, open_alerts))
+    kept = keep_in_order(fresh)
+
+    def marked(rows: DataFrame, fate: str) -> DataFrame:
+        return rows.select("severity", "pattern", "seq", F.lit(fate).alias("fate"))
+
+    # The furthest that a pattern got: seen, not held by an open alert, kept.
+    reached = marked(firsts, "0").unionByName(marked(fresh, "1")).unionByName(marked(kept, "2"))
+    fate = reached.groupBy("severity", "pattern").agg(F.max("fate").alias("_fate"), F.min("seq").alias("_first"))
+    names = F.when(F.col("_fate") == "0", "open_alert").when(F.col("_fate") == "1", "earlier_anomaly").otherwise("alert")
+    fate = fate.select(F.col("severity").alias("_severity"), F.col("pattern").alias("_pattern"), "_first", names.alias("_fate"))
+    rows = anomalies.withColumns(
+        {"_own": ascii_lower(dedup_key(F.col("message"))), "_seq": F.struct(*order, "message", "details")}
+    )
+    met = rows.join(fate, F.col("severity").eqNullSafe(F.col("_severity")) & F.col("_own").eqNullSafe(F.col("_pattern")))
+    repeated = (F.col("_fate") == "alert") & ~F.col("_seq").eqNullSafe(F.col("_first"))
+    return met.select(*anomalies.columns, F.when(repeated, "same_pattern").otherwise(F.col("_fate")).alias("outcome"))

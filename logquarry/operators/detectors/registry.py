@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from logquarry.functions.timerange import Instant
 from logquarry.operators import alerts as alert_ops
-from logquarry.operators.dedup import deduplicate
+from logquarry.operators.dedup import DedupKey, beginning, deduplicate
 from logquarry.operators.detectors.base import Detector
 from logquarry.operators.detectors.cells import ALL, CellDetector, cells_in, count_cells
 from logquarry.operators.detectors.rules import DEDUP_HOURS
@@ -123,10 +123,11 @@ def alerts_from(
     alerts: DataFrame,
     dedup_hours: float = DEDUP_HOURS,
     as_of: Instant = None,
+    dedup_key: DedupKey = beginning,
 ) -> DataFrame:
     """New alerts for the findings, given the current alerts. Unknown severities create nothing."""
     valid = findings.anomalies.filter(F.col("severity").isin(*SEVERITIES))
-    kept = deduplicate(valid, alert_ops.open_since(alerts, dedup_hours, as_of))
+    kept = deduplicate(valid, alert_ops.open_since(alerts, dedup_hours, as_of), dedup_key=dedup_key)
     return alert_ops.new_alerts(kept, as_of)
 
 

@@ -790,6 +790,53 @@ _sql(
         SELECT log_id, anomaly_type, severity, message, details, detector_seq FROM ranked r WHERE nth = 1
         AND NOT EXISTS (SELECT 1 FROM still_open o WHERE o.severity = r.severity AND contains(o.message, r.pattern))""",
 )
+_OPEN = f"""SELECT DISTINCT severity, lower(message) AS message FROM alerts
+             WHERE NOT acknowledged AND created_at BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 6 HOUR AND TIMESTAMP '{AS_OF}'"""
+
+
+def _rounds(n: int) -> str:
+    """Which of ``fresh`` are kept (1) or dropped (0): decided in rounds, from those that nothing blocks."""
+    steps = ["d0 AS MATERIALIZED (SELECT severity, pattern, 1 AS kept FROM fresh WHERE (severity, pattern) NOT IN (SELECT (severity, pattern) FROM blocks))"]
+    for k in range(n):
+        steps.append(f"""d{k + 1} AS MATERIALIZED (
+            SELECT * FROM d{k} UNION ALL
+            SELECT b.severity, b.pattern, 1 - coalesce(max(kept), 0) AS kept FROM blocks b
+            LEFT JOIN d{k} d ON d.severity = b.severity AND d.pattern = b.by_pattern
+            WHERE (b.severity, b.pattern) NOT IN (SELECT (severity, pattern) FROM d{k})
+            GROUP BY ALL HAVING max(kept) = 1 OR count(*) = count(kept))""")
+    return ", ".join(steps)
+
+
+_sql(
+    "alert_dedup_outcomes",
+    "alerts anomalies",
+    f"""+ still_open AS ({_OPEN}),
+        short AS (SELECT * REPLACE (CASE WHEN right(log_id, 12)::bigint % 3 = 0 THEN left(message, length(message) - 1) ELSE message END AS message)
+                  FROM anomalies),
+        ranked AS MATERIALIZED (
+            SELECT *, lower(left(message, 50)) AS pattern,
+                   row_number() OVER (PARTITION BY severity, lower(left(message, 50)) ORDER BY detector_seq, log_id) AS nth FROM short),
+        firsts AS MATERIALIZED (SELECT * FROM ranked WHERE nth = 1),
+        fresh AS MATERIALIZED (
+            SELECT * FROM firsts r
+            WHERE NOT EXISTS (SELECT 1 FROM still_open o WHERE o.severity = r.severity AND contains(o.message, r.pattern))),
+        blocks AS MATERIALIZED (
+            SELECT p.severity, p.pattern, m.pattern AS by_pattern FROM fresh p JOIN fresh m
+            ON m.severity = p.severity AND (m.detector_seq, m.log_id) < (p.detector_seq, p.log_id) AND contains(lower(m.message), p.pattern)),
+        {_rounds(8)}
+        SELECT log_id, severity, message,
+               CASE WHEN (severity, pattern) NOT IN (SELECT (severity, pattern) FROM fresh) THEN 'open_alert'
+                    WHEN kept = 0 THEN 'earlier_anomaly' WHEN nth > 1 THEN 'same_pattern' WHEN kept = 1 THEN 'alert' END AS outcome
+        FROM ranked LEFT JOIN d8 USING (severity, pattern)""",
+)
+_sql(
+    "alert_dedup_after_preamble",
+    "alerts anomalies",
+    f"""+ still_open AS ({_OPEN}),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY severity, lower(left(message, 50)) ORDER BY detector_seq, log_id) AS nth FROM anomalies)
+        SELECT log_id, severity, '{forest.PREAMBLE}' || message AS message FROM ranked r WHERE nth = 1
+        AND NOT EXISTS (SELECT 1 FROM still_open o WHERE o.severity = r.severity AND contains(o.message, lower(left(r.message, 50))))""",
+)
 _sql(
     "alert_ack_state",
     "alerts",

@@ -19,7 +19,7 @@ from logquarry.operators import (
     stats,
     terms,
 )
-from logquarry.operators.dedup import deduplicate
+from logquarry.operators.dedup import after, deduplicate, outcomes
 from logquarry.operators.detectors import forest, registry, rules
 from logquarry.functions import text as text_fns
 from logquarry.plans import views
@@ -728,6 +728,29 @@ def alert_dedup(spark, sf_dir):
     return deduplicate(views.anomalies(spark, sf_dir), open_alerts)
 
 
+def _shortened(spark, sf_dir) -> DataFrame:
+    """Anomalies of which a third lacks its last character, so that other messages contain it."""
+    short = F.col("message").substr(F.lit(1), F.length("message") - 1)
+    third = F.substring("log_id", -12, 12).cast("long") % 3 == 0
+    return views.anomalies(spark, sf_dir).withColumn("message", F.when(third, short).otherwise(F.col("message")))
+
+
+@query
+def alert_dedup_outcomes(spark, sf_dir):
+    """What became of every anomaly, with messages that contain each other."""
+    open_alerts = alert_ops.open_since(views.alerts(spark, sf_dir), 6, AS_OF)
+    return outcomes(_shortened(spark, sf_dir), open_alerts).select("log_id", "severity", "message", "outcome")
+
+
+@query
+def alert_dedup_after_preamble(spark, sf_dir):
+    """With a key behind the beginning that all anomalies share, and open alerts that hold some of it."""
+    preamble = forest.PREAMBLE
+    found = views.anomalies(spark, sf_dir).withColumn("message", F.concat(F.lit(preamble), "message"))
+    open_alerts = alert_ops.open_since(views.alerts(spark, sf_dir), 6, AS_OF)
+    return deduplicate(found, open_alerts, dedup_key=after(preamble)).select("log_id", "severity", "message")
+
+
 def _acked_ids(spark, sf_dir):
     """Ids of all warnings and errors; only the errors have an alert."""
     return (

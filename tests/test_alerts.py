@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import NOW, ago
 from logquarry.operators import alerts as ops
+from logquarry.operators import dedup
 from logquarry.operators.dedup import deduplicate
 from logquarry.schema import ALERT, ANOMALY
 from logquarry.sources.alerts import AlertTable
@@ -151,3 +152,72 @@ def test_dedup_matches_taking_anomalies_one_by_one(spark, make_alerts, seed):
     open_alerts = make_alerts([(str(i), s, m, ago(), False) for i, (s, m) in enumerate(stored)])
     kept = sorted(r.log_id for r in deduplicate(df.repartition(3), open_alerts).collect())
     assert kept == one_by_one(anomalies, stored)
+
+
+ANOMALIES = "log_id string, anomaly_type string, severity string, message string, details string, detector_seq int"
+
+
+def anomalies_of(spark, rows):
+    return spark.createDataFrame([(i, "t", s, m, None, 0) for i, s, m in rows], ANOMALIES).repartition(3)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_outcomes_account_for_every_anomaly(spark, make_alerts, seed):
+    rng = random.Random(100 + seed)
+    text = lambda: "".join(rng.choices("ab", k=rng.randint(0, 5)))
+    rows = [(f"{i:03d}", rng.choice(["low", "high"]), text()) for i in range(80)]
+    stored = [("low", "zz" + text() + "zz")]
+    open_alerts = make_alerts([(str(i), s, m, ago(), False) for i, (s, m) in enumerate(stored)])
+    found = {r.log_id: r.outcome for r in dedup.outcomes(anomalies_of(spark, rows), open_alerts).collect()}
+    kept = one_by_one(rows, stored)
+    assert len(found) == 80 and sorted(i for i, outcome in found.items() if outcome == "alert") == kept
+    for i, severity, message in rows:
+        opened = any(s == severity and message in m for s, m in stored)
+        before = {(s, m) for j, s, m in rows if j < i}
+        if i not in kept:
+            assert opened == (found[i] == "open_alert"), (i, message)
+            if found[i] == "same_pattern":
+                assert (severity, message) in before
+            if found[i] == "earlier_anomaly":
+                assert any(j in kept and j < i and s == severity and message in m for j, s, m in rows)
+
+
+def test_outcomes_of_nulls_and_of_nothing(spark, make_alerts):
+    none = make_alerts([])
+    assert dedup.outcomes(anomalies_of(spark, []), none).count() == 0
+    rows = [("1", None, "m"), ("2", None, "m"), ("3", "low", None), ("4", "low", "")]
+    found = {r.log_id: r.outcome for r in dedup.outcomes(anomalies_of(spark, rows), none).collect()}
+    assert found == {"1": "alert", "2": "same_pattern", "3": "alert", "4": "alert"}
+
+
+def test_anchors_are_rare(spark):
+    """A beginning that all patterns share anchors none of them, and a short pattern shortens no other."""
+    preamble = "ml detected unusual log pattern: "
+    rows = [("medium", (preamble + f"{i:05d} of the same")[:50]) for i in range(400)] + [("medium", "x"), ("medium", "")]
+    patterns = spark.createDataFrame(rows, "severity string, pattern string")
+    anchors = dedup._anchored(patterns).collect()
+    assert len(anchors) == 401 and {r.k for r in anchors} == {1, 32}
+    assert max(sum(1 for _ in g) for g in by_gram(anchors)) == 1
+    texts = patterns.select("severity", F.concat("pattern", F.lit(" and so on")).alias("text"))
+    found = dedup._contained(texts, patterns)
+    assert sorted(r.pattern for r in found.collect()) == sorted(p for _, p in rows)
+
+
+def by_gram(anchors):
+    groups = {}
+    for r in anchors:
+        groups.setdefault((r.k, r.gram), []).append(r)
+    return groups.values()
+
+
+def test_key_behind_the_preamble(spark, make_alerts):
+    preamble = "ML detected unusual log pattern: "
+    same = "a common beginning, "
+    rows = [(str(i), "medium", preamble + same + f"case {i // 2}") for i in range(6)] + [("7", "medium", "case 1")]
+    none = make_alerts([])
+    usual = deduplicate(anomalies_of(spark, rows), none).collect()
+    assert sorted(r.log_id for r in usual) == ["0", "7"]
+    keyed = deduplicate(anomalies_of(spark, rows), none, dedup_key=dedup.after(preamble)).collect()
+    assert sorted(r.log_id for r in keyed) == ["0", "2", "4"]
+    held = make_alerts([("al", "medium", preamble + same + "CASE 1", ago(), False)])
+    assert sorted(r.log_id for r in deduplicate(anomalies_of(spark, rows), held, dedup_key=dedup.after(preamble)).collect()) == ["0", "4"]
