@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions import text
@@ -125,7 +125,8 @@ def deep_search(
 ) -> Page:
     """The same page as ``search``, found by counting first (see ``skip_ahead``).
 
-    Runs three small jobs right away, whatever the offset.
+    Runs a few small jobs right away: at most five for the time, and one or two for every factor of 64
+    among the rows of one instant.
     """
     size, skip = page_arguments(limit, offset)
     matches = matching(df, q, level, source, start, end)
@@ -133,15 +134,30 @@ def deep_search(
     return Page(_page(rows, size, skip), matches)
 
 
+# Rows that a page may skip in one place, and ids that divide those of one instant.
+KEPT = 1000
+BORDERS = 64
+_UNITS = (
+    ("month", "1 month"),
+    ("hour", "1 hour"),
+    ("second", "1 second"),
+    ("millisecond", "0.001 seconds"),
+    ("microsecond", "0.000001 seconds"),
+)
+
+
 def skip_ahead(matches: DataFrame, skip: int) -> tuple[DataFrame, int]:
     """Leave out the newest rows that an offset would skip anyway: the rest, and what to skip in it.
 
     A top-k keeps offset + limit rows per task and merges them in one place. Counting the matches
-    per month, then per hour of the month reached, then per second of that hour tells how many
-    rows lie above each boundary, so only the rows of one second remain to be skipped.
+    per month, then per hour of the month reached, then down to the microsecond tells how many
+    rows lie above each boundary; among the rows of one instant, ids are counted in ranges. It ends when
+    no more than KEPT rows remain to be skipped.
     """
     inside = matches
-    for unit, width in (("month", "1 month"), ("hour", "1 hour"), ("second", "1 second")):
+    for unit, width in _UNITS:
+        if skip <= KEPT:
+            return matches, skip
         counts = (
             inside.filter(F.col("timestamp").isNotNull())
             .groupBy(F.date_trunc(unit, "timestamp").alias("begin"))
@@ -156,12 +172,50 @@ def skip_ahead(matches: DataFrame, skip: int) -> tuple[DataFrame, int]:
             skip -= n
         else:
             # Every dated row is skipped.
-            return matches.filter(F.col("timestamp").isNull()), skip
+            undated = matches.filter(F.col("timestamp").isNull())
+            first, skip = _skip_ids(undated, skip)
+            return undated.filter(first), skip
         low = F.lit(begin).cast("timestamp")
         below = F.col("timestamp") < low + F.expr(f"INTERVAL {width}")
         matches = matches.filter(below)
         inside = matches.filter(F.col("timestamp") >= low)
-    return matches, skip
+    first, skip = _skip_ids(inside, skip)
+    return matches.filter((F.col("timestamp") < low) | first), skip
+
+
+def _skip_ids(rows: DataFrame, skip: int) -> tuple[Column, int]:
+    """Of rows with one timestamp those from some id on, and what remains to be skipped among them.
+
+    Every round draws BORDERS ids by hash and counts the rows between and at them (at most 129 counts), and
+    goes on inside the range reached. Rows that share an id are not told apart.
+    """
+    first = F.lit(True)
+    while skip > KEPT:
+        drawn = rows.filter(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").select("id").limit(BORDERS)
+        borders = sorted({row["id"] for row in drawn.collect()})
+        if not borders:
+            break
+        listed = F.array(*map(F.lit, borders))
+        # Even numbers lie between two borders, odd ones at a border; a null id comes before all.
+        below = F.size(F.filter(listed, lambda border: border < F.col("id")))
+        at = F.coalesce(F.array_contains(listed, F.col("id")).cast("int"), F.lit(0))
+        counts = dict(rows.groupBy((2 * below + at).alias("range")).agg(F.count(F.lit(1)).alias("n")).collect())
+        for place in range(2 * len(borders) + 1):
+            n = counts.get(place, 0)
+            if n > skip:
+                break
+            skip -= n
+        else:
+            return F.lit(False), skip
+        j, at_border = divmod(place, 2)
+        if at_border:
+            return F.col("id") >= borders[j], skip
+        if j:
+            first = F.col("id") > borders[j - 1]
+            rows = rows.filter(first)
+        if j < len(borders):
+            rows = rows.filter(F.col("id").isNull() | (F.col("id") < borders[j]))
+    return first, skip
 
 
 def recent(df: DataFrame, n: int) -> DataFrame:

@@ -123,6 +123,14 @@ _sql(
         ORDER BY timestamp DESC, id LIMIT 1000""",
 )
 _sql("log_search_deep", "all_logs", "SELECT * FROM all_logs ORDER BY timestamp DESC, id LIMIT 100 OFFSET 10500")
+_sql(
+    "log_search_one_instant",
+    "all_logs",
+    """+ copies AS (SELECT id || '-' || c AS id, TIMESTAMP '2024-01-15 12:00:00.123456' AS timestamp, level, source
+                   FROM all_logs, range(10) r(c)),
+        ranked AS (SELECT *, row_number() OVER (ORDER BY id) AS place FROM copies)
+        SELECT id, timestamp, level, source FROM ranked WHERE place BETWEEN 1201 AND 1250 OR place BETWEEN 9401 AND 9450""",
+)
 _sql("log_recent", "logs", "SELECT * FROM logs ORDER BY timestamp DESC, id LIMIT 20")
 _sql("log_get", "logs", "SELECT * FROM logs WHERE id = 'ev-000000000042'")
 _sql("log_fetch_since", "logs", "SELECT * FROM logs WHERE id > 'ev-000000000500' ORDER BY id LIMIT 1000")

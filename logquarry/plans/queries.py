@@ -94,6 +94,16 @@ def log_search_deep(spark, sf_dir):
     return search.deep_search(views.all_logs(spark, sf_dir), limit=100, offset=10_500).rows
 
 
+@query
+def log_search_one_instant(spark, sf_dir):
+    """All logs of one instant, ten copies each: pages go by id alone. Two pages far down."""
+    at = F.lit("2024-01-15 12:00:00.123456").cast("timestamp")
+    copies = views.all_logs(spark, sf_dir).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    logs = copies.withColumns({"timestamp": at, "id": F.concat("id", F.lit("-"), "copy")}).drop("copy")
+    pages = [search.deep_search(logs, limit=50, offset=offset).rows for offset in (1_200, 9_400)]
+    return pages[0].unionByName(pages[1]).select("id", "timestamp", "level", "source")
+
+
 @query
 def log_recent(spark, sf_dir):
     return search.recent(views.logs(spark, sf_dir), 20)
