@@ -125,7 +125,7 @@ def deep_search(
 ) -> Page:
     """The same page as ``search``, found by counting first (see ``skip_ahead``).
 
-    Runs a few small jobs right away: at most five for the time, and one or two for every factor of 64
+    Runs a few small jobs right away: three to five for the time, and two for every factor of about 64
     among the rows of one instant.
     """
     size, skip = page_arguments(limit, offset)
@@ -151,12 +151,12 @@ def skip_ahead(matches: DataFrame, skip: int) -> tuple[DataFrame, int]:
 
     A top-k keeps offset + limit rows per task and merges them in one place. Counting the matches
     per month, then per hour of the month reached, then down to the microsecond tells how many
-    rows lie above each boundary; among the rows of one instant, ids are counted in ranges. It ends when
-    no more than KEPT rows remain to be skipped.
+    rows lie above each boundary; among the rows of one instant, ids are counted in ranges. Below the
+    second it ends when no more than KEPT rows remain to be skipped.
     """
     inside = matches
     for unit, width in _UNITS:
-        if skip <= KEPT:
+        if skip <= KEPT and unit in ("millisecond", "microsecond"):
             return matches, skip
         counts = (
             inside.filter(F.col("timestamp").isNotNull())
