@@ -862,6 +862,12 @@ _sql(
     f"""+ state AS (SELECT id, created_at, acknowledged OR severity = 'low' AS acknowledged FROM alerts)
         SELECT * FROM state WHERE NOT (acknowledged AND created_at < TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY)""",
 )
+_sql(
+    "alert_table_folded",
+    "alerts",
+    f"""+ SELECT id, severity, created_at FROM alerts WHERE NOT acknowledged
+          AND created_at BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY AND TIMESTAMP '{AS_OF}'""",
+)
 _sql(
     "alert_orphans",
     "alerts logs",
@@ -939,6 +945,7 @@ _sql(
     f"""+ {_found('logs')}
         SELECT log_id, severity, TIMESTAMP '{BURST_AS_OF}' AS created_at, false AS acknowledged FROM found""",
 )
+_SQL["stream_alerts_of_parts"] = _SQL["stream_alerts_created"]
 _sql(
     "stream_runs",
     "logs",

@@ -809,6 +809,21 @@ def alerts_after_delete_acked(spark, sf_dir):
     return alert_ops.surviving(views.alerts(spark, sf_dir))
 
 
+@query
+def alert_table_folded(spark, sf_dir):
+    """Acknowledge twice, fold, delete the acknowledged ones, store the same alerts again, and read some days."""
+    table = AlertTable(spark, scratch_path(spark, "alerts"))
+    alerts = views.alerts(spark, sf_dir)
+    table.append(alerts)
+    table.acknowledge(alerts.filter(F.col("severity") == "low"))
+    table.fold_acks()
+    table.acknowledge(alerts.filter(F.col("severity") == "medium"))
+    table.delete_acknowledged()
+    table.append(alerts)
+    open_ = table.open_since(24 * 10, AS_OF)
+    return open_.select("id", "severity", "created_at")
+
+
 # --- retention ----------------------------------------------------------------------------------
 
 
@@ -965,6 +980,35 @@ def stream_alerts_created(spark, sf_dir):
     return table.read().select("log_id", "severity", "created_at", "acknowledged")
 
 
+@query
+def stream_alerts_of_parts(spark, sf_dir):
+    """Four micro-batches over two runs of the stream: every finding is stored once.
+
+    The detectors look at all stored logs each time, so every micro-batch finds the same.
+    """
+    base = scratch_path(spark, "detect_parts")
+    table = AlertTable(spark, f"{base}/alerts")
+    folder = f"{base}/in"
+
+    def stored() -> DataFrame:
+        return views.logs(spark, sf_dir)
+
+    detectors = [
+        rules.ErrorBurst(BURST_THRESHOLD, history=stored),
+        rules.VolumeSpike(SPIKE_THRESHOLD, 24 * 365, history=stored),
+        rules.SourceAnomaly(history=stored),
+    ]
+    events = spark.read.schema(views.EVENTS).parquet(f"{sf_dir}/events.parquet")
+    dealt = events.withColumn("part", F.pmod(F.xxhash64(*events.columns), F.lit(2)))
+    for part in (0, 1):
+        dealt.filter(F.col("part") == part).drop("part").repartition(2).write.mode("append").parquet(folder)
+        logs = views.event_logs(stream_ingest.read_stream(spark, folder, views.EVENTS, max_files=1))
+        stream_alerts.start_detection(
+            logs, detectors, table, f"{base}/runs", f"{base}/checkpoint", interval=None, as_of=BURST_AS_OF
+        ).awaitTermination()
+    return table.read().select("log_id", "severity", "created_at", "acknowledged")
+
+
 @query
 def stream_runs(spark, sf_dir):
     _, runs = _detected(spark, sf_dir)

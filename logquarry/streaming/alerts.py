@@ -32,8 +32,10 @@ def start_detection(
 
     The position is the stream's checkpoint, saved after the alerts are written: a micro-batch
     may run again. Its instant is a column of the stream, which a repeated batch gets again, so its
-    alerts have the same ids and are found among the stored ones. Run records go to
-    ``<runs>/detectors`` and ``<runs>/polls``.
+    alerts have the same ids and are found among the stored ones. What the stream has to remember for
+    the look-back is the open alerts of ``dedup_hours``; they are read from the alert table's newest days,
+    so a restart, or another checkpoint, finds them too. Run records go to ``<runs>/detectors`` and
+    ``<runs>/polls``.
     """
 
     def poll(batch: DataFrame, batch_id: int) -> None:
@@ -45,7 +47,9 @@ def start_detection(
             # One instant for the whole poll, so that its alerts agree on it.
             now = as_of if as_of is not None else polled
             findings = run_detectors(batch, detectors, now)
-            new = materialise(alerts_from(findings, alerts.read(), dedup_hours, now))
+            # Only the days of the look-back are read, however many alerts are stored.
+            known = alerts.open_since(dedup_hours, now)
+            new = materialise(alerts_from(findings, known, dedup_hours, now))
             created = alerts.append(new).count()
             findings.runs_frame(spark).coalesce(1).write.mode("overwrite").parquet(
                 batch_folder(f"{runs}/detectors", checkpoint, batch_id)
