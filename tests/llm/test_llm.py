@@ -483,6 +483,46 @@ def test_passage_held_by_thousands(spark):
     assert sum(got.values()) == 100
 
 
+def brute_cover(rows, least):
+    """Words of each text in windows that occur at several places."""
+    seen = Counter()
+    tokens = {i: words(t) for i, t in rows}
+    for w in tokens.values():
+        seen.update(tuple(w[j : j + least]) for j in range(len(w) - least + 1))
+    return {
+        i: {x for j in range(len(w) - least + 1) if seen[tuple(w[j : j + least])] > 1 for x in range(j, j + least)}
+        for i, w in tokens.items()
+    }
+
+
+@pytest.mark.parametrize("least", [50, 20])
+def test_passages_of_few_and_many_holders(spark, least):
+    """Passages of 2 to 13 holders, whole, cut or with a word changed: compared or counted, the same words are found."""
+    rng = random.Random(least)
+    texts = []
+    for k in range(2, 14):
+        passage = [f"p{k}_{i}" for i in range(least + 25)]
+        for h in range(k):
+            held = list(passage)
+            if h % 3 == 1:
+                held[rng.randrange(len(held))] = f"e{k}_{h}"
+            if h % 3 == 2:
+                held = held[rng.randrange(30) :]
+            around = [[f"x{rng.getrandbits(40)}" for _ in range(rng.randrange(40))] for _ in range(2)]
+            texts.append(" ".join(around[0] + held + around[1]))
+    # The same passage twice within a text, one word over and over, and a passage at both ends of the texts.
+    twice = [f"t{i}" for i in range(least)]
+    texts += [" ".join(twice + ["between"] + twice), "again " * (3 * least), " ".join(f"w{i}" for i in range(least))] + [
+        " ".join(f"w{i}" for i in range(least))
+    ]
+    rows = list(enumerate(texts))
+    want = brute_cover(rows, least)
+    docs = frame(spark, rows).repartition(5)
+    for row in suffixdedup.repeated_passages(docs, least).collect():
+        assert {x for s in row.spans for x in range(s.start, s.end)} == want[row.doc_id], row.doc_id
+        assert row.n_repeated == len(want[row.doc_id])
+
+
 def test_passages_with_more_partitions_than_rows(spark):
     """Runs repeat, no passage does: nothing is compared with itself, however few rows a partition has."""
     shared = " ".join(f"s{i}" for i in range(49))
