@@ -11,10 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from logquarry.llm import bpe, decontaminate, langid, licenses, linededup, lm, neardup, suffixdedup, topk, warc
+from logquarry.llm import bpe, decontaminate, langid, licenses, linededup, lm, neardup, queries, suffixdedup, topk, warc
 from logquarry.llm.eliasfano import EliasFano
 from logquarry.llm.mph import MinimalHash
 from logquarry.llm.text import splitmix
@@ -22,6 +23,7 @@ from logquarry.llm.text import splitmix
 # Extra columns with names that the operators use themselves.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk long, row long, score string, shard int"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SF_DIR = "/root/testdata/sf0.01"
 SPACES = "[\x20\x09-\x0d]+"
 
 
@@ -289,6 +291,74 @@ def test_language_id(spark, empty, odd):
     assert langid.predict(empty, model).count() == 0
 
 
+def language_by_hand(labelled, texts):
+    """(language, score) of each text: words by log frequency, other words by their longest known n-grams."""
+    langs = sorted({lang for _, lang in labelled})
+    letters = regex.compile(r"\p{L}+(?:['’]\p{L}+)*")
+    known, grams = ({lang: Counter() for lang in langs} for _ in range(2))
+    for text, lang in labelled:
+        for word in letters.findall((text or "").lower()):
+            known[lang][word] += 1
+            marked = "\x02" + word + "\x03"
+            grams[lang].update(marked[a : a + n] for n in range(1, 5) for a in range(len(marked) - n + 1))
+
+    def logs(counts):
+        every = set().union(*counts.values())
+        return {lang: {f: math.log((c[f] + 0.5) / (c.total() + 0.5 * len(every))) for f in every} for lang, c in counts.items()}
+
+    word_logs, gram_logs = logs(known), logs(grams)
+    floor = min(v for logs_ in gram_logs.values() for v in logs_.values())
+
+    def of_word(word, lang):
+        if word in word_logs[lang]:
+            return word_logs[lang][word]
+        rest, total = "\x02" + word + "\x03", 0.0
+        while rest:
+            n = next((n for n in (4, 3, 2, 1) if len(rest) >= n and rest[:n] in gram_logs[lang]), 0)
+            total += gram_logs[lang][rest[:n]] if n else floor
+            rest = rest[max(n, 1) :]
+        return total
+
+    out = []
+    for text in texts:
+        found = letters.findall((text or "").lower())
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        totals = {lang: sum(of_word(w, lang) for w in found) for lang in langs}
+        best = max(totals.values())
+        # Of equal totals the first language, but for what rounding does to sums.
+        first = next(lang for lang in langs if totals[lang] > best - 1e-9)
+        out.append((first, 1 / sum(math.exp((t - best) / len(found) ** 0.5) for t in totals.values())))
+    return out
+
+
+def test_language_by_hand(spark):
+    """Three languages, two of which learn the same: known and unseen words, ties, no letters, a very long text."""
+    rng = random.Random(9)
+    stock = {lang: ["".join(rng.choice(abc) for _ in range(rng.randrange(1, 7))) for _ in range(40)] for lang, abc in (("de", "abcdeü"), ("fr", "cdefghé"))}
+    labelled = [(" ".join(rng.choices(stock[lang], k=12)), lang) for lang in stock for _ in range(30)]
+    labelled += [(text, "fs") for text, lang in labelled if lang == "fr"] + [(None, "de"), ("", "fr")]
+    unseen = ["".join(rng.choice("abcdefghüéz") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choices(stock["de"] + stock["fr"] + unseen, k=rng.randrange(1, 9))) for _ in range(150)]
+    texts += [None, "", "12 -- 3!", "ÜÉ d'ab zzz", "Ω", " ".join(rng.choices(stock["fr"] + unseen, k=200_000)), texts[0]]
+    data = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(labelled)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in langid.predict(docs, langid.train(data.repartition(3))).collect()}
+    assert len(got) == len(texts)
+    for i, (lang, score) in enumerate(language_by_hand(labelled, texts)):
+        assert got[i].lang_pred == lang, texts[i]
+        assert got[i].score == pytest.approx(score, abs=1e-6), texts[i]
+    assert {r.lang_pred for r in got.values()} == {"de", "fr", "und"}  # never fs, which ties with fr
+
+
+def test_languages_of_held_out_documents(spark):
+    found = queries.op5_language_id(spark, SF_DIR).filter("held_out").drop("lang")
+    true = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang")
+    rows = found.join(true, "doc_id").filter("lang is not null and lang_pred <> 'und'").collect()
+    assert rows and sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
+
+
 def test_every_language_is_learned(spark):
     """Forty languages, one of them in few rows of the corpus."""
     rng = random.Random(3)
