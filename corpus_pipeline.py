@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``; the
 last returns the token ids. ``run`` writes each stage to the shared scratch folder and reads it again.
+
+In every stage an empty table gives an empty table, extra columns go whatever their names, and texts are
+taken whole, however long. Rows without an id, without a language, source or length, and rows that repeat
+are rows like others, but for what the stages say.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is told with LEAST_SCORE or more; those without letters go.
 
     The classifier learns from a bounded sample of the rows that have a ``lang``. If there is none,
-    nothing can be told and only texts without letters go.
+    nothing can be told and only texts without letters go. Null and empty texts have no letters.
     """
     model = langid.train(docs)
     if model.isEmpty():
@@ -31,25 +35,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that three or more of them share; ``n_chars`` follows."""
+    """All documents, without the lines that three or more of them share; ``n_chars`` follows.
+
+    Rows that repeat are documents of their own, and all that have the largest id keep a shared line. A
+    row without an id comes before all others. A null text becomes an empty one.
+    """
     found = linededup.drop_common_lines(docs, keep=("lang", "source"))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: a row with the smallest id."""
+    """One document of each group of near duplicates: a row with the smallest id.
+
+    Of rows that repeat it one stays; a row without an id stays only in a group without ids. Texts without
+    words, null ones too, are near nothing, not even each other, and all stay.
+    """
     found = neardup.near_duplicates(docs, SIMILARITY, keep=("text", "lang", "source", "n_chars"))
     return found.filter("first").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs; null and empty texts hold none.
+
+    Items without an id count like others.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.clean(docs.select(*COLUMNS), items, remove="documents", unnamed=True)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256): ids as little-endian 32-bit integers, and their decoding."""
+    """(doc_id, n_tokens, ids, decoded_sha256): ids as little-endian 32-bit integers, and their decoding.
+
+    One row per document; a null text is encoded like an empty one.
+    """
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
