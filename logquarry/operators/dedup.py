@@ -5,16 +5,20 @@ its message (ASCII case ignored). Anomalies are taken one by one, so an anomaly
 earlier in the same batch counts as an open alert too.
 
 "Contains" is turned into equality. A pattern is looked for by one part of it, its anchor: as long as the
-longest of ANCHORS that fits, and of these parts the one that the fewest other patterns hold. So a
+longest of ANCHORS that fits, and of these parts one that few other patterns hold. So a
 beginning that many messages share anchors none of them, and one short pattern does not shorten the anchors
-of others. Every position of a text gives one row per anchor length in use, with the hash of the part there
-and the characters that a pattern around it can reach; rows join anchors by the hash and are verified. Both
+of others. Every position of a text gives one hash per anchor length in use, with no more than the number of
+the text; hashes that meet are verified on the texts, which join by number. Both
 sides are reduced to distinct values first, however many alerts share a message.
+
+Tables that were written and read back compress so well that their file size says little about the rows
+they hold, and Spark would broadcast them. Joins with them are merge joins unless the size was counted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +28,10 @@ from logquarry.session import materialise
 
 PREFIX_CHARS = 50
 ANCHORS = (1, 2, 4, 8, 16, 32)
+# Texts of so many characters in all are few: their parts are broadcast.
+FEW_CHARS = 50_000
+# Columns that anomalies are ordered by behind the order asked for.
+LAST = ("message", "details")
 
 # Gives the pattern of an anomaly from its message, in the spelling of the message.
 DedupKey = Callable[[Column], Column]
@@ -44,132 +52,161 @@ def after(preamble: str) -> DedupKey:
     return key
 
 
-def _anchored(patterns: DataFrame) -> DataFrame:
-    """(severity, pattern, k, gram, offset) of every pattern that is not empty: its rarest part of k characters."""
+def _part(text: str, at: str) -> Column:
+    """Hash of the k characters of ``text`` at a position, of one severity."""
+    return F.expr(f"xxhash64(severity, k, substr({text}, {at}, k))")
+
+
+def _with_length(patterns: DataFrame) -> DataFrame:
+    """Patterns that are not empty, with the length of their anchor."""
     lengths = "CASE " + " ".join(f"WHEN length(pattern) >= {k} THEN {k}" for k in reversed(ANCHORS)) + " END"
+    return patterns.filter(F.length("pattern") > 0).withColumn("k", F.expr(lengths))
+
+
+def _anchored(patterns: DataFrame) -> DataFrame:
+    """Distinct patterns that are not empty, each with (k, gram): a rare part of k characters.
+
+    Parts begin a quarter of k apart, and one ends the pattern, so that any 3/4 k characters lie in one of them.
+    """
+    named = patterns.columns
     parts = (
-        patterns.select("severity", "pattern")
-        .filter(F.length("pattern") > 0)
-        .distinct()
-        .withColumn("k", F.expr(lengths))
-        .selectExpr("severity", "pattern", "k", "explode(sequence(1, length(pattern) - k + 1)) AS offset")
-        .withColumn("gram", F.expr("xxhash64(substr(pattern, offset, k))"))
+        _with_length(patterns)
+        .selectExpr("*", "length(pattern) - k + 1 AS last")
+        .selectExpr("*", "explode(array_union(sequence(1, last, greatest(k div 4, 1)), array(last))) AS offset")
+        .withColumn("gram", _part("pattern", "offset"))
     )
-    holders = parts.groupBy("severity", "k", "gram").agg(F.count_distinct("pattern").alias("holders"))
-    # Of equally rare parts the last one.
-    choice = F.min(F.struct("holders", (-F.col("offset")).alias("back"), "gram")).alias("best")
-    best = parts.join(holders, ["severity", "k", "gram"]).groupBy("severity", "pattern", "k").agg(choice)
-    return best.select("severity", "pattern", "k", F.col("best.gram").alias("gram"), (-F.col("best.back")).alias("offset"))
-
-
-def _contained(messages: DataFrame, patterns: DataFrame, *carry: str) -> DataFrame:
-    """(severity, pattern, carry...) for every pattern that a message of its severity contains."""
-    anchors = _anchored(patterns)
-    in_use = patterns.select(
-        F.expr("array(" + ", ".join(
-            f"max(if(length(pattern) >= {k} AND length(pattern) < {next((n for n in ANCHORS if n > k), 1 << 30)}, {k}, NULL))" for k in ANCHORS
-        ) + ")").alias("k")
-    )
-    spread = (
-        messages.withColumn("k", F.explode(F.array_compact(in_use.scalar())))
+    holders = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("holders"))
+    met = parts.join(holders.hint("merge"), "gram")
+    # Of equally rare parts the last one. One number, as Spark aggregates structs by sorting.
+    best = met.groupBy(*named, "k").agg(F.expr(f"min(holders * {1 << 20} - least(offset, {(1 << 20) - 1}))").alias("best"))
+    offset = f"{1 << 20} - pmod(best - 1, {1 << 20}) - 1"
+    return best.withColumn("gram", _part("pattern", f"cast({offset} AS int)")).select(*named, "k", "gram")
+
+
+def _parts_of(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(text_id, gram) of every position of a text, for the anchor lengths that patterns have."""
+    used = _with_length(patterns).agg(F.collect_set("k").alias("k"))
+    return (
+        texts.withColumn("k", F.explode(used.scalar()))
         .filter(F.length("text") >= F.col("k"))
-        .selectExpr("severity", *carry, "text", "k", "explode(sequence(1, length(text) - k + 1)) AS i")
-        .selectExpr(
-            "severity",
-            *carry,
-            "k",
-            "xxhash64(substr(text, i, k)) AS gram",
-            # What lies up to PREFIX_CHARS before and after this position; ``i`` becomes the place in it.
-            f"substr(text, greatest(i - {PREFIX_CHARS}, 1), {2 * PREFIX_CHARS}) AS window",
-            f"i - greatest(i - {PREFIX_CHARS}, 1) + 1 AS i",
-        )
+        .selectExpr("*", "explode(sequence(1, length(text) - k + 1)) AS i")
+        .select("text_id", _part("text", "i").alias("gram"))
     )
-    hit = F.expr("i >= offset AND substr(window, i - offset + 1, length(pattern)) = pattern")
-    found = spread.join(anchors, ["severity", "k", "gram"]).filter(hit).select("severity", "pattern", *carry)
-    # The empty pattern is contained in every message.
-    empty = patterns.filter(F.col("pattern") == "").select("severity", "pattern").distinct()
-    return found.unionByName(messages.filter("text IS NOT NULL").join(empty, "severity").select("severity", "pattern", *carry)).distinct()
+
+
+def _links(texts: DataFrame, patterns: DataFrame, same: bool = False) -> DataFrame:
+    """(pattern_id, text_id) where a text of (text_id, severity, text) contains a pattern of (pattern_id, severity, pattern).
+
+    With ``same`` the ids of both sides are those of the same rows, and no row is linked with itself.
+    """
+    other = F.col("text_id") != F.col("pattern_id") if same else F.lit(True)
+    anchors = _anchored(patterns).select("gram", "pattern_id", "pattern")
+    met = _parts_of(texts, patterns).join(anchors.hint("merge"), "gram").filter(other)
+    held = texts.select("text_id", "text").hint("merge")
+    found = met.join(held, "text_id").filter(F.contains("text", "pattern")).select("pattern_id", "text_id").distinct()
+    # The empty pattern, one per severity at most, is contained in every text.
+    empty = patterns.filter(F.col("pattern") == "").select("pattern_id", "severity")
+    every = texts.filter("text IS NOT NULL").join(F.broadcast(empty), "severity").filter(other)
+    return found.unionByName(every.select("pattern_id", "text_id"))
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """Written out with a number for each row."""
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def _contained(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(severity, pattern) of every pattern that a text of its severity contains."""
+    patterns = _numbered(patterns.select("severity", "pattern").distinct(), "pattern_id")
+    links = _links(_numbered(texts.select("severity", "text"), "text_id"), patterns)
+    return patterns.join(links.hint("merge"), "pattern_id", "left_semi").select("severity", "pattern")
 
 
 def first_per_pattern(anomalies: DataFrame, order: tuple[str, ...], key: DedupKey = beginning) -> DataFrame:
-    """The first anomaly of each (severity, pattern), with the pattern and its order as columns.
+    """The first anomaly of each (severity, pattern), as ``row``, with the pattern.
 
     Partial aggregation keeps one candidate per map task, so a pattern shared by a third of all
     anomalies is no hot group (a ranking window would be).
     """
-    pattern = ascii_lower(key(F.col("message")))
     rows = anomalies.select(
         F.struct(*anomalies.columns).alias("row"),
         F.col("severity"),
-        pattern.alias("pattern"),
-        F.struct(*order, "message", "details").alias("seq"),
-    )
-    return rows.groupBy("severity", "pattern").agg(
-        F.min_by("row", "seq").alias("row"), F.min("seq").alias("seq")
+        ascii_lower(key(F.col("message"))).alias("pattern"),
+        F.struct(*order, *LAST).alias("seq"),
     )
+    return rows.groupBy("severity", "pattern").agg(F.min_by("row", "seq").alias("row"))
+
+
+def _seq(order: tuple[str, ...]) -> Column:
+    """The place of a first anomaly in the order."""
+    return F.struct(*[F.col("row")[name].alias(name) for name in (*order, *LAST)])
 
 
-def drop_known(firsts: DataFrame, open_alerts: DataFrame) -> DataFrame:
-    """Without the patterns that an open alert of the same severity contains."""
+def _known(firsts: DataFrame, open_alerts: DataFrame) -> DataFrame:
+    """Ids of the patterns that an open alert of the same severity contains."""
     texts = open_alerts.select("severity", ascii_lower(F.col("message")).alias("text")).distinct()
-    known = _contained(texts, firsts.select("severity", "pattern"))
-    return firsts.join(known, ["severity", "pattern"], "left_anti")
+    texts = _numbered(texts, "text_id")
+    patterns = firsts.select(F.col("id").alias("pattern_id"), "severity", "pattern")
+    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if chars <= FEW_CHARS:
+        # Patterns of which the first part is in no text need no anchor.
+        grams = F.broadcast(_parts_of(texts, patterns).select("gram").distinct())
+        begun = _with_length(patterns).withColumn("gram", _part("pattern", "1")).join(grams, "gram", "left_semi")
+        begun = begun.select(*patterns.columns)
+        patterns = materialise(begun.unionByName(patterns.filter(F.col("pattern") == "")))
+    return materialise(_links(texts, patterns).select(F.col("pattern_id").alias("id")).distinct())
 
 
-def _blocks(firsts: DataFrame) -> DataFrame:
-    """(key, by): pattern ``key`` is contained in the earlier anomaly of pattern ``by``.
+def _blocks(firsts: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """(key, by): the pattern of the anomaly ``key`` is contained in the earlier anomaly ``by``.
 
     A pattern is unique per severity, so there is at most one row per substring of a message.
     """
-    key = F.struct("severity", "pattern")
-    own = firsts.select("severity", "pattern", key.alias("key"), F.col("seq").alias("own_seq"))
-    texts = firsts.select(
-        "severity",
-        ascii_lower(F.col("row.message")).alias("text"),
-        key.alias("by"),
-        "seq",
-    )
-    found = _contained(texts, firsts.select("severity", "pattern"), "by", "seq")
+    texts = firsts.select(F.col("id").alias("text_id"), "severity", ascii_lower(F.col("row.message")).alias("text"))
+    patterns = firsts.select(F.col("id").alias("pattern_id"), "severity", "pattern")
+    found = materialise(_links(texts, patterns, same=True))
+    if found.isEmpty():
+        return found.select(F.col("pattern_id").alias("key"), F.col("text_id").alias("by"))
+    key = firsts.select(F.col("id").alias("key"), _seq(order).alias("key_seq"))
+    by = firsts.select(F.col("id").alias("by"), _seq(order).alias("by_seq"))
     return (
-        found.join(own, ["severity", "pattern"])
-        .filter(F.col("seq") < F.col("own_seq"))
+        found.select(F.col("pattern_id").alias("key"), F.col("text_id").alias("by"))
+        .join(key.hint("merge"), "key")
+        .join(by.hint("merge"), "by")
+        .filter(F.col("by_seq") < F.col("key_seq"))
         .select("key", "by")
     )
 
 
-def keep_in_order(firsts: DataFrame) -> DataFrame:
-    """Drop what an earlier kept anomaly of the same batch contains.
+def _covered(firsts: DataFrame, order: tuple[str, ...]) -> DataFrame | None:
+    """Ids of what an earlier kept anomaly of the same batch contains; None when there is nothing to resolve.
 
     Whether an anomaly is kept depends on the fate of the earlier ones, so the blocking pairs are
     resolved in rounds: blocked by a kept one means dropped, blocked only by dropped ones means
     kept. Messages that contain each other's beginnings are rare, so there is usually nothing to
-    resolve and no round at all.
+    resolve and no round at all. A round needs the verdicts of the last one only: pairs whose ``by`` was
+    dropped go with it, and those whose ``by`` was kept go with their key.
     """
-    open_pairs = materialise(_blocks(firsts))
+    open_pairs = materialise(_blocks(firsts, order))
     if open_pairs.isEmpty():
-        return firsts
-    blocked = open_pairs.select("key").distinct()
-    decided = materialise(
-        open_pairs.select(F.col("by").alias("node"))
-        .distinct()
-        .join(blocked, F.col("node") == F.col("key"), "left_anti")
-        .withColumn("kept", F.lit(True))
-    )
+        return None
+    blocked = open_pairs.select(F.col("key").alias("node")).distinct()
+    free = open_pairs.select(F.col("by").alias("node")).distinct().join(blocked.hint("merge"), "node", "left_anti")
+    verdict = materialise(free.withColumn("kept", F.lit(True)))
+    dropped = []
     while not open_pairs.isEmpty():
-        verdict = (
-            open_pairs.join(decided, F.col("by") == F.col("node"), "left")
-            .groupBy("key")
+        seen = open_pairs.join(verdict.withColumnRenamed("node", "by").hint("merge"), "by", "left")
+        verdict = materialise(
+            seen.groupBy(F.col("key").alias("node"))
             .agg(F.max("kept").alias("by_kept"), F.count_if(F.col("kept").isNull()).alias("waiting"))
             .filter(F.col("by_kept") | (F.col("waiting") == 0))
-            .select(F.col("key").alias("node"), (~F.col("by_kept")).alias("kept"))
-        )
-        verdict = materialise(verdict)
-        decided = materialise(decided.unionByName(verdict))
-        open_pairs = materialise(
-            open_pairs.join(verdict, F.col("key") == F.col("node"), "left_anti")
+            .select("node", (~F.col("by_kept")).alias("kept"))
         )
-    dropped = decided.filter(~F.col("kept")).select("node.severity", "node.pattern")
-    return firsts.join(dropped, ["severity", "pattern"], "left_anti")
+        dropped.append(verdict.filter(~F.col("kept")).select(F.col("node").alias("id")))
+        decided = verdict.select(F.col("node").alias("key")).hint("merge")
+        waiting = seen.filter(F.col("kept").isNull()).select("key", "by")
+        open_pairs = materialise(waiting.join(decided, "key", "left_anti"))
+    return reduce(DataFrame.unionByName, dropped)
 
 
 ORDER = ("detector_seq", "log_id")
@@ -182,8 +219,11 @@ def deduplicate(
     dedup_key: DedupKey = beginning,
 ) -> DataFrame:
     """The anomalies that become alerts, given the open alerts of the look-back window."""
-    firsts = materialise(drop_known(first_per_pattern(anomalies, order, dedup_key), open_alerts))
-    return keep_in_order(firsts).select("row.*")
+    firsts = _numbered(first_per_pattern(anomalies, order, dedup_key), "id")
+    fresh = materialise(firsts.join(_known(firsts, open_alerts).hint("merge"), "id", "left_anti"))
+    covered = _covered(fresh, order)
+    kept = fresh if covered is None else fresh.join(covered.hint("merge"), "id", "left_anti")
+    return kept.select("row.*")
 
 
 def outcomes(
@@ -198,21 +238,20 @@ def outcomes(
     that was kept before it in this batch does; ``same_pattern``: it shares the pattern of an anomaly
     before it, which became an alert. Anomalies that agree in everything share their outcome.
     """
-    firsts = materialise(first_per_pattern(anomalies, order, dedup_key))
-    fresh = materialise(drop_known(firsts, open_alerts))
-    kept = keep_in_order(fresh)
-
-    def marked(rows: DataFrame, fate: str) -> DataFrame:
-        return rows.select("severity", "pattern", "seq", F.lit(fate).alias("fate"))
-
-    # The furthest that a pattern got: seen, not held by an open alert, kept.
-    reached = marked(firsts, "0").unionByName(marked(fresh, "1")).unionByName(marked(kept, "2"))
-    fate = reached.groupBy("severity", "pattern").agg(F.max("fate").alias("_fate"), F.min("seq").alias("_first"))
-    names = F.when(F.col("_fate") == "0", "open_alert").when(F.col("_fate") == "1", "earlier_anomaly").otherwise("alert")
-    fate = fate.select(F.col("severity").alias("_severity"), F.col("pattern").alias("_pattern"), "_first", names.alias("_fate"))
-    rows = anomalies.withColumns(
-        {"_own": ascii_lower(dedup_key(F.col("message"))), "_seq": F.struct(*order, "message", "details")}
+    firsts = _numbered(first_per_pattern(anomalies, order, dedup_key), "id")
+    known = _known(firsts, open_alerts)
+    covered = _covered(materialise(firsts.join(known.hint("merge"), "id", "left_anti")), order)
+    lost = known.withColumn("_lost", F.lit("open_alert"))
+    if covered is not None:
+        lost = lost.unionByName(covered.withColumn("_lost", F.lit("earlier_anomaly")))
+    fate = firsts.join(lost.hint("merge"), "id", "left").select(
+        F.col("severity").alias("_severity"),
+        F.col("pattern").alias("_pattern"),
+        _seq(order).alias("_first"),
+        F.coalesce("_lost", F.lit("alert")).alias("_fate"),
     )
-    met = rows.join(fate, F.col("severity").eqNullSafe(F.col("_severity")) & F.col("_own").eqNullSafe(F.col("_pattern")))
-    repeated = (F.col("_fate") == "alert") & ~F.col("_seq").eqNullSafe(F.col("_first"))
+    rows = anomalies.withColumn("_own", ascii_lower(dedup_key(F.col("message"))))
+    same = F.col("severity").eqNullSafe(F.col("_severity")) & F.col("_own").eqNullSafe(F.col("_pattern"))
+    met = rows.join(fate.hint("merge"), same)
+    repeated = (F.col("_fate") == "alert") & ~F.struct(*order, *LAST).eqNullSafe(F.col("_first"))
     return met.select(*anomalies.columns, F.when(repeated, "same_pattern").otherwise(F.col("_fate")).alias("outcome"))

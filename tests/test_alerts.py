@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,3 +222,13 @@ def test_key_behind_the_preamble(spark, make_alerts):
     assert sorted(r.log_id for r in keyed) == ["0", "2", "4"]
     held = make_alerts([("al", "medium", preamble + same + "CASE 1", ago(), False)])
     assert sorted(r.log_id for r in deduplicate(anomalies_of(spark, rows), held, dedup_key=dedup.after(preamble)).collect()) == ["0", "4"]
+
+
+def test_written_tables_are_not_broadcast(spark):
+    """A small file may hold many positions of texts: neither side of the join by part is broadcast."""
+    rows = [("low", f"{i:04d} is a message") for i in range(50)]
+    texts = dedup.materialise(spark.createDataFrame(rows, "severity string, text string"))
+    patterns = dedup.materialise(texts.select("severity", F.substr("text", F.lit(2)).alias("pattern")))
+    found = dedup._contained(texts, patterns)
+    assert not re.search(r"BroadcastHashJoin[^\n]*gram", found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == 50
