@@ -125,8 +125,8 @@ def deep_search(
 ) -> Page:
     """The same page as ``search``, found by counting first (see ``skip_ahead``).
 
-    Runs a few small jobs right away: three to five for the time, and two for every factor of about 64
-    among the rows of one instant.
+    Runs a few small jobs right away: up to five for the time, one when a month holds one instant only, and
+    three for every factor of about 4,000 among the rows of one instant.
     """
     size, skip = page_arguments(limit, offset)
     matches = matching(df, q, level, source, start, end)
@@ -137,6 +137,8 @@ def deep_search(
 # Rows that a page may skip in one place, and ids that divide those of one instant.
 KEPT = 1000
 BORDERS = 64
+# Ids (alone, without their rows) that may be put in order in one place.
+PICKED = 100_000
 _UNITS = (
     ("month", "1 month"),
     ("hour", "1 hour"),
@@ -152,7 +154,7 @@ def skip_ahead(matches: DataFrame, skip: int) -> tuple[DataFrame, int]:
     A top-k keeps offset + limit rows per task and merges them in one place. Counting the matches
     per month, then per hour of the month reached, then down to the microsecond tells how many
     rows lie above each boundary; among the rows of one instant, ids are counted in ranges. Below the
-    second it ends when no more than KEPT rows remain to be skipped.
+    second it ends when no more than KEPT rows remain to be skipped. Rows of one instant go on to the ids at once.
     """
     inside = matches
     for unit, width in _UNITS:
@@ -161,12 +163,12 @@ def skip_ahead(matches: DataFrame, skip: int) -> tuple[DataFrame, int]:
         counts = (
             inside.filter(F.col("timestamp").isNotNull())
             .groupBy(F.date_trunc(unit, "timestamp").alias("begin"))
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"))
             .orderBy(F.desc("begin"))
-            .select(F.col("begin").cast("string"), "n")
+            .select(F.col("begin").cast("string"), "n", F.col("oldest").cast("string"), F.col("oldest") == F.col("newest"))
             .collect()
         )
-        for begin, n in counts:
+        for begin, n, oldest, instant_only in counts:
             if n > skip:
                 break
             skip -= n
@@ -175,31 +177,39 @@ def skip_ahead(matches: DataFrame, skip: int) -> tuple[DataFrame, int]:
             undated = matches.filter(F.col("timestamp").isNull())
             first, skip = _skip_ids(undated, skip)
             return undated.filter(first), skip
+        if instant_only:
+            begin, width = oldest, _UNITS[-1][1]
         low = F.lit(begin).cast("timestamp")
         below = F.col("timestamp") < low + F.expr(f"INTERVAL {width}")
         matches = matches.filter(below)
         inside = matches.filter(F.col("timestamp") >= low)
-    first, skip = _skip_ids(inside, skip)
+        if instant_only:
+            break
+    first, skip = _skip_ids(inside, skip, n)
     return matches.filter((F.col("timestamp") < low) | first), skip
 
 
-def _skip_ids(rows: DataFrame, skip: int) -> tuple[Column, int]:
-    """Of rows with one timestamp those from some id on, and what remains to be skipped among them.
+def _skip_ids(rows: DataFrame, skip: int, n: int | None = None) -> tuple[Column, int]:
+    """Of ``n`` rows with one timestamp those from some id on, and what remains to be skipped among them.
 
-    Every round draws BORDERS ids by hash and counts the rows between and at them (at most 129 counts), and
-    goes on inside the range reached. Rows that share an id are not told apart.
+    BORDERS squared ids are drawn by hash. Every round counts the rows between and at BORDERS of them (at most 129
+    counts) and goes on inside the range reached, with the drawn ids that lie in it. Ids of a range of PICKED rows
+    are put in order instead. Rows that share an id are not told apart.
     """
     first = F.lit(True)
+    inside: list[str] = []
     while skip > KEPT:
-        drawn = rows.filter(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").select("id").limit(BORDERS)
-        borders = sorted({row["id"] for row in drawn.collect()})
-        if not borders:
+        if n is not None and n <= PICKED:
+            ahead = rows.select("id").orderBy("id").limit(skip + 1).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+            border, held = ahead.agg(F.max("id"), F.max_by("n", "id")).first()
+            return (first, skip) if border is None else (F.col("id") >= border, held - 1)
+        if not inside:
+            drawn = rows.filter(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").select("id").limit(BORDERS**2)
+            inside = sorted({row["id"] for row in drawn.collect()})
+        if not inside:
             break
-        listed = F.array(*map(F.lit, borders))
-        # Even numbers lie between two borders, odd ones at a border; a null id comes before all.
-        below = F.size(F.filter(listed, lambda border: border < F.col("id")))
-        at = F.coalesce(F.array_contains(listed, F.col("id")).cast("int"), F.lit(0))
-        counts = dict(rows.groupBy((2 * below + at).alias("range")).agg(F.count(F.lit(1)).alias("n")).collect())
+        borders = inside[:: -(-len(inside) // BORDERS)]
+        counts = dict(_places(rows, borders).groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect())
         for place in range(2 * len(borders) + 1):
             n = counts.get(place, 0)
             if n > skip:
@@ -213,11 +223,30 @@ def _skip_ids(rows: DataFrame, skip: int) -> tuple[Column, int]:
         if j:
             first = F.col("id") > borders[j - 1]
             rows = rows.filter(first)
+            inside = [drawn_id for drawn_id in inside if drawn_id > borders[j - 1]]
         if j < len(borders):
             rows = rows.filter(F.col("id").isNull() | (F.col("id") < borders[j]))
+            inside = inside[: inside.index(borders[j])]
     return first, skip
 
 
+def _places(rows: DataFrame, borders: list[str]) -> DataFrame:
+    """The ``range`` of every id: even between two borders, odd at a border; a null id comes before all.
+
+    The number of borders below an id is found by halving, a step per column.
+    """
+    listed = F.array(*map(F.lit, borders))
+    places = rows.select("id", F.lit(0).alias("below"))
+    step = 1 << (len(borders).bit_length() - 1)
+    while step:
+        # Beyond the last border there is null.
+        further = F.get(listed, F.col("below") + (step - 1)) < F.col("id")
+        places = places.select("id", (F.col("below") + F.when(further, step).otherwise(0)).alias("below"))
+        step //= 2
+    at = F.coalesce(F.col("id").isin(borders).cast("int"), F.lit(0))
+    return places.select((2 * F.col("below") + at).alias("range"))
+
+
 def recent(df: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` logs."""
     return df.select(*LOG_FIELDS).orderBy(F.desc("timestamp"), "id").limit(n)
