@@ -232,3 +232,13 @@ def test_written_tables_are_not_broadcast(spark):
     found = dedup._contained(texts, patterns)
     assert not re.search(r"BroadcastHashJoin[^\n]*gram", found._jdf.queryExecution().executedPlan().toString())
     assert found.count() == 50
+
+
+def test_positions_carry_no_texts(spark):
+    """A position of a text is shuffled as two numbers; the whole text is compared, however long the pattern."""
+    long = "".join(chr(97 + i * i % 23) for i in range(130))
+    texts = spark.createDataFrame([("low", "x" * 80 + long + "y"), ("low", long[:-1])], "severity string, text string")
+    patterns = spark.createDataFrame([("low", long), ("low", long + "z"), ("high", long)], "severity string, pattern string")
+    assert [tuple(r) for r in dedup._contained(texts, patterns).collect()] == [("low", long)]
+    parts = dedup._parts_of(texts.withColumn("text_id", F.lit(1)), patterns)
+    assert parts.columns == ["text_id", "gram"] and parts.count() == 211 - 31 + 129 - 31
