@@ -49,8 +49,9 @@ def ascii_lower(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without Latin diacritics."""
-    return F.translate(F.lower(text), _ACCENTED, _PLAIN)
+    """Lower case without Latin diacritics; a text of single bytes has none."""
+    lowered = F.lower(text)
+    return F.when(F.octet_length(text) == F.length(text), lowered).otherwise(F.translate(lowered, _ACCENTED, _PLAIN))
 
 
 def tokens(text: Column) -> Column:

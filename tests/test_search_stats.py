@@ -1,11 +1,14 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import NOW, ago
+from logquarry.functions import text as text_fns
 from logquarry.functions.text import words
 from logquarry.operators import features, search, stats, terms
+from logquarry.plans import queries
 
 ROWS = [
     ("1", "2026-03-01 10:00:00", "error", "api-server", "Connection timeout to database"),
@@ -179,3 +182,15 @@ def test_word_split_matches_python(spark):
     texts = ["".join(random.Random(i).choices("ab \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　​À", k=30)) for i in range(50)]
     df = spark.createDataFrame([(t, t.lower().split()) for t in texts], "t string, want array<string>")
     assert df.filter(words(F.lower("t")) != F.col("want")).count() == 0
+
+
+def test_plain_texts_are_folded_without_a_table(spark):
+    """Postings are sorted by term first, and only texts with characters of several bytes lose diacritics."""
+    texts = ["", "Plain ABC", "\u00c9T\u00c9 Plain", "e\u0301", "\u0130x", "\u212aelvin", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    folded = [r.f for r in rows.select(text_fns.fold(F.col("t")).alias("f")).collect()]
+    whole = F.translate(F.lower("t"), text_fns._ACCENTED, text_fns._PLAIN)
+    assert folded == [r.f for r in rows.select(whole.alias("f")).collect()]
+    assert folded[:4] == ["", "plain abc", "ete plain", "e"]
+    plan = queries.all_queries()["term_index"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Sort \[term#\d+ ASC", plan)
