@@ -30,6 +30,8 @@ PREFIX_CHARS = 50
 ANCHORS = (1, 2, 4, 8, 16, 32)
 # Texts of so many characters in all are few: their parts are broadcast.
 FEW_CHARS = 50_000
+# So many ids are few: they are broadcast.
+FEW_IDS = 100_000
 # Columns that anomalies are ordered by behind the order asked for.
 LAST = ("message", "details")
 
@@ -94,12 +96,12 @@ def _parts_of(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     )
 
 
-def _links(texts: DataFrame, patterns: DataFrame, same: bool = False) -> DataFrame:
+def _links(texts: DataFrame, patterns: DataFrame, earlier: bool = False) -> DataFrame:
     """(pattern_id, text_id) where a text of (text_id, severity, text) contains a pattern of (pattern_id, severity, pattern).
 
-    With ``same`` the ids of both sides are those of the same rows, and no row is linked with itself.
+    With ``earlier`` only texts of a smaller id than the pattern's; others are left out before they are shuffled.
     """
-    other = F.col("text_id") != F.col("pattern_id") if same else F.lit(True)
+    other = F.col("text_id") < F.col("pattern_id") if earlier else F.lit(True)
     anchors = _anchored(patterns).select("gram", "pattern_id", "pattern")
     met = _parts_of(texts, patterns).join(anchors.hint("merge"), "gram").filter(other)
     held = texts.select("text_id", "text").hint("merge")
@@ -115,6 +117,21 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
     return materialise(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def _in_order(firsts: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """The first anomalies, written out with an ``id`` that grows with their place in the order.
+
+    Ranges go by the beginnings of messages, since a sample of what they go by is sent to the driver.
+    """
+    row = F.col("row")
+    ranges = firsts.repartitionByRange(*[row[name] for name in order], beginning(row["message"]))
+    return _numbered(ranges.sortWithinPartitions(*[row[name] for name in (*order, *LAST)]), "id")
+
+
+def _counted(ids: DataFrame) -> DataFrame:
+    """Written ids as the smaller side of a join: broadcast when they were counted and are few."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids.hint("merge")
+
+
 def _contained(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(severity, pattern) of every pattern that a text of its severity contains."""
     patterns = _numbered(patterns.select("severity", "pattern").distinct(), "pattern_id")
@@ -126,15 +143,19 @@ def first_per_pattern(anomalies: DataFrame, order: tuple[str, ...], key: DedupKe
     """The first anomaly of each (severity, pattern), as ``row``, with the pattern.
 
     Partial aggregation keeps one candidate per map task, so a pattern shared by a third of all
-    anomalies is no hot group (a ranking window would be).
+    anomalies is no hot group (a ranking window would be). The candidate is the least struct that begins
+    with the order, which holds every column once.
     """
+    placed = list(dict.fromkeys((*order, *LAST)))
+    others = [name for name in anomalies.columns if name not in placed]
     rows = anomalies.select(
-        F.struct(*anomalies.columns).alias("row"),
+        F.struct(*placed, *others).alias("least"),
         F.col("severity"),
         ascii_lower(key(F.col("message"))).alias("pattern"),
-        F.struct(*order, *LAST).alias("seq"),
     )
-    return rows.groupBy("severity", "pattern").agg(F.min_by("row", "seq").alias("row"))
+    row = F.struct(*[F.col("least")[name].alias(name) for name in anomalies.columns])
+    least = rows.groupBy("severity", "pattern").agg(F.min("least").alias("least"))
+    return least.select("severity", "pattern", row.alias("row"))
 
 
 def _seq(order: tuple[str, ...]) -> Column:
@@ -157,37 +178,29 @@ def _known(firsts: DataFrame, open_alerts: DataFrame) -> DataFrame:
     return materialise(_links(texts, patterns).select(F.col("pattern_id").alias("id")).distinct())
 
 
-def _blocks(firsts: DataFrame, order: tuple[str, ...]) -> DataFrame:
+def _blocks(firsts: DataFrame) -> DataFrame:
     """(key, by): the pattern of the anomaly ``key`` is contained in the earlier anomaly ``by``.
 
-    A pattern is unique per severity, so there is at most one row per substring of a message.
+    Ids are in order. A pattern is unique per severity, so there is at most one row per substring of a message.
     """
-    texts = firsts.select(F.col("id").alias("text_id"), "severity", ascii_lower(F.col("row.message")).alias("text"))
+    texts = firsts.select(F.col("id").alias("text_id"), "severity", ascii_lower(F.col("message")).alias("text"))
     patterns = firsts.select(F.col("id").alias("pattern_id"), "severity", "pattern")
-    found = materialise(_links(texts, patterns, same=True))
-    if found.isEmpty():
-        return found.select(F.col("pattern_id").alias("key"), F.col("text_id").alias("by"))
-    key = firsts.select(F.col("id").alias("key"), _seq(order).alias("key_seq"))
-    by = firsts.select(F.col("id").alias("by"), _seq(order).alias("by_seq"))
-    return (
-        found.select(F.col("pattern_id").alias("key"), F.col("text_id").alias("by"))
-        .join(key.hint("merge"), "key")
-        .join(by.hint("merge"), "by")
-        .filter(F.col("by_seq") < F.col("key_seq"))
-        .select("key", "by")
-    )
+    found = _links(texts, patterns, earlier=True)
+    return found.select(F.col("pattern_id").alias("key"), F.col("text_id").alias("by"))
 
 
-def _covered(firsts: DataFrame, order: tuple[str, ...]) -> DataFrame | None:
+def _covered(firsts: DataFrame) -> DataFrame | None:
     """Ids of what an earlier kept anomaly of the same batch contains; None when there is nothing to resolve.
 
+    First anomalies come as (id, severity, pattern, message), with ids in order.
+
     Whether an anomaly is kept depends on the fate of the earlier ones, so the blocking pairs are
     resolved in rounds: blocked by a kept one means dropped, blocked only by dropped ones means
     kept. Messages that contain each other's beginnings are rare, so there is usually nothing to
     resolve and no round at all. A round needs the verdicts of the last one only: pairs whose ``by`` was
     dropped go with it, and those whose ``by`` was kept go with their key.
     """
-    open_pairs = materialise(_blocks(firsts, order))
+    open_pairs = materialise(_blocks(firsts))
     if open_pairs.isEmpty():
         return None
     blocked = open_pairs.select(F.col("key").alias("node")).distinct()
@@ -219,10 +232,10 @@ def deduplicate(
     dedup_key: DedupKey = beginning,
 ) -> DataFrame:
     """The anomalies that become alerts, given the open alerts of the look-back window."""
-    firsts = _numbered(first_per_pattern(anomalies, order, dedup_key), "id")
-    fresh = materialise(firsts.join(_known(firsts, open_alerts).hint("merge"), "id", "left_anti"))
-    covered = _covered(fresh, order)
-    kept = fresh if covered is None else fresh.join(covered.hint("merge"), "id", "left_anti")
+    firsts = _in_order(first_per_pattern(anomalies, order, dedup_key), order)
+    fresh = materialise(firsts.join(_counted(_known(firsts, open_alerts)), "id", "left_anti"))
+    covered = _covered(fresh.select("id", "severity", "pattern", "row.message"))
+    kept = fresh if covered is None else fresh.join(_counted(covered), "id", "left_anti")
     return kept.select("row.*")
 
 
@@ -238,13 +251,15 @@ def outcomes(
     that was kept before it in this batch does; ``same_pattern``: it shares the pattern of an anomaly
     before it, which became an alert. Anomalies that agree in everything share their outcome.
     """
-    firsts = _numbered(first_per_pattern(anomalies, order, dedup_key), "id")
+    needed = list(dict.fromkeys(("severity", *order, *LAST)))
+    firsts = _in_order(first_per_pattern(anomalies.select(*needed), order, dedup_key), order)
     known = _known(firsts, open_alerts)
-    covered = _covered(materialise(firsts.join(known.hint("merge"), "id", "left_anti")), order)
+    fresh = firsts.select("id", "severity", "pattern", "row.message").join(_counted(known), "id", "left_anti")
+    covered = _covered(materialise(fresh))
     lost = known.withColumn("_lost", F.lit("open_alert"))
     if covered is not None:
         lost = lost.unionByName(covered.withColumn("_lost", F.lit("earlier_anomaly")))
-    fate = firsts.join(lost.hint("merge"), "id", "left").select(
+    fate = firsts.join(_counted(lost), "id", "left").select(
         F.col("severity").alias("_severity"),
         F.col("pattern").alias("_pattern"),
         _seq(order).alias("_first"),

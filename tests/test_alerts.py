@@ -242,3 +242,43 @@ def test_positions_carry_no_texts(spark):
     assert [tuple(r) for r in dedup._contained(texts, patterns).collect()] == [("low", long)]
     parts = dedup._parts_of(texts.withColumn("text_id", F.lit(1)), patterns)
     assert parts.columns == ["text_id", "gram"] and parts.count() == 211 - 31 + 129 - 31
+
+
+def test_ids_of_first_anomalies_are_in_order(spark):
+    """Ids stand for the order, nulls first, also where many anomalies share a log and a long beginning."""
+    rng = random.Random(7)
+    rows = [(rng.choice([None, "a", "b"]), "t", "low", f"{'m' * rng.choice([1, 60])}{i}", None, rng.choice([None, 0, 1])) for i in range(300)]
+    firsts = dedup.first_per_pattern(spark.createDataFrame(rows, ANOMALIES).repartition(5), dedup.ORDER, lambda message: message)
+    found = [r.row for r in dedup._in_order(firsts, dedup.ORDER).orderBy("id").collect()]
+    place = lambda r: (r.detector_seq is not None, r.detector_seq or 0, r.log_id or "", r.message)
+    assert len(found) == 300 and found == sorted(found, key=place)
+
+
+def test_pairs_are_shuffled_only_with_earlier_texts(spark):
+    """Pairs are resolved by ids alone: later texts are left out by the join by part, no join fetches the order."""
+    rows = [(i, "low", f"{i:02d} is a message", f"{'' if i % 2 else 'so '}{i - i % 2:02d} is a message") for i in range(40)]
+    firsts = dedup.materialise(spark.createDataFrame(rows, "id long, severity string, pattern string, message string"))
+    blocks = dedup._blocks(firsts)
+    assert blocks.isEmpty()
+    back = dedup._blocks(firsts.withColumn("id", 39 - F.col("id")))
+    assert sorted(tuple(r) for r in back.collect()) == [(i, i - 1) for i in range(1, 40, 2)]
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "gram#" in line]
+    assert any(re.search(r"text_id#\d+L < pattern_id#\d+L", line) for line in joins), plan
+
+
+def test_first_anomalies_hold_each_column_once(spark):
+    rows = [("2", "t", "low", "M", "x", 0), ("1", "u", "low", "m", "x", 0), ("1", "t", "low", "m", "y", 0), ("0", "t", None, None, None, 1)]
+    firsts = dedup.first_per_pattern(spark.createDataFrame(rows, ANOMALIES), ("log_id", "message"))
+    assert sorted((r.pattern or "", tuple(r.row)) for r in firsts.collect()) == [("", rows[3]), ("m", rows[1])]
+    held = firsts._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in held and held.count("message, message") == 1, held
+
+
+def test_few_ids_are_broadcast(spark, monkeypatch):
+    ids = dedup.materialise(spark.range(20))
+    joined = lambda: spark.range(30).join(dedup._counted(ids), "id", "left_anti")
+    assert "BroadcastHashJoin" in joined()._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(dedup, "FEW_IDS", 19)
+    assert "SortMergeJoin" in joined()._jdf.queryExecution().executedPlan().toString()
+    assert joined().count() == 10
